@@ -18,7 +18,8 @@ def write_ledger(batch: DataFrame, directory: str, batch_id: int) -> None:
 
 def read_ledger(spark: SparkSession, directory: str) -> DataFrame:
     """The upserted view of the ledger: the last upload of each part."""
-    return latest_parts(spark.read.schema(PART_LEDGER).parquet(directory))
+    written = spark.read.schema(PART_LEDGER).parquet(directory)
+    return latest_parts(written.select(*[f.name for f in PART_LEDGER.fields]))
 
 
 def write_metadata_json(documents: DataFrame, directory: str) -> None:
