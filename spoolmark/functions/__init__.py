@@ -44,4 +44,12 @@ def time_block(ts: Column, seconds: int) -> Column:
 def number_block(value: Column, width: int, first: int = 0) -> Column:
     """Index of the block of ``width`` numbers that holds ``value``."""
     shifted = value.cast("bigint") - F.lit(first)
-    return F.floor((shifted - F.pmod(shifted, F.lit(width))) / F.lit(width)).cast("bigint")
+    return F.call_function("div", shifted - F.pmod(shifted, F.lit(width)), F.lit(width))
+
+
+def all_present(*names: str) -> Column:
+    """None of the columns is null."""
+    test = F.lit(True)
+    for name in names:
+        test = test & F.col(name).isNotNull()
+    return test

@@ -65,17 +65,13 @@ def assemble_objects(chunks: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> Da
     so no row exceeds that plus one chunk. A stream that fits has one segment;
     a longer one is whole when its segments are read in order.
     """
-    grouped = chunks.groupBy(
-        "stream_id", number_block(F.col("offset"), max_bytes).alias("segment")
-    ).agg(
-        F.sort_array(F.collect_list(F.struct("offset", "part_number", "data"))).alias("_chunks"),
+    segment = number_block(F.col("offset"), max_bytes).alias("segment")
+    return chunks.groupBy("stream_id", segment).agg(
         F.min("offset").alias("offset"),
         F.sum("length").alias("length"),
         F.count("*").alias("chunk_count"),
+        F.expr("listagg(data) WITHIN GROUP (ORDER BY offset)").alias("data"),
     )
-    # One concatenation of the ordered array, not a fold that copies per chunk.
-    whole = F.unhex(F.array_join(F.transform("_chunks", lambda c: F.hex(c["data"])), ""))
-    return grouped.withColumn("data", whole).drop("_chunks")
 
 
 def _column(value: Column | str | None, default: int) -> Column:

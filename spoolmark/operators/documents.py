@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import BLANKS
+from ..functions import BLANKS, all_present
 from ..schemas import CHUNK, METADATA_DOCUMENT, PARTS_PER_PAGE
 from .chunks import page_of
 
@@ -26,7 +26,10 @@ def metadata_documents(
     longer one has one row per page of parts, so that no row grows without
     bound; the totals on every page are those of the whole stream.
     """
-    page = page_of(F.col("part_number"), parts_per_page)
+    # Only such parts can join. Said here, with a page that cannot be null, both
+    # groupings read the same rows and share the shuffle below them.
+    ledger = ledger.filter(all_present("stream_id", "part_number"))
+    page = F.coalesce(page_of(F.col("part_number"), parts_per_page), F.lit(0))
     entry = F.struct("part_number", "size_bytes", "etag", "uploaded_at")
     pages = ledger.groupBy("stream_id", page.alias("page")).agg(
         F.sort_array(F.collect_list(entry)).alias("chunks")

@@ -36,21 +36,23 @@ def parse_part_records(raw: DataFrame) -> DataFrame:
     ``reject_reason`` is null on good rows; see ``accepted`` and ``quarantined``.
     The time may itself hold colons; without a second colon it is absent.
     """
-    fields = F.split(F.col("packed"), ":", 3)
-    size_text = F.get(fields, F.lit(1))
-    return (
-        raw.withColumn("part_number", F.col("part_key").try_cast("int"))
-        .withColumn("etag", F.get(fields, F.lit(0)))
-        .withColumn("size_bytes", size_text.try_cast("bigint"))
-        .withColumn("uploaded_at_text", F.get(fields, F.lit(2)))
-        .withColumn("uploaded_at", F.col("uploaded_at_text").try_cast("timestamp"))
-        .withColumn(
-            "reject_reason",
-            F.when(F.col("packed").isNull() | size_text.isNull(), "no_size_field")
-            .when(F.col("part_number").isNull(), "bad_part_number")
-            .when(F.col("size_bytes").isNull(), "bad_size"),
-        )
+    fields = raw.withColumn("_fields", F.split(F.col("packed"), ":", 3))
+    texts = fields.select(
+        *[F.col(c) for c in raw.columns],
+        F.col("part_key").try_cast("int").alias("part_number"),
+        F.get("_fields", F.lit(0)).alias("etag"),
+        F.get("_fields", F.lit(1)).alias("_size"),
+        F.get("_fields", F.lit(2)).alias("uploaded_at_text"),
+    )
+    typed = texts.withColumn("size_bytes", F.col("_size").try_cast("bigint")).withColumn(
+        "uploaded_at", F.col("uploaded_at_text").try_cast("timestamp")
     )
+    return typed.withColumn(
+        "reject_reason",
+        F.when(F.col("_size").isNull(), "no_size_field")
+        .when(F.col("part_number").isNull(), "bad_part_number")
+        .when(F.col("size_bytes").isNull(), "bad_size"),
+    ).drop("_size")
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

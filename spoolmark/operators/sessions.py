@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import MICROS, time_block
-from ..plans.running import with_running
+from ..functions import MICROS, all_present, time_block
 
 
 def activity_sessions(
@@ -15,29 +14,44 @@ def activity_sessions(
     """Sessions per path; events exactly one gap apart belong together.
 
     The same sessions as a session window with that gap. A session window sorts
-    every event of a path in one task; here the start of a session is found
-    within blocks of time, sessions are numbered by a running count, and the
-    bounds of a session are combined map-side.
+    every event of a path in one task; here events are cut into blocks of time
+    and each block into bursts, and only one row per block is ordered per path,
+    to tell which bursts continue across a block's edge.
     """
+    gap = gap_seconds * MICROS
     block = time_block(F.col("ts"), block_seconds or max(gap_seconds, 6 * 3600))
-    stepped = with_running(
-        events.select("path", "ts", "seq"),
-        keys=["path"],
-        block=block,
-        order=("ts", "seq"),
-        previous={"_before": F.col("ts")},
+    in_block = Window.partitionBy("path", "_block").orderBy("ts")
+    timed = events.select("path", "ts").filter(all_present("path", "ts"))
+    stepped = timed.withColumn("_block", block).withColumn(
+        "_pause", F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(in_block))
     )
-    pause = F.unix_micros("ts") - F.unix_micros("_before")
-    starts = F.when(F.col("_before").isNull() | (pause > gap_seconds * MICROS), 1).otherwise(0)
-    numbered = with_running(
-        stepped.withColumn("_starts", starts).drop("_before"),
-        keys=["path"],
-        block=block,
-        order=("ts", "seq"),
-        sums={"session_no": F.col("_starts")},
+    so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = F.when(F.col("_pause") > gap, 1).otherwise(0)
+    bursts = (
+        stepped.withColumn("_burst", F.sum(starts).over(so_far))
+        .groupBy("path", "_block", "_burst")
+        .agg(F.min("ts").alias("_from"), F.max("ts").alias("_to"), F.count("*").alias("_events"))
     )
-    return numbered.groupBy("path", "session_no").agg(
-        F.min("ts").alias("session_start"),
-        (F.max("ts") + F.expr(f"INTERVAL {gap_seconds} SECONDS")).alias("session_end"),
-        F.count("*").alias("events"),
+    blocks = bursts.groupBy("path", "_block").agg(
+        F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.max("_burst").alias("_inner")
+    )
+    by_block = Window.partitionBy("path").orderBy("_block")
+    before = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    edge = F.unix_micros("_from") - F.unix_micros(F.lag("_to").over(by_block))
+    carried = (
+        blocks.withColumn("_head", F.when(edge <= gap, 0).otherwise(1))
+        .withColumn(
+            "_base",
+            F.coalesce(F.sum(F.col("_head") + F.col("_inner")).over(before), F.lit(0))
+            + F.col("_head"),
+        )
+        .select("path", "_block", "_base")
+    )
+    numbered = bursts.join(carried, ["path", "_block"])
+    return numbered.groupBy(
+        "path", (F.col("_base") + F.col("_burst")).cast("bigint").alias("session_no")
+    ).agg(
+        F.min("_from").alias("session_start"),
+        (F.max("_to") + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("session_end"),
+        F.sum("_events").alias("events"),
     )

@@ -156,8 +156,7 @@ def completion_manifest(spark, sf_dir):
 
 @query
 def list_parts(spark, sf_dir):
-    parsed = ledger.parse_part_records(s.packed_parts(spark, sf_dir))
-    return filters.list_parts(parsed)
+    return filters.list_parts(s.upload_log(spark, sf_dir))
 
 
 @query
@@ -459,7 +458,7 @@ def activity_sessions(spark, sf_dir):
 
 
 def _event_stream(spark, sf_dir) -> DataFrame:
-    return s.as_raw_changes(s.table_stream(spark, sf_dir, "events"))
+    return s.as_raw_changes(s.table_stream(spark, sf_dir, "events", maxBytesPerTrigger=str(1 << 30)))
 
 
 def _drained(stream: DataFrame, out: str, mark: str) -> DataFrame:

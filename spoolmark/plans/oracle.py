@@ -447,8 +447,8 @@ def all_sql() -> dict[str, str]:
                FROM last_attempts WHERE etag <> '' GROUP BY stream_id""",
         ),
         "list_parts": _with(
-            "typed",
-            """SELECT stream_id, part_number, etag, size_bytes FROM typed
+            "attempts",
+            """SELECT stream_id, part_number, etag, size_bytes FROM attempts
                WHERE part_number IS NOT NULL AND etag IS NOT NULL AND size_bytes IS NOT NULL""",
         ),
         "object_keys": _with(

@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import all_present
+
 BLOCK = "_block"
 
 
@@ -30,10 +32,12 @@ def with_running(
 
     ``block`` must not decrease along ``order``, and ``order`` must be total
     within a key. ``sums`` and ``maxima`` include the current row; ``previous``
-    is the value on the row before, null on the first. Keys must not be null.
+    is the value on the row before, null on the first. A row without a key or
+    without a place in the order belongs to no run and is left out.
     """
     sums, maxima, previous = dict(sums or {}), dict(maxima or {}), dict(previous or {})
-    tagged = df.withColumn(BLOCK, block)
+    # Stated for both branches below, so that they share their input's shuffles.
+    tagged = df.filter(all_present(*keys, order[0])).withColumn(BLOCK, block)
     for name, value in {**sums, **maxima, **previous}.items():
         tagged = tagged.withColumn(f"_in_{name}", value)
     place = F.struct(*[F.col(c) for c in order])

@@ -16,11 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table_stream(spark: SparkSession, sf_dir: str, name: str, **options: str) -> DataFrame:
     """A table read as a stream. The pattern matches its exact name only; a stream
     over a plain path would have to be a folder."""
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    stream = spark.readStream.schema(table(spark, sf_dir, name).schema).options(**options)
+    return stream.parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _path(key: str) -> Column:

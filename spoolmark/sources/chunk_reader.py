@@ -69,10 +69,20 @@ def _to_batch(rows: list, schema):
 
 
 def fetch_chunks(planned: DataFrame, directory: str, tasks: int | None = None) -> DataFrame:
-    """Add the bytes of each planned range of the files below ``directory``."""
+    """Add the bytes of each planned range of the files below ``directory``.
+
+    The number of reading tasks is stated: plan rows are tiny, and left to
+    itself Spark would merge them into few tasks however many bytes they name.
+    """
     ranges = planned.select("path", "part_number", "offset", "length")
     keys = ["path", "part_number"]
-    spread = ranges.repartition(tasks, *keys) if tasks else ranges.repartition(*keys)
+    session = planned.sparkSession
+    if tasks is None:
+        tasks = max(
+            int(session.conf.get("spark.sql.shuffle.partitions")),
+            session.sparkContext.defaultParallelism,
+        )
+    spread = ranges.repartition(tasks, *keys)
     if not ranges.isStreaming:
         # Neighbouring ranges share an open file.
         spread = spread.sortWithinPartitions(*keys)

@@ -5,7 +5,9 @@ Built-in ``binaryFile`` drops zero-byte files, and an empty stream must be seen.
 
 from __future__ import annotations
 
+import os
 import sys
+import zlib
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
@@ -27,47 +29,91 @@ def open_filesystem(path: str):
     """File system and plain path of a local path or URI."""
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
+    if _is_remote(path):
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), path
 
 
 class _Folder(InputPartition):
-    def __init__(self, path: str, recursive: bool):
+    """A folder to list: with all below it or not, and which share of its files."""
+
+    def __init__(self, path: str, recursive: bool, share: int, shares: int):
         self.path = path
         self.recursive = recursive
+        self.share = share
+        self.shares = shares
+
+
+def _is_remote(path: str) -> bool:
+    return "://" in path or path.startswith("file:")
+
+
+def _entries(path: str, remote_root: str | None, wanted) -> Iterator:
+    """(path, is_folder, size, time) of what lies in a folder.
+
+    Of a mounted folder, names come first and only ``wanted`` files are looked
+    up; an object store returns the sizes with the listing.
+    """
+    if remote_root is None:
+        with os.scandir(path) as found:
+            for entry in found:
+                if entry.is_dir():
+                    yield entry.path, True, 0, 0
+                elif wanted(entry.path) and entry.is_file():
+                    about = entry.stat()
+                    yield entry.path, False, about.st_size, about.st_mtime_ns // 1000
+    else:
+        from pyarrow import fs
+
+        system, _ = open_filesystem(remote_root)
+        for info in system.get_file_info(fs.FileSelector(path)):
+            if info.type == fs.FileType.Directory:
+                yield info.path, True, 0, 0
+            elif wanted(info.path):
+                yield info.path, False, info.size, (info.mtime_ns or 0) // 1000
 
 
 class _InventoryReader(DataSourceReader):
-    def __init__(self, root: str, suffix: str):
-        self.root = root
+    def __init__(self, root: str, suffix: str, shares: int):
+        self.remote_root = root if _is_remote(root) else None
+        self.root = open_filesystem(root)[1]
         self.suffix = suffix
+        self.shares = 1 if self.remote_root else shares
 
     def partitions(self) -> list[InputPartition]:
-        """The root itself, and each of its sub-directories with all below it."""
-        from pyarrow import fs
-
-        system, root = open_filesystem(self.root)
-        below = system.get_file_info(fs.FileSelector(root))
-        folders = sorted(i.path for i in below if i.type == fs.FileType.Directory)
-        return [_Folder(root, False), *[_Folder(p, True) for p in folders]]
+        """The root itself, and each of its sub-directories with all below it.
+
+        A folder may hold most of the files, so each is listed in several
+        shares: all read the names, each looks up the files that hash to it.
+        """
+        nothing = _entries(self.root, self.remote_root, lambda path: False)
+        below = sorted(path for path, is_folder, _, _ in nothing if is_folder)
+        folders = [(self.root, False), *[(path, True) for path in below]]
+        return [
+            _Folder(path, recursive, share, self.shares)
+            for path, recursive in folders
+            for share in range(self.shares)
+        ]
 
     def read(self, partition: _Folder) -> Iterator:
         import pyarrow as pa
-        from pyarrow import fs
 
         schema = pa.schema(
             [("path", pa.string()), ("size", pa.int64()), ("modified_at", pa.timestamp("us", "UTC"))]
         )
-        system, _ = open_filesystem(self.root)
+
+        def wanted(path: str) -> bool:
+            return path.endswith(self.suffix) and (
+                zlib.crc32(path.encode()) % partition.shares == partition.share
+            )
+
         folders, found = [partition.path], []
         while folders:
-            for info in system.get_file_info(fs.FileSelector(folders.pop())):
-                if info.type == fs.FileType.Directory:
-                    if partition.recursive:
-                        folders.append(info.path)
-                elif info.path.endswith(self.suffix):
-                    found.append((info.path, info.size, info.mtime_ns // 1000))
+            for path, is_folder, size, micros in _entries(folders.pop(), self.remote_root, wanted):
+                if not is_folder:
+                    found.append((path, size, micros))
+                elif partition.recursive:
+                    folders.append(path)
                 if len(found) == _BATCH_ROWS:
                     yield _batch(found, schema)
                     found = []
@@ -93,7 +139,11 @@ class FileInventory(DataSource):
         return _COLUMNS
 
     def reader(self, schema) -> DataSourceReader:
-        return _InventoryReader(self.options["path"], self.options.get("suffix", ""))
+        return _InventoryReader(
+            self.options["path"],
+            self.options.get("suffix", ""),
+            int(self.options.get("shares", "4")),
+        )
 
 
 def file_inventory(spark: SparkSession, directory: str, suffix: str = ".mp4") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -19,27 +20,39 @@ _STATE = "known BOOLEAN, generation BIGINT"
 def _classify_path(key, frames, state) -> Iterator[pd.DataFrame]:
     """Events of one path in one micro-batch, given what is known of it."""
     known, generation = state.get if state.exists else (False, 0)
-    rows = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
-    deleted = rows["kind"] == "deleted"
-    before = ~deleted.shift(1, fill_value=not known)
-    closed = deleted.astype("int64").cumsum()
-    rows["generation"] = generation + closed - deleted.astype("int64")
-    written = rows["kind"] == "modified"
+    rows = pd.concat(list(frames), ignore_index=True)
+    order = np.lexsort((rows["seq"].to_numpy(), rows["ts"].to_numpy()))
+    kind = rows["kind"].to_numpy()[order]
+    deleted, written = kind == "deleted", kind == "modified"
+    before = np.concatenate(([known], ~deleted[:-1]))
     created = ~deleted & ~before
-    parts = [
-        rows[created].assign(step=0, event="CREATE"),
-        rows[written].assign(step=(~before[written]).astype("int32"), event="WRITE"),
-        rows[deleted].assign(step=0, event="DELETE"),
-    ]
-    state.update((bool(~deleted.iloc[-1]), int(generation + closed.iloc[-1])))
-    yield pd.concat(parts)[["seq", "ts", "path", "generation", "step", "event"]]
+    closed = np.cumsum(deleted)
+    # Each row twice, as a possible CREATE and as its WRITE or DELETE.
+    happens = np.column_stack((created, written | deleted)).ravel()
+    names = np.column_stack(
+        (np.full(len(kind), "CREATE"), np.where(deleted, "DELETE", "WRITE"))
+    ).ravel()
+    steps = np.column_stack((np.zeros(len(kind), "int32"), (created & written).astype("int32")))
+    source = np.repeat(order, 2)[happens]
+    state.update((bool(~deleted[-1]), int(generation + closed[-1])))
+    yield pd.DataFrame(
+        {
+            "seq": rows["seq"].to_numpy()[source],
+            "ts": rows["ts"].take(source).array,
+            "path": key[0],
+            "generation": np.repeat(generation + closed - deleted, 2)[happens],
+            "step": steps.ravel()[happens],
+            "event": names[happens],
+        }
+    )
 
 
 def classify_stream(raw: DataFrame) -> DataFrame:
     """``classify_changes`` over a stream, one small state row per path.
 
-    Rows are ordered within a micro-batch; across batches arrival decides. What
-    one path brings per batch is bounded by the source's rate limit. State is
+    Rows are ordered within a micro-batch; across batches arrival decides. The
+    rows of one path in one batch are sorted in memory, so the source needs a
+    rate limit (``maxBytesPerTrigger`` or ``maxFilesPerTrigger``). State is
     kept for good: forgetting a path would turn its next change into a CREATE,
     and its next generation into a repeat of the first.
     """
@@ -64,8 +77,13 @@ def idle_events(events: DataFrame, gap_seconds: int, delay: str) -> DataFrame:
     """An IDLE event per path once a burst of activity has closed.
 
     Emitted when the watermark, ``delay`` behind the latest event, passes the
-    end of the session; the last open session of a path stays pending.
+    end of the session; the last open session of a path stays pending. Events
+    of one partition are merged into sessions before the shuffle, so a busy path
+    sends its bursts rather than its events.
     """
+    events.sparkSession.conf.set(
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
+    )
     return (
         events.withWatermark("ts", delay)
         .groupBy("path", F.session_window("ts", f"{gap_seconds} seconds").alias("session"))
