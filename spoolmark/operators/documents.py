@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import BLANKS, all_present
 from ..schemas import CHUNK, METADATA_DOCUMENT, PARTS_PER_PAGE
 from .chunks import page_of
+from .ledger import latest_parts
 
 
 def metadata_documents(
@@ -21,22 +22,29 @@ def metadata_documents(
 ) -> DataFrame:
     """One nested document per stream; no state row, no document.
 
-    ``ledger`` holds one row per (stream, part), ``durations`` one per path. A
+    The last upload of each part counts; ``durations`` has one row per path. A
     stream within the object-store limit on parts has one row (``page`` 0). A
     longer one has one row per page of parts, so that no row grows without
     bound; the totals on every page are those of the whole stream.
     """
-    # Only such parts can join. Said here, with a page that cannot be null, both
-    # groupings read the same rows and share the shuffle below them.
-    ledger = ledger.filter(all_present("stream_id", "part_number"))
-    page = F.coalesce(page_of(F.col("part_number"), parts_per_page), F.lit(0))
     entry = F.struct("part_number", "size_bytes", "etag", "uploaded_at")
-    pages = ledger.groupBy("stream_id", page.alias("page")).agg(
-        F.sort_array(F.collect_list(entry)).alias("chunks")
+    page = F.coalesce(page_of(F.col("part_number"), parts_per_page), F.lit(0))
+    parts = latest_parts(ledger.filter(all_present("stream_id", "part_number")))
+    # Spread by page, not by stream. The totals are taken from the pages, so that
+    # both read one shuffle and the ledger is deduplicated once.
+    pages = (
+        parts.withColumn("page", page)
+        .repartition("stream_id", "page")
+        .groupBy("stream_id", "page")
+        .agg(F.sort_array(F.collect_list(entry)).alias("chunks"))
+    )
+    page_bytes = F.aggregate(
+        "chunks",
+        F.lit(0).cast("bigint"),
+        lambda total, chunk: total + F.coalesce(chunk["size_bytes"], F.lit(0)),
     )
     totals = (
-        ledger.groupBy("stream_id", page.alias("page"))
-        .agg(F.sum("size_bytes").alias("_bytes"), F.count("*").alias("_parts"))
+        pages.select("stream_id", "page", page_bytes.alias("_bytes"), F.size("chunks").alias("_parts"))
         .groupBy("stream_id")
         .agg(
             F.sum("_bytes").alias("total_size_bytes"),

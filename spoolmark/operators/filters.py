@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import metadata_key, object_key, present, stream_key
 from ..schemas import PARTS_PER_PAGE
 from .chunks import page_of
+from .ledger import latest_parts
 
 
 def filter_suffix(df: DataFrame, column: str, suffix: str = ".mp4") -> DataFrame:
@@ -23,11 +24,11 @@ def valid_parts(ledger: DataFrame) -> DataFrame:
 def completion_manifest(ledger: DataFrame, parts_per_page: int = PARTS_PER_PAGE) -> DataFrame:
     """Ordered (number, etag) list of each stream, in pages of ``parts_per_page``.
 
-    ``ledger`` holds one row per (stream, part), so a page is bounded and a
-    stream within the object-store limit has exactly one.
+    The last upload of each part counts, so a page is bounded and a stream within
+    the object-store limit has exactly one.
     """
     return (
-        valid_parts(ledger)
+        valid_parts(latest_parts(ledger))
         .groupBy("stream_id", page_of(F.col("part_number"), parts_per_page).alias("page"))
         .agg(F.sort_array(F.collect_list(F.struct("part_number", "etag"))).alias("parts"))
     )

@@ -129,19 +129,22 @@ def audit_ledger(ledger: DataFrame, files: DataFrame, meta: DataFrame) -> DataFr
     starts a gap. That finds gaps by one grouping on (stream, number) and never
     sorts a whole stream. ``meta`` names each stream's file and byte counter.
     """
+    parts = ledger.groupBy("stream_id", "part_number").agg(
+        F.count("*").alias("uploads"),
+        F.max(F.struct(*UPLOAD_ORDER)).getField("size_bytes").alias("size_bytes"),
+    )
     marks = F.array(
-        F.struct(F.col("part_number").alias("n"), F.lit(1).alias("present")),
-        F.struct((F.col("part_number") + 1).alias("n"), F.lit(0).alias("present")),
+        F.struct(F.col("part_number").alias("n"), F.col("uploads"), F.col("size_bytes")),
+        F.struct(
+            (F.col("part_number") + 1).alias("n"),
+            F.lit(0).cast("bigint").alias("uploads"),
+            F.lit(0).cast("bigint").alias("size_bytes"),
+        ),
     )
-    place = F.struct("uploaded_at", "etag", "size_bytes")
     numbered = (
-        ledger.select("stream_id", "part_number", "size_bytes", "uploaded_at", "etag")
-        .withColumn("mark", F.explode(marks))
-        .groupBy("stream_id", F.col("mark.n").alias("n"))
-        .agg(
-            F.sum("mark.present").alias("uploads"),
-            F.max(F.when(F.col("mark.present") == 1, place)).alias("last"),
-        )
+        parts.select("stream_id", F.explode(marks).alias("_mark"))
+        .groupBy("stream_id", F.col("_mark.n").alias("n"))
+        .agg(F.sum("_mark.uploads").alias("uploads"), F.sum("_mark.size_bytes").alias("size_bytes"))
     )
     here = F.col("uploads") > 0
     per_stream = numbered.groupBy("stream_id").agg(
@@ -150,7 +153,7 @@ def audit_ledger(ledger: DataFrame, files: DataFrame, meta: DataFrame) -> DataFr
         F.max(F.when(here, F.col("n"))).alias("max_part"),
         F.min(F.when(here, F.col("n"))).alias("min_part"),
         F.min(F.when(~here, F.col("n"))).alias("first_absent"),
-        F.sum(F.when(here, F.col("last.size_bytes"))).alias("ledger_bytes"),
+        F.sum("size_bytes").alias("ledger_bytes"),
     )
     known = meta.select("stream_id", F.col("original_path").alias("path"), "total_bytes_sent")
     sizes = files.select("path", F.col("size").alias("file_bytes"))

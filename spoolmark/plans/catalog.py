@@ -145,7 +145,7 @@ def valid_parts(spark, sf_dir):
 
 @query
 def completion_manifest(spark, sf_dir):
-    made = filters.completion_manifest(ledger.latest_parts(s.upload_log(spark, sf_dir)))
+    made = filters.completion_manifest(s.upload_log(spark, sf_dir))
     return made.select(
         "stream_id",
         "page",
@@ -421,7 +421,7 @@ def finalize_plan(spark, sf_dir):
 def _documents(spark, sf_dir) -> DataFrame:
     return documents.metadata_documents(
         s.stream_meta(spark, sf_dir),
-        ledger.latest_parts(s.part_ledger(spark, sf_dir)),
+        s.part_ledger(spark, sf_dir),
         s.durations(spark, sf_dir),
         PROCESSED_AT,
     )
