@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seconds_between, time_block
 from ..plans.running import with_running
+from .state import with_failure_reason
 
 
 def chunk_counters(uploads: DataFrame) -> DataFrame:
@@ -18,6 +19,31 @@ def chunk_counters(uploads: DataFrame) -> DataFrame:
     )
 
 
+def operation_types(ops: DataFrame) -> DataFrame:
+    """The failed-operation samples of each operation: none, one or two.
+
+    Operations with an error handler of their own count their reason; marking
+    the stream as failed counts once more. A file that vanishes while it is read
+    and a chunk that gets no tag count without failing the stream.
+    """
+    handled = (
+        (F.col("operation") == "init_checkpoint") & (F.col("error_class") != "FileNotFoundError")
+    ) | F.col("operation").isin("write", "finalize")
+    reason = F.col("failure_reason")
+    samples = F.array(
+        F.when(handled, reason),
+        F.concat(F.lit("redis_set_failed_"), reason),
+        F.when(
+            (F.col("operation") == "write") & (F.col("error_class") == "FileNotFoundError"),
+            "process_file_disappeared",
+        ),
+        F.when(F.col("operation") == "upload_part", "s3_upload_part"),
+    )
+    return with_failure_reason(ops).select(
+        "stream_id", F.explode(F.array_compact(samples)).alias("operation_type")
+    )
+
+
 def failed_operations(ops: DataFrame) -> DataFrame:
     """Failed operations per stream and operation type."""
     return ops.groupBy("stream_id", "operation_type").agg(F.count("*").alias("failed_operations"))
@@ -35,13 +61,20 @@ def stream_outcomes(status_log: DataFrame) -> DataFrame:
     )
 
 
-def active_gauge(routed: DataFrame, block_seconds: int = 3600) -> DataFrame:
-    """Open streams after each open or close of ``route_events``.
+def active_gauge(
+    routed: DataFrame,
+    block_seconds: int = 3600,
+    opening: Sequence[str] = ("open", "reopen", "resume"),
+    closing: Sequence[str] = ("close", "finalize", "abort"),
+) -> DataFrame:
+    """Open streams after each action that opens or closes one.
 
+    Takes the rows of ``route_events``, and any further actions in that shape.
     Only one row per block of time is ordered globally; the rows themselves are
     sorted block by block.
     """
-    delta = F.when(F.col("action").isin("open", "reopen"), 1).when(F.col("action") == "close", -1)
+    action = F.col("action")
+    delta = F.when(action.isin(*opening), 1).when(action.isin(*closing), -1)
     changes = routed.select("seq", "ts", "path", delta.alias("delta")).filter(
         F.col("delta").isNotNull()
     )

@@ -11,6 +11,14 @@ from ..schemas import FINALIZE_ENDED_STATUSES
 
 _PLACE = ("ts", "seq")
 
+# Steps that fail with one reason, whatever the error.
+STEP_REASONS = {
+    "finalize_file_check": "finalize_file_missing",
+    "complete_upload": "failed_s3_complete_internal",
+    "metadata_generation": "failed_meta_generation",
+    "metadata_upload": "failed_meta_upload",
+}
+
 
 def latest_state(status_log: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
     """Current row of each stream: the last non-null value of every field.
@@ -74,7 +82,7 @@ def failure_reason(operation: Column, error_class: Column) -> Column:
     """Reason recorded for an error, or null where none is recorded.
 
     ``operation`` is one of open_stream, init_checkpoint, write, finalize,
-    resume and task.
+    resume and task, or a step of finalization in ``STEP_REASONS``.
     """
     store = error_class.isin("S3OperationError", "RedisOperationError")
     handled = error_class.isin(
@@ -101,6 +109,7 @@ def failure_reason(operation: Column, error_class: Column) -> Column:
             "resume_init_unexpected_failure",
         ),
         "task": F.when(~handled, "task_unexpected_error"),
+        **{step: F.lit(reason) for step, reason in STEP_REASONS.items()},
     }
     reason = F.when(error_class == "CancelledError", F.lit(None).cast("string"))
     for name, chosen in by_operation.items():

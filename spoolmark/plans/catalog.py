@@ -523,8 +523,8 @@ def chunk_counters(spark, sf_dir):
 
 @query
 def failed_operations(spark, sf_dir):
-    ops = s.failed_ops(spark, sf_dir).withColumn("operation_type", F.col("operation"))
-    return metrics.failed_operations(ops)
+    samples = metrics.operation_types(s.failed_ops(spark, sf_dir))
+    return metrics.failed_operations(samples)
 
 
 @query

@@ -160,7 +160,10 @@ _TABLES = {
         SELECT CAST(user_id AS VARCHAR) AS stream_id, ts, event_id AS seq,
                CASE WHEN k < 15 THEN 'open_stream' WHEN k < 30 THEN 'init_checkpoint'
                     WHEN k < 50 THEN 'write' WHEN k < 75 THEN 'finalize'
-                    WHEN k < 90 THEN 'resume' ELSE 'task' END AS operation,
+                    WHEN k < 82 THEN 'resume' WHEN k < 86 THEN 'task'
+                    WHEN k < 89 THEN 'finalize_file_check' WHEN k < 92 THEN 'complete_upload'
+                    WHEN k < 95 THEN 'metadata_generation' WHEN k < 98 THEN 'metadata_upload'
+                    ELSE 'upload_part' END AS operation,
                CASE k % 7 WHEN 0 THEN 'S3OperationError' WHEN 1 THEN 'RedisOperationError'
                     WHEN 2 THEN 'FFprobeError' WHEN 3 THEN 'FileNotFoundError'
                     WHEN 4 THEN 'CancelledError' WHEN 5 THEN 'StreamInitializationError'
@@ -190,9 +193,14 @@ _TABLES = {
             WHEN operation = 'resume' THEN
                 CASE WHEN error_class NOT IN ('FileNotFoundError', 'StreamInitializationError')
                      THEN 'resume_init_unexpected_failure' END
-            WHEN error_class NOT IN ('StreamInitializationError', 'ChunkProcessingError',
-                                     'StreamFinalizationError')
-            THEN 'task_unexpected_error' END AS failure_reason
+            WHEN operation = 'task' THEN
+                CASE WHEN error_class NOT IN ('StreamInitializationError', 'ChunkProcessingError',
+                                              'StreamFinalizationError')
+                     THEN 'task_unexpected_error' END
+            WHEN operation = 'finalize_file_check' THEN 'finalize_file_missing'
+            WHEN operation = 'complete_upload' THEN 'failed_s3_complete_internal'
+            WHEN operation = 'metadata_generation' THEN 'failed_meta_generation'
+            WHEN operation = 'metadata_upload' THEN 'failed_meta_upload' END AS failure_reason
         FROM ops""",
     "doc_chunks": """
         SELECT CAST(doc_id AS VARCHAR) AS stream_id, hex(encode(text)) AS data_hex,
@@ -675,9 +683,20 @@ def all_sql() -> dict[str, str]:
                FROM uploads GROUP BY stream_id""",
         ),
         "failed_operations": _with(
-            "ops",
-            """SELECT stream_id, operation AS operation_type, count(*) AS failed_operations
-               FROM ops GROUP BY stream_id, operation""",
+            "reasons",
+            """SELECT stream_id, operation_type, count(*) AS failed_operations FROM (
+                   SELECT stream_id, failure_reason AS operation_type FROM reasons
+                   WHERE failure_reason IS NOT NULL AND (operation IN ('write', 'finalize')
+                         OR operation = 'init_checkpoint' AND error_class <> 'FileNotFoundError')
+                   UNION ALL
+                   SELECT stream_id, 'redis_set_failed_' || failure_reason FROM reasons
+                   WHERE failure_reason IS NOT NULL
+                   UNION ALL
+                   SELECT stream_id, 'process_file_disappeared' FROM reasons
+                   WHERE operation = 'write' AND error_class = 'FileNotFoundError'
+                   UNION ALL
+                   SELECT stream_id, 's3_upload_part' FROM reasons WHERE operation = 'upload_part')
+               GROUP BY stream_id, operation_type""",
         ),
         "stream_outcomes": _with(
             "log",

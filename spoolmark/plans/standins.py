@@ -225,8 +225,13 @@ def failed_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k < 30, "init_checkpoint")
         .when(k < 50, "write")
         .when(k < 75, "finalize")
-        .when(k < 90, "resume")
-        .otherwise("task")
+        .when(k < 82, "resume")
+        .when(k < 86, "task")
+        .when(k < 89, "finalize_file_check")
+        .when(k < 92, "complete_upload")
+        .when(k < 95, "metadata_generation")
+        .when(k < 98, "metadata_upload")
+        .otherwise("upload_part")
         .alias("operation"),
         F.when(k % 7 == 0, "S3OperationError")
         .when(k % 7 == 1, "RedisOperationError")

@@ -9,12 +9,14 @@ it saw at first.
 
 from __future__ import annotations
 
+import datetime
 import sys
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunks import plan_chunks
@@ -30,9 +32,22 @@ _GROWTH = "path STRING, size BIGINT, start_offset BIGINT, next_part INT"
 _POSITION = "committed BIGINT, next_part INT"
 
 
-def log_inventory(spark: SparkSession, directory: str, log_dir: str, suffix: str = ".mp4") -> None:
-    """Append one listing of ``directory`` to the inventory log."""
-    file_inventory(spark, directory, suffix).write.mode("append").parquet(log_dir)
+def log_inventory(
+    spark: SparkSession,
+    directory: str,
+    log_dir: str,
+    suffix: str = ".mp4",
+    modified_since: datetime.datetime | str | None = None,
+) -> None:
+    """Append one listing of ``directory`` to the inventory log.
+
+    ``modified_since`` leaves out files untouched since then, so that a log of
+    many listings grows with what changes and not with what is there.
+    """
+    listed = file_inventory(spark, directory, suffix)
+    if modified_since is not None:
+        listed = listed.filter(F.col("modified_at") >= F.lit(modified_since).cast("timestamp"))
+    listed.write.mode("append").parquet(log_dir)
 
 
 def inventory_stream(spark: SparkSession, log_dir: str, **options: str) -> DataFrame:

@@ -74,6 +74,11 @@ REASONS = [
     ("resume", "FileNotFoundError", None),
     ("task", "StreamFinalizationError", None),
     ("task", "ValueError", "task_unexpected_error"),
+    ("finalize_file_check", "StreamFinalizationError", "finalize_file_missing"),
+    ("complete_upload", "StreamFinalizationError", "failed_s3_complete_internal"),
+    ("metadata_generation", "StreamFinalizationError", "failed_meta_generation"),
+    ("metadata_upload", "StreamFinalizationError", "failed_meta_upload"),
+    ("upload_part", "ValueError", None),
 ]
 
 
@@ -127,3 +132,29 @@ def test_processing_time(spark):
     data = [("a", at("12:00"), at("12:01:30")), ("b", at("12:00"), None)]
     taken = metrics.processing_time(spark.createDataFrame(data, "stream_id STRING, started_at TIMESTAMP, last_activity_at TIMESTAMP"))
     assert rows(taken) == [("a", 90.0)]
+
+
+def test_operation_types(spark):
+    pairs = [("finalize", "S3OperationError"), ("write", "FileNotFoundError"), ("init_checkpoint", "FileNotFoundError"), ("task", "ValueError"), ("upload_part", "none"), ("write", "CancelledError")]
+    assert [r[1] for r in rows(metrics.operation_types(ops(spark, *pairs)))] == [
+        "finalize_s3_failure",
+        "process_file_disappeared",
+        "redis_set_failed_file_missing_on_resume",
+        "redis_set_failed_finalize_s3_failure",
+        "redis_set_failed_task_unexpected_error",
+        "s3_upload_part",
+    ]
+
+
+def test_error_within_finalization_is_recorded_twice(spark):
+    """The step fails, and the pass as a whole then fails with its own reason."""
+    both = state.failure_records(ops(spark, ("metadata_upload", "StreamFinalizationError"), ("finalize", "StreamFinalizationError")))
+    assert rows(state.first_and_last_failure(both)) == [("s", "failed_meta_upload", "finalize_unexpected_failure", 2)]
+    assert rows(metrics.stream_outcomes(both)) == [(0, 1)]
+
+
+def test_gauge_counts_resumes_and_finalizations(spark):
+    acts = ["open", "process", "resume", "finalize", "abort", "none"]
+    data = [(i, START + datetime.timedelta(hours=i), f"p{i}", a) for i, a in enumerate(acts)]
+    made = metrics.active_gauge(spark.createDataFrame(data, "seq BIGINT, ts TIMESTAMP, path STRING, action STRING"))
+    assert rows(made, "seq", "active_streams") == [(0, 1), (2, 2), (3, 1), (4, 0)]

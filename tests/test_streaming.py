@@ -166,3 +166,12 @@ def test_tail_of_full_files_equals_batch(spark, tmp_path, growing):
     columns = ("path", "part_number", "offset", "length", "data")
     assert rows(made, *columns) == rows(chunk_reader.read_chunks(spark, str(growing), 16), *columns)
     assert inventory.file_inventory(spark, str(growing)).count() == 5
+
+
+def test_inventory_log_of_recent_files_only(spark, tmp_path, growing):
+    for name, when in (("old.mp4", 1_600_000_000), ("new.mp4", 1_700_000_000)):
+        (growing / name).write_bytes(b"x")
+        os.utime(growing / name, (when, when))
+    log = str(tmp_path / "log")
+    uploads.log_inventory(spark, str(growing), log, modified_since="2023-01-01")
+    assert rows(spark.read.parquet(log), "file_name") == [("new.mp4",)]
