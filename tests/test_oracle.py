@@ -15,6 +15,14 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
+# Type of a Spark column as the other engine names it.
+TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "double": "DOUBLE",
+}
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +54,8 @@ def test_matches_sql(spark, duck, name):
     result = duck.execute(contract.oracle_sql()[name])
     columns = [d[0] for d in result.description]
     assert sorted(made.columns) == sorted(columns)
+    kinds = {d[0]: str(d[1]) for d in result.description}
+    assert {n: TYPES[t] for n, t in made.dtypes} == kinds
     wanted = normal(result.fetchall(), columns, sorted(columns))
     got = normal([tuple(r) for r in made.collect()], made.columns, sorted(columns))
     assert len(got) == len(wanted)
