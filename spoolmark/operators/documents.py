@@ -6,9 +6,10 @@ import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import BLANKS, all_present
-from ..schemas import CHUNK, METADATA_DOCUMENT, PARTS_PER_PAGE
+from ..functions import BLANKS, all_present, metadata_key
+from ..schemas import CHUNK, METADATA_DOCUMENT, PARTS_PER_PAGE, STORED_DOCUMENT, STORED_TIME
 from .chunks import page_of
 from .ledger import latest_parts
 
@@ -92,25 +93,44 @@ def metadata_documents(
     )
 
 
-def document_json(documents: DataFrame) -> DataFrame:
-    """Key of each document and the document itself as JSON, nulls kept."""
-    body = F.struct(*[F.col(f.name) for f in METADATA_DOCUMENT.fields])
+def stored_form(documents: DataFrame) -> DataFrame:
+    """Key and page of each document, and the document with its stored names."""
+    fields = [
+        F.col(ours.name).cast(stored.dataType).alias(stored.name)
+        for ours, stored in zip(METADATA_DOCUMENT.fields, STORED_DOCUMENT.fields)
+    ]
     return documents.select(
-        F.concat("s3_key_prefix", F.lit(".metadata.json")).alias("metadata_key"),
-        "stream_id",
+        metadata_key(F.col("s3_key_prefix")).alias("metadata_key"),
         "page",
-        F.to_json(body, {"ignoreNullFields": "false"}).alias("document"),
+        F.struct(*fields).alias("document"),
     )
 
 
+def document_json(documents: DataFrame) -> DataFrame:
+    """The stored form with the document as JSON text, nulls kept."""
+    options = {"ignoreNullFields": "false", "timestampFormat": STORED_TIME}
+    return stored_form(documents).withColumn("document", F.to_json("document", options))
+
+
+def from_stored_form(stored: DataFrame) -> DataFrame:
+    """Documents back from their stored form, as text or nested."""
+    if isinstance(stored.schema["document"].dataType, T.StringType):
+        parsed = F.from_json("document", STORED_DOCUMENT, {"timestampFormat": STORED_TIME})
+        stored = stored.withColumn("document", parsed)
+    fields = [
+        F.col(f"document.{kept.name}").cast(ours.dataType).alias(ours.name)
+        for ours, kept in zip(METADATA_DOCUMENT.fields, STORED_DOCUMENT.fields)
+    ]
+    return stored.select(*fields)
+
+
 def flatten_chunks(documents: DataFrame) -> DataFrame:
     """One row per chunk of each document; one row of nulls where it has none.
 
-    Takes the nested form, or rows with the JSON text in ``document``.
+    Takes documents, or their stored form.
     """
     if "chunks" not in documents.columns:
-        parsed = F.from_json("document", METADATA_DOCUMENT)
-        documents = documents.select(parsed.alias("_doc")).select("_doc.*")
+        documents = from_stored_form(documents)
     return documents.select("stream_id", F.explode_outer("chunks").alias("_chunk")).select(
         "stream_id", *[F.col(f"_chunk.{f.name}").alias(f.name) for f in CHUNK.fields]
     )

@@ -111,8 +111,7 @@ def write_metadata_json(spark, sf_dir):
     """Documents written as JSON lines and read back."""
     out = new_folder(spark, "documents")
     sinks.write_metadata_json(_documents(spark, sf_dir), out)
-    lines = sinks.read_metadata_json(spark, out)
-    part = documents.flatten_chunks(lines.select("document"))
+    part = documents.flatten_chunks(sinks.read_metadata_json(spark, out))
     return part.groupBy("stream_id").agg(
         F.count("part_number").alias("chunk_count"),
         F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("bigint").alias("total_size_bytes"),

@@ -53,6 +53,18 @@ METADATA_DOCUMENT = T.StructType(
     + [T.StructField("chunks", T.ArrayType(CHUNK))]
 )
 
+# The document as it is stored: times are named and written as UTC.
+STORED_CHUNK = _schema("part_number INT, size_bytes BIGINT, etag STRING, uploaded_at_utc TIMESTAMP")
+STORED_DOCUMENT = T.StructType(
+    _schema(
+        "stream_id STRING, original_file_path STRING, s3_bucket STRING, s3_key_prefix STRING, "
+        "total_size_bytes BIGINT, duration_seconds DOUBLE, processed_at_utc TIMESTAMP, "
+        "stream_started_at_utc TIMESTAMP, stream_completed_at_utc TIMESTAMP"
+    ).fields
+    + [T.StructField("chunks", T.ArrayType(STORED_CHUNK))]
+)
+STORED_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
+
 # Change kinds, event names and statuses.
 CHANGE_KINDS = ("added", "modified", "deleted")
 EVENT_NAMES = ("CREATE", "WRITE", "DELETE", "IDLE")

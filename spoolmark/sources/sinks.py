@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.documents import document_json
+from ..operators.documents import stored_form
 from ..operators.ledger import latest_parts
-from ..schemas import PART_LEDGER
+from ..schemas import PART_LEDGER, STORED_DOCUMENT, STORED_TIME
 
 
 def write_ledger(batch: DataFrame, directory: str, batch_id: int) -> None:
@@ -23,12 +23,18 @@ def read_ledger(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def write_metadata_json(documents: DataFrame, directory: str) -> None:
-    """One JSON line per document, with its target key and page."""
-    line = F.to_json(F.struct("metadata_key", "stream_id", "page", "document"))
-    document_json(documents).select(line.alias("value")).write.mode("overwrite").text(directory)
+    """One JSON line per document, with its target key and page; nulls kept."""
+    lines = stored_form(documents).write.mode("overwrite")
+    lines.option("ignoreNullFields", "false").option("timestampFormat", STORED_TIME).json(directory)
 
 
 def read_metadata_json(spark: SparkSession, directory: str) -> DataFrame:
-    """The lines of ``write_metadata_json`` as columns; the document stays text."""
-    schema = "metadata_key STRING, stream_id STRING, page BIGINT, document STRING"
-    return spark.read.schema(schema).json(directory)
+    """The lines of ``write_metadata_json`` in their stored form."""
+    schema = T.StructType(
+        [
+            T.StructField("metadata_key", T.StringType()),
+            T.StructField("page", T.LongType()),
+            T.StructField("document", STORED_DOCUMENT),
+        ]
+    )
+    return spark.read.schema(schema).option("timestampFormat", STORED_TIME).json(directory)

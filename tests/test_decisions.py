@@ -1,12 +1,14 @@
 """Every branch of the idle, resume and finalize decisions."""
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from spoolmark import schemas
 from spoolmark.operators import decisions, documents
+from spoolmark.sources import sinks
 
 from helpers import at, rows
 
@@ -237,8 +239,25 @@ def test_flatten_inverts(document_world):
     flat = rows(documents.flatten_chunks(made), "stream_id", "part_number", "size_bytes")
     assert flat == [("bare", None, None), ("mixed", 1, 1), ("mixed", 2, 2), ("mixed", 3, 3), ("two", 1, 1024), ("two", 2, 2048)]
     text = documents.document_json(made)
-    assert rows(documents.flatten_chunks(text.select("document")), "stream_id", "part_number", "size_bytes") == flat
-    assert '"duration_seconds":null' in text.filter("stream_id = 'bare'").first()["document"]
+    assert rows(documents.flatten_chunks(text), "stream_id", "part_number", "size_bytes") == flat
+
+
+def test_stored_documents_round_trip(spark, document_world, tmp_path):
+    made = documents.metadata_documents(*document_world, "2023-01-01 12:00:00.000001")
+    sinks.write_metadata_json(made, str(tmp_path / "docs"))
+    back = sinks.read_metadata_json(spark, str(tmp_path / "docs"))
+    fields = [f.name for f in schemas.METADATA_DOCUMENT.fields]
+    assert rows(documents.from_stored_form(back)) == rows(made, *fields)
+    lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "docs")).collect()]
+    bare = next(line for line in lines if line["document"]["stream_id"] == "bare")
+    assert bare["metadata_key"] == "streams/bare/bare.mp4.metadata.json"
+    assert bare["document"]["duration_seconds"] is None
+    assert bare["document"]["chunks"] == []
+    assert bare["document"]["processed_at_utc"] == "2023-01-01T12:00:00.000001+00:00"
+    two = next(line for line in lines if line["document"]["stream_id"] == "two")
+    assert two["document"]["chunks"][0] == {
+        "part_number": 1, "size_bytes": 1024, "etag": "e1", "uploaded_at_utc": "2023-01-01T11:51:00.000000+00:00",
+    }
 
 
 def test_probe_results(spark):
