@@ -1,8 +1,7 @@
 """Lifecycle events of paths, in batch form.
 
-Events are ordered by (ts, seq). A busy path is cut into blocks of time, so the
-work on it spreads over tasks; ``block_seconds`` sets how much of one path a
-single task sorts.
+Events are ordered by (ts, seq). A busy path is cut into blocks of time of about
+``rows_per_block`` events, so the work on it spreads over tasks.
 """
 
 from __future__ import annotations
@@ -10,11 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import time_block
-from ..plans.running import with_running
+from ..plans.running import ROWS_PER_BLOCK, with_running_over_time
 
 ORDER = ("ts", "seq")
-BLOCK_SECONDS = 6 * 3600
 
 
 def known_before(previous: Column, removed: str) -> Column:
@@ -22,17 +19,17 @@ def known_before(previous: Column, removed: str) -> Column:
     return previous.isNotNull() & (previous != removed)
 
 
-def classify_changes(raw: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+def classify_changes(raw: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """CREATE, WRITE and DELETE events of a raw change feed.
 
     A raw row gives none, one or two events; ``step`` orders the two. Each event
     carries the generation of its path, counted in the same pass.
     """
-    seen = with_running(
+    seen = with_running_over_time(
         raw.select("seq", "ts", "path", "kind"),
-        keys=["path"],
-        block=time_block(F.col("ts"), block_seconds),
-        order=ORDER,
+        ["path"],
+        ORDER,
+        rows_per_block,
         sums={"_removals": F.when(F.col("kind") == "deleted", 1).otherwise(0)},
         previous={"_previous": F.col("kind")},
     )
@@ -53,17 +50,17 @@ def classify_changes(raw: DataFrame, block_seconds: int = BLOCK_SECONDS) -> Data
     )
 
 
-def stream_generations(events: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+def stream_generations(events: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Which re-creation of its path an event belongs to.
 
     A DELETE belongs to the generation it closes; repeated CREATEs do not count.
     """
     own = F.when(F.col("event") == "DELETE", 1).otherwise(0)
-    counted = with_running(
+    counted = with_running_over_time(
         events,
-        keys=["path"],
-        block=time_block(F.col("ts"), block_seconds),
-        order=ORDER,
+        ["path"],
+        ORDER,
+        rows_per_block,
         sums={"_removals": own},
     )
     return counted.withColumn("generation", (F.col("_removals") - own).cast("bigint")).drop(
@@ -72,7 +69,7 @@ def stream_generations(events: DataFrame, block_seconds: int = BLOCK_SECONDS) ->
 
 
 def route_events(
-    events: DataFrame, tracked: DataFrame | None = None, block_seconds: int = BLOCK_SECONDS
+    events: DataFrame, tracked: DataFrame | None = None, rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame:
     """What each event leads to.
 
@@ -80,11 +77,11 @@ def route_events(
     a path is tracked when its previous event was not a DELETE.
     """
     if tracked is None:
-        placed = with_running(
+        placed = with_running_over_time(
             events,
-            keys=["path"],
-            block=time_block(F.col("ts"), block_seconds),
-            order=ORDER,
+            ["path"],
+            ORDER,
+            rows_per_block,
             previous={"_previous": F.col("event")},
         )
         placed = placed.withColumn("_open", known_before(F.col("_previous"), "DELETE")).drop(

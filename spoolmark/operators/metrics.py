@@ -63,15 +63,15 @@ def stream_outcomes(status_log: DataFrame) -> DataFrame:
 
 def active_gauge(
     routed: DataFrame,
-    block_seconds: int = 3600,
+    block_seconds: int = 60,
     opening: Sequence[str] = ("open", "reopen", "resume"),
     closing: Sequence[str] = ("close", "finalize", "abort"),
 ) -> DataFrame:
     """Open streams after each action that opens or closes one.
 
     Takes the rows of ``route_events``, and any further actions in that shape.
-    Only one row per block of time is ordered globally; the rows themselves are
-    sorted block by block.
+    Only one row per block of time is ordered globally, a number that grows with
+    the time covered and not with the rows; the rows are sorted block by block.
     """
     action = F.col("action")
     delta = F.when(action.isin(*opening), 1).when(action.isin(*closing), -1)

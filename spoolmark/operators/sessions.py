@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import MICROS, all_present, time_block
+from ..functions import MICROS
+from ..plans.running import ROWS_PER_BLOCK, SPREAD, spread_over_time
 
 
 def activity_sessions(
-    events: DataFrame, gap_seconds: int, block_seconds: int | None = None
+    events: DataFrame, gap_seconds: int, rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame:
     """Sessions per path; events exactly one gap apart belong together.
 
     The same sessions as a session window with that gap. A session window sorts
-    every event of a path in one task; here events are cut into blocks of time
-    and each block into bursts, and only one row per block is ordered per path,
-    to tell which bursts continue across a block's edge.
+    every event of a path in one task; here a busy path is cut into blocks of
+    time and each block into bursts, and only one row per block is ordered per
+    path, to tell which bursts continue across a block's edge.
     """
     gap = gap_seconds * MICROS
-    block = time_block(F.col("ts"), block_seconds or max(gap_seconds, 6 * 3600))
     in_block = Window.partitionBy("path", "_block").orderBy("ts")
-    timed = events.select("path", "ts").filter(all_present("path", "ts"))
-    stepped = timed.withColumn("_block", block).withColumn(
+    spread = spread_over_time(events.select("path", "ts"), ["path"], "ts", rows_per_block)
+    stepped = spread.withColumnRenamed(SPREAD, "_block").withColumn(
         "_pause", F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(in_block))
     )
     so_far = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)

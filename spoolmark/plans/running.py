@@ -4,7 +4,7 @@ A plain window partitioned by the key sends every row of that key to one task,
 and one key may hold a third of the table. Here the order is cut into blocks:
 each (key, block) is sorted on its own, a summary of one row per (key, block) is
 combined map-side, and only the summaries are ordered per key to carry values
-from block to block.
+from block to block. Along time, only busy keys are cut: see ``spread_over_time``.
 """
 
 from __future__ import annotations
@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from ..functions import all_present
 
 BLOCK = "_block"
+SPREAD = "_spread"
+MAX_BUSY_KEYS = 10_000
+# Rows of one key that a task sorts.
+ROWS_PER_BLOCK = 1_000_000
 
 
 def with_running(
@@ -85,3 +89,48 @@ def with_running(
             for n in previous
         ],
     )
+
+
+def spread_over_time(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    rows_per_block: int,
+) -> DataFrame:
+    """Add ``_spread``: the block of each row, non-decreasing in ``ts`` per key.
+
+    A key has one block, 0, unless it holds more than
+    ``rows_per_block`` rows and more than its share of the whole, a hundredth of
+    a per cent; then its time span is cut evenly into blocks of about that many.
+    Fewer than ``MAX_BUSY_KEYS`` keys can hold that share, so the list of them
+    is small whatever the table, and is broadcast.
+    """
+    micros = F.unix_micros(F.col(ts))
+    placed = df.filter(all_present(*keys, ts))
+    volume = placed.groupBy(*keys).agg(
+        F.count("*").alias("_rows"), F.min(micros).alias("_low"), F.max(micros).alias("_high")
+    )
+    share = F.coalesce(volume.agg(F.sum("_rows")).scalar(), F.lit(0)) / F.lit(MAX_BUSY_KEYS)
+    blocks = F.ceil(F.col("_rows") / F.lit(rows_per_block))
+    width = F.ceil((F.col("_high") - F.col("_low") + 1) / blocks)
+    busy = volume.filter(
+        (F.col("_rows") > F.lit(rows_per_block)) & (F.col("_rows") > share)
+    ).select(*keys, "_low", width.alias("_width"))
+    start = micros - F.pmod(micros - F.col("_low"), F.col("_width"))
+    return (
+        placed.join(F.broadcast(busy), list(keys), "left")
+        .withColumn(SPREAD, F.when(F.col("_low").isNull(), F.lit(0)).otherwise(start))
+        .drop("_low", "_width")
+    )
+
+
+def with_running_over_time(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    rows_per_block: int,
+    **running: Mapping[str, Column],
+) -> DataFrame:
+    """``with_running`` along time, busy keys cut into blocks of about that size."""
+    spread = spread_over_time(df, keys, order[0], rows_per_block)
+    return with_running(spread, keys, F.col(SPREAD), order, **running).drop(SPREAD)

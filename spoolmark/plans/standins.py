@@ -196,12 +196,16 @@ def open_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_number(events: DataFrame) -> DataFrame:
+    """The number in the properties, read once per row."""
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+
+
 def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as status changes of one stream per user."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    kind = F.col("event_type")
+    k, kind = F.col("k"), F.col("event_type")
     reason = F.when(kind == "error", F.when(k < 50, "finalize_s3_failure").otherwise("chunk_processing_failure"))
-    return table(spark, sf_dir, "events").select(
+    return _with_number(table(spark, sf_dir, "events")).select(
         F.col("user_id").cast("string").alias("stream_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"),
@@ -217,8 +221,8 @@ def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def failed_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error events as failed operations, by the number in their properties."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    e = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
+    k = F.col("k")
+    e = _with_number(table(spark, sf_dir, "events").filter(F.col("event_type") == "error"))
     return e.select(
         F.col("user_id").cast("string").alias("stream_id"),
         F.when(k < 15, "open_stream")

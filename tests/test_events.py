@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spoolmark import schemas
 from spoolmark.operators import events, filters, metrics, sessions
+from spoolmark.plans.running import spread_over_time
 
 from helpers import at, rows
 
@@ -68,10 +69,10 @@ def test_classify_changes(spark, kinds, expected):
     assert [r["event"] for r in made.collect()] == expected
 
 
-@pytest.mark.parametrize("block_seconds", [1, 7, 60, 86400])
-def test_classify_matches_loop_at_any_block(spark, block_seconds):
+@pytest.mark.parametrize("rows_per_block", [1, 7, 60, 10**6])
+def test_classify_matches_loop_at_any_block(spark, rows_per_block):
     data = busy(schemas.CHANGE_KINDS)
-    made = events.classify_changes(spark.createDataFrame(data, schemas.RAW_CHANGES), block_seconds)
+    made = events.classify_changes(spark.createDataFrame(data, schemas.RAW_CHANGES), rows_per_block)
     assert rows(made, "seq", "path", "generation", "step", "event") == walk(data)
 
 
@@ -82,7 +83,7 @@ def test_generations(spark):
 
 def test_route_events(spark):
     names = ["WRITE", "CREATE", "WRITE", "DELETE", "DELETE", "CREATE", "CREATE"]
-    made = events.route_events(feed(spark, *names), block_seconds=3)
+    made = events.route_events(feed(spark, *names), rows_per_block=3)
     assert [r[1] for r in rows(made, "seq", "action")] == [
         "reopen", "ignore", "process", "close", "none", "open", "ignore",
     ]
@@ -141,11 +142,11 @@ def test_sessions_touching_at_the_gap_merge(spark):
     ]
 
 
-@pytest.mark.parametrize("block_seconds", [1, 10, 45, 1000])
-def test_sessions_match_the_built_in_window(spark, block_seconds):
+@pytest.mark.parametrize("rows_per_block", [1, 10, 45, 1000])
+def test_sessions_match_the_built_in_window(spark, rows_per_block):
     data = [(s, t, p, k) for s, t, p, k in busy(("modified",), n=400)]
     log = spark.createDataFrame(data, schemas.RAW_CHANGES)
-    made = sessions.activity_sessions(log, 3, block_seconds)
+    made = sessions.activity_sessions(log, 3, rows_per_block)
     built_in = log.groupBy("path", F.session_window("ts", "3 seconds").alias("w")).agg(F.count("*").alias("events"))
     assert rows(made, "path", "session_start", "session_end", "events") == rows(
         built_in.select("path", F.col("w.start").alias("s"), F.col("w.end").alias("e"), "events")
@@ -166,3 +167,16 @@ def test_active_gauge(spark, block_seconds):
             expected.append((seq, len(open_paths)))
     made = metrics.active_gauge(routed, block_seconds)
     assert sorted(rows(made, "seq", "active_streams")) == sorted(expected)
+
+
+@pytest.mark.parametrize("rows_per_block", [1, 25, 10**6])
+def test_only_busy_paths_are_cut(spark, rows_per_block):
+    log = spark.createDataFrame(busy(schemas.CHANGE_KINDS), schemas.RAW_CHANGES)
+    spread = spread_over_time(log, ["path"], "ts", rows_per_block)
+    assert spread.count() == 600
+    blocks = spread.groupBy("path").agg(F.count_distinct("_spread").alias("blocks"), F.count("*").alias("n"))
+    for path, cut, n in rows(blocks, "path", "blocks", "n"):
+        assert (cut > 1) == (n > rows_per_block), path
+        assert cut <= -(-n // rows_per_block)
+    ordered = spread.orderBy("path", "ts").select("path", "_spread").collect()
+    assert all(a[1] <= b[1] for a, b in zip(ordered, ordered[1:]) if a[0] == b[0])
