@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spoolmark.llm import (
     bpe_automaton,
     exact_dedup,
+    ngram_join,
     packing,
     quality,
     toxicity,
@@ -36,6 +37,10 @@ def packed(docs: DataFrame) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("token_ids")).drop("token_ids")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"), size=3, low=90)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = bpe_automaton.encode_documents(
         read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")
@@ -72,6 +77,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_packing": op2_packing,
+        "op3_ngram_join": op3_ngram_join,
         "op6_bpe": op6_bpe,
         "op8_quality": op8_quality,
         "op10_toxicity": op10_toxicity,
