@@ -15,6 +15,31 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 FROM g
 """
 
+# The pages given hold no redirects and no canonical links, so rules decide all.
+_RULES = r"""
+WITH u AS (
+  SELECT page_id,
+         CASE WHEN position('://' IN coalesce(url, '')) > 0
+              THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+  FROM pages),
+h AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u),
+r AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM h)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _EXACT}
+    return {"op1_exact_dedup": _EXACT, "op9_url_filter": _RULES}

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from spoolmark.llm import (
     bpe_automaton,
     exact_dedup,
+    fingerprints,
     ngram_join,
     packing,
     quality,
     toxicity,
+    url_filter,
 )
 from spoolmark.llm.tables import read
 
@@ -41,6 +43,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"), size=3, low=90)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = bpe_automaton.encode_documents(
         read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")
@@ -60,6 +66,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"), RULES)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.train(toxicity.labelled_sample(docs, read(spark, sf_dir, "labels")))
@@ -78,7 +96,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_packing": op2_packing,
         "op3_ngram_join": op3_ngram_join,
+        "op5_fingerprints": op5_fingerprints,
         "op6_bpe": op6_bpe,
         "op8_quality": op8_quality,
+        "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
     }
