@@ -143,7 +143,7 @@ def _flagged(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     each = one.join(groups, key).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))
     return each.select(
-        "doc_id", "keep_id", "group_size", (stays & (F.col("time") == 1)).alias("kept"), "text_sha256", "locator"
+        "doc_id", "keep_id", "group_size", (stays & (F.col("time") == 1)).alias("kept"), "text_sha256", "points", "locator"
     )
 
 
@@ -153,7 +153,7 @@ def deduplicate(
     """Every row of the document files in ``folder`` (doc_id, text) with its group.
 
     Returns doc_id, keep_id (id of the row that stays: most code points, then
-    smallest id), group_size, kept, text_sha256 (of the normalised text) and
+    smallest id), group_size, kept, text_sha256 (of the normalised text), points and
     locator (file of the row that stays). A null text is empty, and all empty
     texts are one group; of rows with equal ids and texts one is kept; a null
     id is the largest; an empty table gives no rows; further columns are not
@@ -191,3 +191,38 @@ def deduplicate(
         "group_size",
     )
     return right.union(_flagged(apart.drop("locator"), groups, "bytes"))
+
+
+def folder_of(docs: DataFrame, work: Workspace) -> str:
+    """The folder whose files ``docs`` reads whole, else one that they are written to."""
+    spark, files = docs.sparkSession, set(docs.inputFiles())
+    folders = {f.rsplit("/", 1)[0] for f in files}
+    if len(folders) == 1:
+        folder = folders.pop()
+        if set(spark.read.parquet(folder).inputFiles()) == files:
+            return folder
+    return work.keep(docs.select("doc_id", "text"), "docs").inputFiles()[0].rsplit("/", 1)[0]
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One row of each group of equal texts, with all columns of ``docs``, which reads files."""
+    spark = docs.sparkSession
+    found = deduplicate(spark, folder_of(docs, Workspace(spark, "distinct")))
+    kept = found.where("kept").select(
+        F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("digest"), "points"
+    )
+    text = tables.text_of()
+    named = docs.withColumns(
+        {"__digest": sha256(normalised(text)), "__points": F.length(text).cast("bigint")}
+    )
+    return (
+        named.join(
+            kept.hint("shuffle_hash"),
+            (F.col("__digest") == F.col("digest"))
+            & F.col("doc_id").cast("bigint").eqNullSafe(F.col("kept_id"))
+            & (F.col("__points") == F.col("points")),
+            "left_semi",
+        )
+        .dropDuplicates(["__digest"])
+        .select(*docs.columns)
+    )

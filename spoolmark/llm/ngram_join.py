@@ -377,3 +377,12 @@ def _named(rows: DataFrame, component: DataFrame) -> DataFrame:
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, size: int, low: int) -> DataFrame:
+    """The document with the smallest id of every component, with all columns of ``docs``."""
+    found = near_duplicates(docs, size, low)
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone"))
+    return docs.join(
+        gone.distinct().hint("shuffle_hash"), docs["doc_id"].cast("bigint") == F.col("gone"), "left_anti"
+    )

@@ -196,6 +196,25 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict, np.ndarray]:
     return fit(found["text"].to_pylist(), labels), does
 
 
+class Scorer:
+    """Scores whole texts; remembers the weights of words."""
+
+    def __init__(self, model: dict) -> None:
+        self.constant = model.get("constant")
+        if self.constant is None:
+            weight = model["weight"]
+            self.bias, self.echo = model["bias"], float(weight[ECHO])
+            self.known = Remembered(lambda word: float(weight[_features(word)].sum()), 500_000)
+
+    def score(self, text: str) -> tuple[float, int]:
+        """Score and number of words."""
+        words = text.split()
+        if not words or self.constant is not None:
+            return (self.constant or 0.0) if words else 0.0, len(words)
+        total = sum(map(self.known.__getitem__, words)) + self.echo * echoes(words)
+        return float(0.5 + 0.5 * np.tanh(0.5 * (self.bias + total / len(words)))), len(words)
+
+
 def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score (0 to 1, higher is better) and words of every whole text of ``docs``.
 
@@ -205,25 +224,29 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     """
 
     def run(batches):
-        weight, bias = model.get("weight"), model.get("bias")
-        echo = 0.0 if weight is None else float(weight[ECHO])
-        known = Remembered(lambda word: float(weight[_features(word)].sum()), 500_000)
+        scorer = Scorer(model)
         for batch in batches:
             scores, sizes = [], []
             for text in batch.column(1).to_pylist():
-                words = text.split()
-                sizes.append(len(words))
-                if not words:
-                    scores.append(0.0)
-                elif weight is None:
-                    scores.append(model["constant"])
-                else:
-                    total = sum(map(known.__getitem__, words)) + echo * echoes(words)
-                    total = bias + total / len(words)
-                    scores.append(float(0.5 + 0.5 * np.tanh(0.5 * total)))
+                score, size = scorer.score(text)
+                scores.append(score)
+                sizes.append(size)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())],
                 names=["doc_id", "score", "words"],
             )
 
     return docs.select(F.col("doc_id").cast("bigint"), tables.text_of()).mapInArrow(run, SCORES)
+
+
+def good_documents(docs: DataFrame, model: dict, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``limit`` at least, with all their columns, unshuffled."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        scorer = Scorer(model)
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            yield batch.filter(pa.array([scorer.score(t or "")[0] >= limit for t in texts]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -427,3 +427,24 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
                 )
 
     return docs.select(F.col("doc_id").cast("bigint"), tables.text_of()).mapInArrow(run, SCORES)
+
+
+def clean_documents(docs: DataFrame, model: dict, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, with all their columns, unshuffled."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        scorer = None if "constant" in model else Scorer(model)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                if scorer is None:
+                    keep = np.full(part.num_rows, model["constant"] < limit)
+                else:
+                    texts = [t or "" for t in part.column(at).to_pylist()]
+                    slope, offset = model["calibration"]
+                    total = slope * scorer.texts(texts)[0] + offset
+                    keep = 0.5 + 0.5 * np.tanh(0.5 * total) < limit
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
