@@ -6,8 +6,9 @@ enough share a shingle within a prefix of each, so only texts that meet in such
 a bucket are compared. The order is cut into fragments; each text's set is cut
 with it; a pair's overlap is counted in each fragment on its own and summed.
 
-Not all pairs of a bucket are compared. In each round every bucket names one
-pivot, and its texts are compared with that alone; what links merges. When a
+Sizes, places in the order and sketches rule out most pairs of a bucket. What
+they leave is compared in small buckets. In a large one not all pairs are
+compared: in each round it names one pivot, and its texts are compared with that alone; what links merges. When a
 round merges nothing more, the texts of one bucket that are still in different
 components are compared, unless sizes, places in the order or sketches rule a
 link out. So every link between two components is found, and a group of copies
@@ -37,9 +38,10 @@ SEEN = 4  # times in one slice of a task from which a shingle is counted
 FRAGMENTS = 4
 FILTER_BITS = 1 << 23  # of the filter for texts that have met others
 SKETCH = 512
+SMALL = 64  # texts of a bucket whose pairs are all compared
 ROUNDS = 4  # of pivots at most; what is left is compared exhaustively
 
-_DOCS = "doc_id BIGINT, n BIGINT, node BIGINT, check BIGINT, sketch BINARY, shingle BIGINT, times BIGINT"
+_DOCS = "doc_id BIGINT, n BIGINT, node BIGINT, check BIGINT, sketch ARRAY<BIGINT>, shingle BIGINT, times BIGINT"
 
 
 def _nodes(sets: list[np.ndarray]) -> tuple[list, list]:
@@ -53,10 +55,10 @@ def _nodes(sets: list[np.ndarray]) -> tuple[list, list]:
     ]
 
 
-def _sketch(hashes: np.ndarray) -> bytes:
+def _sketch(hashes: np.ndarray) -> np.ndarray:
     """The parity of the set's hashes in each of ``SKETCH`` cells."""
     cells = (hashes >> np.uint64(20)) % np.uint64(SKETCH)
-    return np.packbits(np.bincount(cells.astype(np.int64), minlength=SKETCH) & 1).tobytes()
+    return np.packbits(np.bincount(cells.astype(np.int64), minlength=SKETCH) & 1).view(np.int64)
 
 
 def _read(docs: DataFrame, size: int) -> DataFrame:
@@ -68,7 +70,7 @@ def _read(docs: DataFrame, size: int) -> DataFrame:
         n = int(often.sum())
         none = pa.nulls(n, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.nulls(n, pa.binary())]
+            [none, none, none, none, pa.nulls(n, pa.list_(pa.int64()))]
             + [pa.array(found[often].view(np.int64)), pa.array(times[often].astype(np.int64))],
             names=names,
         )
@@ -89,7 +91,7 @@ def _read(docs: DataFrame, size: int) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(node, pa.int64()),
                         pa.array(check, pa.int64()),
-                        pa.array([_sketch(s) for s in sets], pa.binary()),
+                        pa.array([_sketch(s) for s in sets], pa.list_(pa.int64())),
                         none,
                         none,
                     ],
@@ -286,24 +288,45 @@ def near_duplicates(docs: DataFrame, size: int, low: int) -> DataFrame:
     if not clash.where("low <> high").isEmpty():
         raise ValueError("two sets have one number; use another seed")
 
+    # Alone in a bucket, or among texts of other sizes, a text meets nobody there.
+    bucket = Window.partitionBy("shingle")
+    sized = bucket.orderBy("n")
     met = _postings(docs, size, low, names, place)
-    several = F.count("*").over(Window.partitionBy("shingle"))
-    met = met.repartition("shingle").dropDuplicates(["shingle", "node"])
-    met = work.keep(met.withColumn("several", several).where("several > 1").drop("several"), "met")
-    nodes = met.select("node").distinct()
-    segments = work.keep(_segments(docs, nodes, size, names, place), "segments")
+    met = met.repartition("shingle").dropDuplicates(["shingle", "node"]).select(
+        "*",
+        F.count("*").over(bucket).alias("size"),
+        F.lag("n").over(sized).alias("less"),
+        F.lead("n").over(sized).alias("more"),
+    )
+    met = met.where((F.col("less") * 100 >= F.col("n") * low) | (F.col("n") * 100 >= F.col("more") * low))
+    met = work.keep(met.drop("less", "more"), "met")
     sketches = (
         rows.where("node IS NOT NULL")
-        .join(nodes, "node", "left_semi")
+        .join(met.select("node").distinct(), "node", "left_semi")
         .groupBy("node")
         .agg(F.min("sketch").alias("sketch"))
     )
-    words = [F.conv(F.hex(F.substring("sketch", 8 * k + 1, 8)), 16, -10) for k in range(SKETCH // 64)]
-    sketches = sketches.select("node", F.array(*[w.cast("bigint") for w in words]).alias("sketch"))
     met = work.keep(met.join(sketches, "node"), "sketched")
 
-    links = met.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    parts = met.withColumn("component", F.col("node"))
+    # Small buckets: all pairs that may link. They are at most SMALL for each text.
+    small = met.where(F.col("size") <= SMALL)
+    close = small.alias("x").join(
+        small.alias("y"),
+        (F.col("x.shingle") == F.col("y.shingle"))
+        & (F.col("x.node") < F.col("y.node"))
+        & _possible("x", "y", low),
+    )
+    pairs = work.keep(_pairs(close), "pairs")
+    met = work.keep(met.where(F.col("size") > SMALL), "large")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(met.select("node"))
+    nodes = work.keep(nodes.distinct(), "nodes")
+    segments = work.keep(_segments(docs, nodes, size, names, place), "segments")
+    links = work.keep(_linked(pairs, segments, low).select("a", "b"), "links")
+    if met.isEmpty():
+        return _named(rows, connected_components(links, work))
+
+    # Large buckets: pivots first.
+    parts = work.keep(_labelled(met, links, work), "parts")
     for turn in range(ROUNDS):
         pivot = parts.groupBy("shingle").agg(
             F.min_by(
