@@ -9,9 +9,8 @@ with it; a pair's overlap is counted in each fragment on its own and summed.
 Sizes, places in the order and sketches rule out most pairs of a bucket. What
 they leave is compared in small buckets. In a large one not all pairs are
 compared: in each round it names one pivot, and its texts are compared with that alone; what links merges. When a
-round merges nothing more, the texts of one bucket that are still in different
-components are compared, unless sizes, places in the order or sketches rule a
-link out. So every link between two components is found, and a group of copies
+round merges nothing more, the texts outside a bucket's largest component are
+compared with those of all other components, where a link is not ruled out. So every link between two components is found, and a group of copies
 costs as many comparisons as it has texts, about.
 """
 
@@ -348,32 +347,19 @@ def near_duplicates(docs: DataFrame, size: int, low: int) -> DataFrame:
             break
         links = work.keep(links.union(found), "links")
         parts = work.keep(_labelled(met, links, work), "parts")
-    # Exhaustively, where a bucket still has several components.
-    groups = parts.select("shingle", "component").distinct()
-    cross = (
-        groups.alias("g")
-        .join(
-            groups.alias("h"),
-            (F.col("g.shingle") == F.col("h.shingle")) & (F.col("g.component") < F.col("h.component")),
-        )
-        .select(
-            F.col("g.shingle").alias("shingle"),
-            F.col("g.component").alias("one"),
-            F.col("h.component").alias("two"),
-        )
+    # Exhaustively, what is not in the largest component of its bucket, with all others.
+    counts = parts.groupBy("shingle", "component").agg(F.count("*").alias("times"))
+    main = counts.groupBy("shingle").agg(
+        F.max_by("component", F.struct("times", "component")).alias("main"),
+        F.count("*").alias("components"),
     )
-    near = (
-        cross.alias("c")
-        .join(
-            parts.alias("x"),
-            (F.col("c.shingle") == F.col("x.shingle")) & (F.col("c.one") == F.col("x.component")),
-        )
-        .join(
-            parts.alias("y"),
-            (F.col("c.shingle") == F.col("y.shingle"))
-            & (F.col("c.two") == F.col("y.component"))
-            & _possible("x", "y", low),
-        )
+    parts = parts.join(main.where("components > 1"), "shingle")
+    near = parts.where("component <> main").alias("x").join(
+        parts.alias("y"),
+        (F.col("x.shingle") == F.col("y.shingle"))
+        & (F.col("x.component") != F.col("y.component"))
+        & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+        & _possible("x", "y", low),
     )
     found = _linked(_pairs(near), segments, low).select("a", "b")
     links = work.keep(links.union(found), "links")
