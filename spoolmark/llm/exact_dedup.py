@@ -20,8 +20,14 @@ from pyspark.sql import types as T
 from spoolmark.llm import tables
 from spoolmark.llm.tables import Workspace
 
-#: State on disk; a fixed name of the engine.
-DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, of which only changes are copied to the checkpoint; no room is
+#: set aside in advance, as there may be many small stores. Names of the engine.
+_STATE = "spark.sql.streaming.stateStore."
+DISK_STATE = {
+    _STATE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    _STATE + "rocksdb.changelogCheckpointing.enabled": "true",
+    _STATE + "rocksdb.allowFAllocate": "false",
+}
 SPREAD = 2000  # rows of one group that are compared in one task, about
 
 
@@ -59,7 +65,13 @@ def keepers(
     smallest id, a null id last.
     """
     schema = spark.read.parquet(folder).select("doc_id", "text").schema
-    reader = spark.readStream.schema(schema)
+    # A session of its own, so that the caller's settings stay as they are.
+    session = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        session.conf.set(name, spark.conf.get(name))
+    for name, value in DISK_STATE.items():
+        session.conf.set(name, value)
+    reader = session.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     # As a pattern, the path may also be that of a single file.
@@ -78,20 +90,14 @@ def keepers(
         path = f"{made}/part={number}"
         batch.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(path)
 
-    session = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", DISK_STATE)
-    try:
-        query = (
-            state.writeStream.outputMode("update")
-            .foreachBatch(append)
-            .option("checkpointLocation", checkpoint or work.path("stream"))
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-    finally:
-        if session:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", session)
+    query = (
+        state.writeStream.outputMode("update")
+        .foreachBatch(append)
+        .option("checkpointLocation", checkpoint or work.path("stream"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
     if query.lastProgress is None:
         told = spark.createDataFrame([], out)
     else:
