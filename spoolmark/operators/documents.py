@@ -99,8 +99,10 @@ def stored_form(documents: DataFrame) -> DataFrame:
         F.col(ours.name).cast(stored.dataType).alias(stored.name)
         for ours, stored in zip(METADATA_DOCUMENT.fields, STORED_DOCUMENT.fields)
     ]
+    first = metadata_key(F.col("s3_key_prefix"))
+    later = F.concat(first, F.lit(".page"), F.col("page").cast("string"))
     return documents.select(
-        metadata_key(F.col("s3_key_prefix")).alias("metadata_key"),
+        F.when(F.col("page") > 0, later).otherwise(first).alias("metadata_key"),
         "page",
         F.struct(*fields).alias("document"),
     )

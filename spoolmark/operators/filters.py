@@ -24,11 +24,12 @@ def valid_parts(ledger: DataFrame) -> DataFrame:
 def completion_manifest(ledger: DataFrame, parts_per_page: int = PARTS_PER_PAGE) -> DataFrame:
     """Ordered (number, etag) list of each stream, in pages of ``parts_per_page``.
 
-    The last upload of each part counts, so a page is bounded and a stream within
-    the object-store limit has exactly one.
+    The last successful upload of each part counts: a failed retry leaves the
+    part that was there. So a page is bounded and a stream within the
+    object-store limit has exactly one.
     """
     return (
-        valid_parts(latest_parts(ledger))
+        latest_parts(valid_parts(ledger))
         .groupBy("stream_id", page_of(F.col("part_number"), parts_per_page).alias("page"))
         .agg(F.sort_array(F.collect_list(F.struct("part_number", "etag"))).alias("parts"))
     )

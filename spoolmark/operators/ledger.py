@@ -73,10 +73,12 @@ def upload_progress(uploads: DataFrame, parts_per_block: int = PARTS_PER_PAGE) -
     """Bytes sent, next part and last activity after each committed part.
 
     ``uploads`` is the upload log; an upload without an etag failed. Only the
-    prefix before a stream's first failed part counts. The last upload of a part
-    decides, so a block holds at most ``parts_per_block`` rows.
+    prefix before a stream's first failed part counts. The last success of a part
+    decides, and a part has failed only without one, so a block holds at most
+    ``parts_per_block`` rows.
     """
-    parts = latest_parts(uploads)
+    tried = uploads.withColumn("_good", F.coalesce(present(F.col("etag")), F.lit(False)))
+    parts = latest_parts(tried, order=("_good", *UPLOAD_ORDER)).drop("_good")
     progress = with_running(
         parts,
         keys=["stream_id"],

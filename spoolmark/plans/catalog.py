@@ -412,8 +412,9 @@ def resume_actions_compat(spark, sf_dir):
 @query
 def finalize_plan(spark, sf_dir):
     open_files, _ = s.snapshots(spark, sf_dir)
+    good = filters.valid_parts(s.upload_log(spark, sf_dir))
     return decisions.finalize_plan(
-        s.stream_meta(spark, sf_dir), ledger.latest_parts(s.upload_log(spark, sf_dir)), open_files
+        s.stream_meta(spark, sf_dir), ledger.latest_parts(good), open_files
     )
 
 

@@ -59,10 +59,20 @@ _TABLES = {
                CAST(l_quantity AS BIGINT) AS size_bytes,
                CAST(l_shipdate AS TIMESTAMP) AS uploaded_at
         FROM lineitem""",
-    "last_attempts": """
-        SELECT * FROM attempts
+    # A failed upload leaves no part, so it can't replace a good one.
+    "good_attempts": """
+        SELECT * FROM attempts WHERE etag <> ''
         QUALIFY row_number() OVER (PARTITION BY stream_id, part_number
-                ORDER BY uploaded_at DESC, etag DESC NULLS LAST, size_bytes DESC) = 1""",
+                ORDER BY uploaded_at DESC, etag DESC, size_bytes DESC) = 1""",
+    "part_outcomes": """
+        SELECT * FROM good_attempts
+        UNION ALL
+        SELECT * FROM (
+            SELECT * FROM attempts a
+            WHERE NOT EXISTS (SELECT 1 FROM good_attempts g WHERE g.stream_id = a.stream_id
+                              AND g.part_number = a.part_number)
+            QUALIFY row_number() OVER (PARTITION BY stream_id, part_number
+                    ORDER BY uploaded_at DESC, size_bytes DESC) = 1)""",
     "packed": """
         SELECT CAST(l_orderkey AS VARCHAR) AS stream_id,
                CASE WHEN l_linenumber = 4 AND l_returnflag = 'R' THEN 'abc'
@@ -246,7 +256,8 @@ _TABLES = {
 # Which other logical tables each one reads.
 _READS = {
     "parts": ["uploads"],
-    "last_attempts": ["attempts"],
+    "good_attempts": ["attempts"],
+    "part_outcomes": ["good_attempts"],
     "pieces": ["packed"],
     "typed": ["pieces"],
     "seen": ["raw"],
@@ -449,10 +460,10 @@ def all_sql() -> dict[str, str]:
                 FROM attempts WHERE etag IS NOT NULL AND etag <> ''""",
         ),
         "completion_manifest": _with(
-            "last_attempts",
+            "good_attempts",
             """SELECT stream_id, CAST(0 AS BIGINT) AS page, count(*) AS part_count,
                       string_agg(part_number || ':' || etag, ',' ORDER BY part_number) AS parts
-               FROM last_attempts WHERE etag <> '' GROUP BY stream_id""",
+               FROM good_attempts GROUP BY stream_id""",
         ),
         "list_parts": _with(
             "attempts",
@@ -505,12 +516,12 @@ def all_sql() -> dict[str, str]:
                 FROM doc_chunks""",
         ),
         "upload_progress": _with(
-            "last_attempts",
+            "part_outcomes",
             f"""SELECT stream_id, part_number, CAST(sent AS BIGINT) AS bytes_sent,
                        part_number + 1 AS next_part, {_text('latest')} AS last_activity_at
                 FROM (SELECT *, sum(size_bytes) OVER w AS sent, max(uploaded_at) OVER w AS latest,
                              sum(CASE WHEN etag IS NULL THEN 1 ELSE 0 END) OVER w AS failures
-                      FROM last_attempts
+                      FROM part_outcomes
                       WINDOW w AS (PARTITION BY stream_id ORDER BY part_number))
                 WHERE failures = 0""",
         ),
@@ -620,14 +631,14 @@ def all_sql() -> dict[str, str]:
         "resume_actions": _resume(False),
         "resume_actions_compat": _resume(True),
         "finalize_plan": _with(
-            "meta last_attempts",
+            "meta good_attempts",
             """SELECT stream_id, s3_key_prefix, parts,
                       CASE WHEN missing THEN 'fail' WHEN parts = 0 THEN 'abort_no_parts'
                            ELSE 'complete' END AS action,
                       CASE WHEN missing THEN 'finalize_file_missing' END AS reason
                FROM (SELECT m.stream_id, m.s3_key_prefix,
-                            (SELECT count(*) FROM last_attempts a
-                             WHERE a.stream_id = m.stream_id AND a.etag IS NOT NULL) AS parts,
+                            (SELECT count(*) FROM good_attempts a
+                             WHERE a.stream_id = m.stream_id) AS parts,
                             m.original_path IS NULL OR m.original_path NOT IN
                                 (SELECT '/watch/' || l_orderkey || '.mp4' FROM lineitem
                                  WHERE l_shipdate < TIMESTAMP '1998-06-01') AS missing

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.documents import stored_form
@@ -10,10 +13,15 @@ from ..operators.ledger import latest_parts
 from ..schemas import PART_LEDGER, STORED_DOCUMENT, STORED_TIME
 
 
-def write_ledger(batch: DataFrame, directory: str, batch_id: int) -> None:
-    """Append one batch of uploads; writing the same batch again replaces it."""
+def write_ledger(batch: DataFrame, directory: str, batch_id: int, writer: str = "batch") -> None:
+    """Append one batch of uploads; the same batch of the same writer replaces itself.
+
+    Writers never touch each other's batches: a stream with a new checkpoint
+    is a new writer, although its batches are numbered from 0 again.
+    """
     columns = [f.name for f in PART_LEDGER.fields]
-    batch.select(*columns).write.mode("overwrite").parquet(f"{directory}/batch_id={batch_id}")
+    target = f"{directory}/writer={writer}/batch_id={batch_id}"
+    batch.select(*columns).write.mode("overwrite").parquet(target)
 
 
 def read_ledger(spark: SparkSession, directory: str) -> DataFrame:
@@ -23,13 +31,18 @@ def read_ledger(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def write_metadata_json(documents: DataFrame, directory: str) -> None:
-    """One JSON line per document, with its target key and page; nulls kept."""
-    lines = stored_form(documents).write.mode("overwrite")
-    lines.option("ignoreNullFields", "false").option("timestampFormat", STORED_TIME).json(directory)
+    """One JSON line per document, with its target key and page; nulls kept.
+
+    Each run adds a folder of its own, and earlier documents stay.
+    """
+    lines = stored_form(documents).write
+    lines.option("ignoreNullFields", "false").option("timestampFormat", STORED_TIME).json(
+        f"{directory}/run={time.time_ns()}"
+    )
 
 
 def read_metadata_json(spark: SparkSession, directory: str) -> DataFrame:
-    """The lines of ``write_metadata_json`` in their stored form."""
+    """The lines of ``write_metadata_json`` in their stored form; the last run of a key counts."""
     schema = T.StructType(
         [
             T.StructField("metadata_key", T.StringType()),
@@ -37,4 +50,7 @@ def read_metadata_json(spark: SparkSession, directory: str) -> DataFrame:
             T.StructField("document", STORED_DOCUMENT),
         ]
     )
-    return spark.read.schema(schema).option("timestampFormat", STORED_TIME).json(directory)
+    lines = spark.read.schema(schema).option("timestampFormat", STORED_TIME).json(directory)
+    last = Window.partitionBy("metadata_key").orderBy(F.desc("run"))
+    ranked = lines.withColumn("_rank", F.rank().over(last))
+    return ranked.filter("_rank = 1").select("metadata_key", "page", "document")

@@ -106,10 +106,14 @@ def progress_stream(ledger: DataFrame) -> DataFrame:
 
 
 def ledger_sink(uploads: DataFrame, directory: str, checkpoint: str) -> StreamingQuery:
-    """Append every micro-batch of uploads to the ledger folder, once."""
+    """Append every micro-batch of uploads to the ledger folder, once.
+
+    The id of the query, which its checkpoint keeps, names the writer.
+    """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        write_ledger(batch, directory, batch_id)
+        context = batch.sparkSession.sparkContext
+        write_ledger(batch, directory, batch_id, context.getLocalProperty("sql.streaming.queryId"))
 
     return (
         uploads.writeStream.foreachBatch(append)

@@ -135,12 +135,17 @@ def test_upload_progress(spark):
         ("mid", 4, "d", 40, at("12:07")),
         ("retried", 1, None, 5, at("12:00")),
         ("retried", 1, "a", 5, at("12:01")),
+        ("spoilt", 1, "a", 7, at("12:00")),
+        ("spoilt", 1, None, 7, at("12:02")),
+        ("spoilt", 2, "b", 8, at("12:03")),
     )
     expected = [
         ("cut", 1, MB, 2, at("12:00")),
         ("mid", 1, 10, 2, at("12:05")),
         ("mid", 2, 30, 3, at("12:05")),
         ("retried", 1, 5, 2, at("12:01")),
+        ("spoilt", 1, 7, 2, at("12:00")),
+        ("spoilt", 2, 15, 3, at("12:03")),
     ]
     for block in (1, 2, 10_000):
         made = ledger.upload_progress(log, parts_per_block=block)

@@ -118,6 +118,10 @@ def test_ledger_sink_restart(spark, tmp_path):
         uploads.ledger_sink(feed.stream(schemas.PART_LEDGER), out, mark).awaitTermination()
     assert rows(sinks.read_ledger(spark, out), "part_number", "etag") == [(1, "b"), (2, "c")]
     assert spark.read.parquet(out).count() == 3
+    # Without its checkpoint the stream is a new writer, and the old rows stay.
+    uploads.ledger_sink(feed.stream(schemas.PART_LEDGER), out, str(tmp_path / "other")).awaitTermination()
+    assert spark.read.parquet(out).count() == 6
+    assert rows(sinks.read_ledger(spark, out), "part_number", "etag") == [(1, "b"), (2, "c")]
 
 
 @pytest.fixture
