@@ -31,6 +31,7 @@ from spoolmark.llm.tables import Workspace
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 START, END = "<|im_start|>", "<|im_end|>\n"
+BLOCK_TURNS = 2000  # turns of a block, about, while there are fewer blocks than partitions
 DEPTH = 32  # shared turns by which conversations are ordered
 
 _TURNS = "conv_id BIGINT, turn_no BIGINT, node STRING, role STRING, text STRING"
@@ -223,7 +224,9 @@ def format_conversations(turns: DataFrame, work: Workspace) -> DataFrame:
     walk = named.join(keys, F.col("conv_id").eqNullSafe(F.col("key_id")), "left").select(
         F.coalesce("key", F.lit("")).alias("key"), "conv_id", "turn_no", "node", "role", "text"
     )
-    walk = walk.repartitionByRange(parts, "key", "conv_id")
+    # A block is a range of this order; where one ends, its path starts anew.
+    blocks = min(parts, 1 + named.count() // BLOCK_TURNS)
+    walk = walk.repartitionByRange(blocks, "key", "conv_id")
     walk = walk.sortWithinPartitions("key", "conv_id", "turn_no")
     return work.keep(walk.mapInArrow(_walked, _SEGMENTS), "segments")
 
