@@ -138,6 +138,10 @@ def flatten_chunks(documents: DataFrame) -> DataFrame:
     )
 
 
+#: A decimal number, or a name of one that is not finite; no type suffix as in 1.0d.
+NUMBER = r"^(?i)[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)$"
+
+
 def probe_results(rows: DataFrame) -> DataFrame:
     """Duration or error text of each media-probe run.
 
@@ -145,7 +149,7 @@ def probe_results(rows: DataFrame) -> DataFrame:
     """
     text = F.btrim(F.col("stdout"), F.lit(BLANKS))
     answered = (F.col("return_code") == 0) & (F.length(F.coalesce("stdout", F.lit(""))) > 0)
-    duration = F.when(answered, text.try_cast("double"))
+    duration = F.when(answered & text.rlike(NUMBER), text.try_cast("double"))
     failed = F.concat(
         F.lit("ffprobe error (return code "),
         F.coalesce(F.col("return_code").cast("string"), F.lit("unknown")),

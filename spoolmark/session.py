@@ -39,7 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    # ``local-cluster[...]`` has executors of its own, which may share no folder.
+    if spark.conf.get("spark.master", "local").split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     made = tempfile.mkdtemp(prefix="spoolmark-")
     spark.conf.set("spark.checkpoint.dir", made)

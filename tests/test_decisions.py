@@ -261,7 +261,7 @@ def test_stored_documents_round_trip(spark, document_world, tmp_path):
 
 
 def test_probe_results(spark):
-    data = [("a", 0, " 12.5\n", ""), ("b", 0, "N/A", ""), ("c", 0, "", "x "), ("d", 1, "9", "bad\n"), ("e", 0, " \n", ""), ("f", 0, None, None), ("g", None, "9", "")]
+    data = [("a", 0, " 12.5\n", ""), ("b", 0, "N/A", ""), ("c", 0, "", "x "), ("d", 1, "9", "bad\n"), ("e", 0, " \n", ""), ("f", 0, None, None), ("g", None, "9", ""), ("h", 0, "1.0d", ""), ("i", 0, "-1.5E+2", ""), ("j", 0, "2f", "")]
     made = documents.probe_results(spark.createDataFrame(data, schemas.PROBE_ROWS))
     assert rows(made) == [
         ("a", 12.5, None),
@@ -271,4 +271,7 @@ def test_probe_results(spark):
         ("e", None, "ffprobe output is not a valid float: "),
         ("f", None, "ffprobe error (return code 0): "),
         ("g", None, "ffprobe error (return code unknown): "),
+        ("h", None, "ffprobe output is not a valid float: 1.0d"),
+        ("i", -150.0, None),
+        ("j", None, "ffprobe output is not a valid float: 2f"),
     ]
