@@ -116,11 +116,17 @@ def histogram(
     )
 
 
-def processing_time(
-    state: DataFrame, started: str = "started_at", completed: str = "last_activity_at"
-) -> DataFrame:
-    """Seconds from the start of each stream to its completion."""
-    return state.select(
-        "stream_id",
-        seconds_between(F.col(completed), F.col(started)).alias("processing_seconds"),
-    ).filter(F.col("processing_seconds").isNotNull())
+def processing_time(state: DataFrame, log: DataFrame, started: str = "started_at") -> DataFrame:
+    """Seconds from the start of each completed stream to its completion in the log.
+
+    Of several completions the last counts; a stream whose status is another one
+    by now has none, as has one without a start or a logged completion.
+    """
+    done = log.where(F.col("status") == "completed_with_meta")
+    done = done.groupBy("stream_id").agg(F.max("ts").alias("_done"))
+    return (
+        state.where(F.col("status") == "completed_with_meta")
+        .join(done, "stream_id")
+        .select("stream_id", seconds_between(F.col("_done"), F.col(started)).alias("processing_seconds"))
+        .filter(F.col("processing_seconds").isNotNull())
+    )

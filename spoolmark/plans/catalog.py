@@ -548,13 +548,13 @@ def duration_histogram(spark, sf_dir):
 
 @query
 def processing_time(spark, sf_dir):
-    taken = metrics.processing_time(s.stream_meta(spark, sf_dir))
-    return taken.withColumn("processing_seconds", F.col("processing_seconds").cast("bigint"))
+    taken = metrics.processing_time(*s.logged_streams(spark, sf_dir))
+    return taken.withColumn("processing_seconds", F.floor("processing_seconds"))
 
 
 @query
 def processing_time_histogram(spark, sf_dir):
-    taken = metrics.processing_time(s.stream_meta(spark, sf_dir)).withColumn(
+    taken = metrics.processing_time(*s.logged_streams(spark, sf_dir)).withColumn(
         "seconds", F.col("processing_seconds").cast("decimal(18,2)")
     )
     return _sum_as_text(metrics.histogram(taken, "seconds", PROCESSING_TIME_BUCKETS))

@@ -418,6 +418,14 @@ def _membership() -> str:
     )
 
 
+COMPLETED = """
+    SELECT stream_id,
+           (epoch_us(max(ts) FILTER (WHERE status = 'completed_with_meta')) - epoch_us(min(ts)))
+               / 1000000.0 AS seconds
+    FROM log GROUP BY stream_id
+    HAVING arg_max(status, struct_pack(t := ts, s := seq)) = 'completed_with_meta'"""
+
+
 def all_sql() -> dict[str, str]:
     feed_columns = f"seq, {_text('ts')} AS ts, path, event"
     doc_chunk = "substr(data_hex, CAST(\"offset\" * 2 + 1 AS BIGINT), length * 2)"
@@ -728,17 +736,11 @@ def all_sql() -> dict[str, str]:
             "label",
             [5, 10, 30, 60, 120, 300, 600, 1800, 3600],
         ),
-        "processing_time": _with(
-            "meta",
-            """SELECT stream_id, CAST(epoch(last_activity_at) - epoch(started_at) AS BIGINT)
-                          AS processing_seconds
-               FROM meta WHERE last_activity_at IS NOT NULL""",
-        ),
+        "processing_time": _with("log", f"SELECT stream_id, CAST(floor(seconds) AS BIGINT) AS processing_seconds FROM ({COMPLETED})"),
         "processing_time_histogram": _with(
-            "meta",
+            "log",
             _histogram(
-                """SELECT CAST(epoch(last_activity_at) - epoch(started_at) AS DECIMAL(18,2)) AS v
-                   FROM meta""",
+                f"SELECT CAST(seconds AS DECIMAL(18,2)) AS v FROM ({COMPLETED})",
                 "",
                 [10, 30, 60, 120, 300, 600, 1800, 3600, 7200],
             ),

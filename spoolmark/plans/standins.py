@@ -219,6 +219,15 @@ def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def logged_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Streams with their first time and last status, and the log that names both."""
+    log = status_log(spark, sf_dir)
+    state = log.groupBy("stream_id").agg(
+        F.min("ts").alias("started_at"), F.max_by("status", F.struct("ts", "seq")).alias("status")
+    )
+    return state, log
+
+
 def failed_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error events as failed operations, by the number in their properties."""
     k = F.col("k")

@@ -129,8 +129,13 @@ def test_histogram(spark):
 
 
 def test_processing_time(spark):
-    data = [("a", at("12:00"), at("12:01:30")), ("b", at("12:00"), None)]
-    taken = metrics.processing_time(spark.createDataFrame(data, "stream_id STRING, started_at TIMESTAMP, last_activity_at TIMESTAMP"))
+    done, failed = "completed_with_meta", "failed_task_error"
+    state = [("a", at("12:00"), done), ("b", at("12:00"), failed), ("c", None, done), ("d", at("12:00"), done)]
+    log = [("a", at("12:01:30"), done), ("a", at("12:01"), done), ("a", at("12:09"), "active"), ("b", at("12:01"), done), ("c", at("12:01"), done)]
+    taken = metrics.processing_time(
+        spark.createDataFrame(state, "stream_id STRING, started_at TIMESTAMP, status STRING"),
+        spark.createDataFrame(log, "stream_id STRING, ts TIMESTAMP, status STRING"),
+    )
     assert rows(taken) == [("a", 90.0)]
 
 
