@@ -196,6 +196,27 @@ def test_html(spark):
     assert made[3] == "" and made[4] == "plain text"
 
 
+def test_html_repeats(spark):
+    """Copies and shared quotations stay; menus of short blocks on most pages go."""
+    menu = "".join(f"<div>item {x}</div>" for x in "abcde")
+    foot = "<div>all rights</div><div>are reserved</div><div>here since</div><div>the year one</div>"
+    quote = "to be or not to be that is the question indeed"
+    body = [" ".join(f"w{k}x{i}" for i in range(12)) for k in range(12)]
+    body[3] += " " + quote
+    body[4] += " " + quote
+    page = menu + "<div>{}</div><article>a{}</article>" + foot
+    rows = [(k, f"http://many/{k}", page.format(body[k], k)) for k in range(12)]
+    rows += [(100 + k, f"http://many/copy{k}", page.format(body[0], 0)) for k in range(9)]
+    rows += [(200 + k, f"http://copies/{k}", f"<p>{quote}</p>") for k in range(3)]
+    made = {r.page_id: r.text for r in html_text.main_texts(
+        spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")).collect()}
+    assert len(made) == len(rows)
+    for k in range(12):
+        assert made[k] == f"{body[k]}\na{k}"
+    assert {made[100 + k] for k in range(9)} == {f"{body[0]}\na0"}
+    assert {made[200 + k] for k in range(3)} == {quote}
+
+
 def test_url_filter(spark):
     link = '<link href="{}" rel="canonical">'
     rows = [(1, "https://A.Example.net/en/x?y#z", None), (2, "http://example.net/fr", None), (3, None, ""),
