@@ -217,6 +217,20 @@ def test_html_repeats(spark):
     assert {made[200 + k] for k in range(3)} == {quote}
 
 
+def test_html_names():
+    """Names hide no page, main or article, and only as whole tokens."""
+    def texts(page):
+        return [t for kind, t in html_text.blocks_of(page) if kind != html_text.GONE]
+
+    post = "<article class='post category-social'><div class='post-header'><h1>T</h1></div><p>x</p></article>"
+    assert texts(f"<body class='home has-sidebar'><main id=search-results>{post}</main></body>") == ["T", "x"]
+    assert texts(f"<body class=search><div class='wide search'>no{post}no</div><p>y") == ["T", "x", "y"]
+    assert texts("<article><p data-id='ad' title='class=ad'>x</p><div class='big ad'>no</div>y</article>") == ["x", "y"]
+    assert texts("<nav><article>no</article></nav><div role=navigation>no</div><p>a<span class=x-ad>b</span>c") == ["abc"]
+    share = html_text.blocks_of("<article><div class=share-bar>s</div><p>x</p></article>")
+    assert [k for k, _ in share] == [html_text.OPEN, html_text.KEEP]
+
+
 def test_url_filter(spark):
     link = '<link href="{}" rel="canonical">'
     rows = [(1, "https://A.Example.net/en/x?y#z", None), (2, "http://example.net/fr", None), (3, None, ""),
