@@ -1,6 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A word enters as two vectors: that of its hashed spelling, and the mean of
+Words are runs outside white space. One of over ``LONG`` characters is cut, at
+what is no letter or digit, and into overlapping pieces where that leaves long
+ones; each piece enters as a word, so texts without spaces pass through windows
+whole. A word enters as two vectors: that of its hashed spelling, and the mean of
 those of its hashed character pieces. Two gated recurrent units read a window
 of words from either end; attention pools their states, and a linear layer
 scores the window. Windows overlap by a third, all are scored, and the text's score
@@ -14,6 +17,7 @@ start from the log-odds of spellings and pieces in the sample.
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 
@@ -31,15 +35,43 @@ WINDOW, STRIDE = 24, 16
 WORD_SLOTS, PIECE_SLOTS = 1 << 15, 1 << 14
 WIDTH, HIDDEN = 8, 8
 TOXIC_ROWS, CLEAN_ROWS = 1000, 2000  # most labelled rows that training uses
-TRAIN_WORDS = 20_000  # of one training row, cut out at a place its id names
+LONG = 40  # most characters of a word that is not cut
+CUT, SHARED = 16, 4  # characters of a piece of a cut run, and of those the next one has too
 ROUNDS, BATCH = 3, 128
 
 SCORES = "doc_id BIGINT, score DOUBLE, windows BIGINT, worst_word BIGINT"
 
 
+_RUN = re.compile(r"[^\W_]+[\W_]{0,3}|[\W_]{1,8}")
+
+
+def _cut(word: str) -> list[str]:
+    """Pieces of a long word that hold all of its characters in order."""
+    out = []
+    for run in _RUN.findall(word):
+        if len(run) <= LONG:
+            out.append(run)
+        else:
+            out += [run[k : k + CUT] for k in range(0, len(run) - SHARED, CUT - SHARED)]
+    return out
+
+
+def words_of(text: str) -> tuple[list[str], np.ndarray | None]:
+    """Words of a text, long ones cut; if any was, which word of the text each is from."""
+    words = text.lower().split()
+    if not words or max(map(len, words)) <= LONG:
+        return words, None
+    cut, owner = [], []
+    for k, word in enumerate(words):
+        pieces = [word] if len(word) <= LONG else _cut(word)
+        cut += pieces
+        owner += [k] * len(pieces)
+    return cut, np.array(owner, np.int64)
+
+
 def _slots(word: str) -> tuple[int, list[int]]:
     """Slot of a word's spelling and slots of its pieces of three and four characters."""
-    data = f"<{word[:40]}>"
+    data = f"<{word}>"
     pieces = [data[i : i + n] for n in (3, 4) for i in range(max(1, len(data) - n + 1))]
     return (
         1 + zlib.crc32(word.encode()) % (WORD_SLOTS - 1),
@@ -184,6 +216,7 @@ class Scorer:
             self._forget()
         best, counts = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64)
         where = np.zeros(len(texts), np.int64)
+        sources: dict[int, np.ndarray] = {}  # words of texts that pieces are from
         held: list = []  # (text, first word, word numbers) whose windows wait
         size = 0
 
@@ -209,7 +242,9 @@ class Scorer:
                     best[i], where[i] = logits[top], first[top]
 
         for i, text in enumerate(texts):
-            words = text.lower().split()
+            words, source = words_of(text)
+            if source is not None:
+                sources[i] = source
             # A very long text goes by in parts that overlap as windows do.
             for k in range(0, max(len(words) - (WINDOW - STRIDE), 1), 96_000):
                 numbers = self.words.of(words[k : k + 96_000 + WINDOW - STRIDE])
@@ -220,6 +255,8 @@ class Scorer:
                     held, size = [], 0
         if held:
             flush()
+        for i, source in sources.items():
+            where[i] = source[where[i]]
         return best, counts, where
 
 
@@ -303,41 +340,50 @@ def train(rows: list[tuple[str, int]], seed: int = 7, rounds: int = ROUNDS) -> d
         return {"constant": float(labels.mean()) if len(labels) else 0.0}
     rng = np.random.default_rng(seed)
     words = Words(sys.maxsize)
-    docs = []
-    for text, _ in rows:
-        found = text.lower().split()
-        first = zlib.crc32(text.encode()) % max(1, len(found) - TRAIN_WORDS)
-        docs.append(words.of(found[first : first + TRAIN_WORDS]))
+    docs = [words.of(words_of(text)[0]) for text, _ in rows]
     slots = Slots(list(words.number))
     every = np.arange(len(words))
     model = _start(rng, slots, docs, labels)
-    windows, owner = [], []
+    # All windows of all rows; they are cut out in parts when they are read.
+    places, owner, base = [], [], 0
     for k, doc in enumerate(docs):
         starts = _windows(len(doc))
-        padded = np.concatenate((doc, np.zeros(WINDOW, np.int32)))
-        windows.append(padded[starts[:, None] + np.arange(WINDOW)])
-        owner.append(np.full(len(starts), k))
-    windows, owner = np.concatenate(windows), np.concatenate(owner)
-    first = np.searchsorted(owner, np.arange(len(docs) + 1))
+        places.append(base + starts)
+        owner.append(np.full(len(starts), k, np.int32))
+        base += len(doc) + WINDOW
+    places, owner = np.concatenate(places), np.concatenate(owner)
+    end = np.zeros(WINDOW, np.int32)
+    flat = np.concatenate([part for doc in docs for part in (doc, end)])
+    del docs
+    first = np.searchsorted(owner, np.arange(len(rows) + 1))
+
+    def windows(part) -> np.ndarray:
+        return flat[places[part][:, None] + np.arange(WINDOW)]
+
+    def of_all(judge) -> np.ndarray:
+        return np.concatenate([judge(windows(slice(k, k + 2048))) for k in range(0, len(places), 2048)])
+
     # At first a window is as bad as the spellings and pieces in it.
     vectors = np.concatenate((np.zeros((1, 2 * WIDTH), np.float32), _inputs(model, slots, every)))
-    logits = (vectors[:, 0] + vectors[:, WIDTH])[windows].max(axis=1)
+    odds = vectors[:, 0] + vectors[:, WIDTH]
+    logits = of_all(lambda part: odds[part].max(axis=1))
     moments: dict = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
     steps = 0
     for _ in range(rounds):
         worst = np.array(
-            [first[k] + logits[first[k] : first[k + 1]].argmax() for k in range(len(docs))]
+            [first[k] + logits[first[k] : first[k + 1]].argmax() for k in range(len(rows))]
         )
         other = rng.integers(first[:-1], first[1:])
         other = other[labels == 0]
         chosen = rng.permutation(np.concatenate((worst, other)))
         for k in range(0, len(chosen), BATCH):
             part = chosen[k : k + BATCH]
-            grad, d_x = _gradients(model, vectors[windows[part].T], labels[owner[part]])
+            read = windows(part).T
+            grad, d_x = _gradients(model, vectors[read], labels[owner[part]])
             steps += 1
             rate = 0.02 * np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)
             d_word, d_piece = np.zeros_like(model["word"]), np.zeros_like(model["piece"])
-            number = windows[part].T.ravel()
+            number = read.ravel()
             used, place = np.unique(number, return_inverse=True)
             total = np.zeros((len(used), 2 * WIDTH), np.float32)
             np.add.at(total, place.ravel(), d_x.reshape(-1, 2 * WIDTH))
@@ -357,7 +403,7 @@ def train(rows: list[tuple[str, int]], seed: int = 7, rounds: int = ROUNDS) -> d
         vectors[1:] = _inputs(model, slots, every)
         scorer = Scorer(model)
         scorer.table = _projected(model, vectors)
-        logits = scorer.logits(windows)
+        logits = of_all(scorer.logits)
     top = np.maximum.reduceat(logits, first[:-1]).astype(float)
     model["calibration"] = _calibrated(top, labels)
     return model
@@ -402,6 +448,8 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     Every window of every whole text is scored, in the tasks that read the
     texts. A null or empty text is one empty window, scored as such; a null
     doc_id is kept; repeated rows score alike; further columns are ignored.
+    windows counts the windows over all words, long ones cut; worst_word is a
+    place among the words of the text as they are.
     """
 
     def run(batches):

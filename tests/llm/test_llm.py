@@ -258,3 +258,24 @@ def test_models_on_held_out_rows(spark, odd):
     assert toxicity.score_documents(odd, constant).count() == len(ODD)
     assert quality.score_documents(odd, constant).count() == len(ODD)
     assert toxicity.train([]) == {"constant": 0.0}
+
+
+def test_toxicity_reads_all_of_a_text():
+    """Passages late in a word without spaces, and anywhere in a long training row."""
+    rng = np.random.default_rng(5)
+    plain = lambda n: [f"plain{x}" for x in rng.integers(0, 60, n)]
+    bad = ["vile", "hateful", "filth", "scum"]
+    rows = []
+    for _ in range(12):  # the passage is outside any slice of 20,000 words but those at the start
+        rows += [(" ".join([*plain(100), *bad, *plain(41_000)]), 1), (" ".join(plain(300)), 0)]
+    model = toxicity.train(rows, rounds=30)
+    scorer = toxicity.Scorer(model)
+    joined = "_".join([*plain(50), *bad])
+    texts = [" ".join(bad), joined, "_".join(plain(50)), f"plain1 plain2 {joined}"]
+    best, windows, where = scorer.texts(texts)
+    assert best[0] > 0 and best[1] > 0 > best[2] and best[3] > 0
+    assert windows[1] > 1 and where[1] == 0 and where[3] == 2
+    run = "".join(chr(0x4E00 + k) for k in range(500))
+    pieces = toxicity.words_of(f"{run} ab")[0]
+    assert pieces[-1] == "ab" and all(run[k : k + 4] in " ".join(pieces) for k in range(497))
+    assert toxicity.words_of("a" * 40)[0] == ["a" * 40]
