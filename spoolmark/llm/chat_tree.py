@@ -2,8 +2,9 @@
 
 Conversations that start with the same turns share the nodes of a prefix tree.
 A node is named by a hash of all turns up to it. Conversations are ordered by
-the names of their shared nodes, so that a walk over them meets the tree depth
-first; each block of that order is one sequence of text, in which a node stands
+their shared nodes at all depths, so that a walk over them meets the tree depth
+first. A chain of nodes that the same number of conversations pass is one step
+of that order, as it does not branch. Each block of that order is one sequence of text, in which a node stands
 once. A segment carries its place, the position of its first character on its
 own path, and the intervals of its ancestors and itself, which are what it may
 attend to; intervals that touch are one.
@@ -32,7 +33,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 BLOCK_TURNS = 2000  # turns of a block, about, while there are fewer blocks than partitions
-DEPTH = 32  # shared turns by which conversations are ordered
 
 _TURNS = "conv_id BIGINT, turn_no BIGINT, node STRING, role STRING, text STRING"
 _SEGMENTS = (
@@ -192,6 +192,27 @@ def _read_back(batches):
     yield from _batches(rows(), schema)
 
 
+def _numbered(batches):
+    number = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        ranks = pa.array(range(number, number + batch.num_rows), pa.int64())
+        number += batch.num_rows
+        yield pa.RecordBatch.from_arrays([batch.column(0), ranks], names=["key_id", "rank"])
+
+
+def _ranks(named: DataFrame, parts: int) -> DataFrame:
+    """key_id and rank, in depth-first order, of the conversations with shared nodes."""
+    nodes = named.select("conv_id", "turn_no", F.xxhash64("node").alias("name"))
+    shared = nodes.groupBy("name").agg(F.count("*").alias("times")).where("times > 1")
+    path = F.array_sort(F.collect_list(F.struct("turn_no", "name", "times")))
+    keys = nodes.join(shared, "name").groupBy("conv_id").agg(path.alias("path"))
+    # Below a branch fewer conversations pass, so equal counts are one chain.
+    first = "filter(path, (p, i) -> i = 0 OR p.times <> get(path, i - 1).times)"
+    keys = keys.select("conv_id", F.expr(f"transform({first}, p -> p.name)").alias("key"))
+    keys = keys.repartitionByRange(parts, "key", "conv_id").sortWithinPartitions("key", "conv_id")
+    return keys.select("conv_id").mapInArrow(_numbered, "key_id BIGINT, rank BIGINT")
+
+
 def format_conversations(turns: DataFrame, work: Workspace) -> DataFrame:
     """Segments of all ``turns`` (conv_id, turn, role, text) as a written table.
 
@@ -213,21 +234,14 @@ def format_conversations(turns: DataFrame, work: Workspace) -> DataFrame:
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = plain.repartition(parts, "conv_id").sortWithinPartitions(*order)
     named = work.keep(named.mapInArrow(_named, _TURNS), "turns")
-    first = named.where(F.col("turn_no") < DEPTH).select("conv_id", "turn_no", "node")
-    shared = first.groupBy("node").agg(F.count("*").alias("times")).where("times > 1")
-    path = F.array_sort(F.collect_list(F.struct("turn_no", "node")))
-    keys = first.join(shared, "node").groupBy("conv_id").agg(path.alias("path"))
-    keys = keys.select(
-        F.col("conv_id").alias("key_id"),
-        F.array_join(F.transform("path", lambda p: F.substring(p["node"], 1, 16)), "").alias("key"),
-    )
-    walk = named.join(keys, F.col("conv_id").eqNullSafe(F.col("key_id")), "left").select(
-        F.coalesce("key", F.lit("")).alias("key"), "conv_id", "turn_no", "node", "role", "text"
+    ranks = work.keep(_ranks(named, parts), "ranks")
+    walk = named.join(ranks, F.col("conv_id").eqNullSafe(F.col("key_id")), "left").select(
+        F.coalesce("rank", F.lit(-1)).alias("rank"), "conv_id", "turn_no", "node", "role", "text"
     )
     # A block is a range of this order; where one ends, its path starts anew.
     blocks = min(parts, 1 + named.count() // BLOCK_TURNS)
-    walk = walk.repartitionByRange(blocks, "key", "conv_id")
-    walk = walk.sortWithinPartitions("key", "conv_id", "turn_no")
+    walk = walk.repartitionByRange(blocks, "rank", "conv_id")
+    walk = walk.sortWithinPartitions("rank", "conv_id", "turn_no")
     return work.keep(walk.mapInArrow(_walked, _SEGMENTS), "segments")
 
 

@@ -172,6 +172,29 @@ def test_chat_tree(spark):
         assert made[conv].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
 
 
+def test_chat_tree_shares_turns_at_any_depth(spark):
+    """Deep branches with interleaved ids: every node is emitted once."""
+    def talk(conv, *parts):
+        said = [f"{name}{i}" for name, n in parts for i in range(n)]
+        return [(conv, i, "user", text) for i, text in enumerate(said)]
+
+    turns = []
+    for conv in range(0, 12, 3):  # two branches below turn 32, and one that leaves at it
+        turns += talk(conv, ("a", 32), ("b", 8), (f"x{conv}", 2))
+        turns += talk(conv + 1, ("a", 32), (f"y{conv}", 3))
+        turns += talk(conv + 2, ("a", 32), ("b", 8), ("c", 20 + conv), (f"z{conv}", 1))
+    turns += talk(None, ("a", 32), ("b", 3))
+    table = spark.createDataFrame(turns, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+    made = chat_tree.format_conversations(table, Workspace(spark, "test"))
+    assert made.select("block").distinct().count() == 1 and made.count() == len(turns)
+    emitted = made.where("text IS NOT NULL").count()
+    assert emitted == made.select("node").distinct().count()
+    back = {r.conv_id: r for r in chat_tree.read_back(made).collect()}
+    for conv in {t[0] for t in turns}:
+        whole = "".join(f"{r}\n{t}\n" for c, _, r, t in turns if c == conv)
+        assert back[conv].turns_sha256 == hashlib.sha256(whole.encode()).hexdigest()
+
+
 def test_fingerprints(spark, none):
     rows = [(k, "".join(f"w{(k + i) % 97} " for i in range(5 * k))) for k in (9, 2, 5, 30)] + [(11, None)]
     table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
