@@ -7,8 +7,11 @@ a bucket are compared. The order is cut into fragments; each text's set is cut
 with it; a pair's overlap is counted in each fragment on its own and summed.
 
 Sizes, places in the order and sketches rule out most pairs of a bucket. What
-they leave is compared in small buckets. In a large one not all pairs are
-compared: in each round it names one pivot, and its texts are compared with that alone; what links merges. When a
+they leave is compared, in large buckets block by block (``links``); each
+document's number of links follows.
+
+``near_duplicates`` is a shortcut where components alone are wanted: small
+buckets as above, but in a large one not all pairs are compared: in each round it names one pivot, and its texts are compared with that alone; what links merges. When a
 round merges nothing more, the texts outside a bucket's largest component are
 compared with those of all other components, where a link is not ruled out. So every link between two components is found, and a group of copies
 costs as many comparisons as it has texts, about.
@@ -229,7 +232,7 @@ def _possible(a: str, b: str, low: int) -> Column:
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, low: int) -> DataFrame:
-    """The (a, b, n, m) of ``pairs`` that link: partial overlaps by fragment, summed."""
+    """The (a, b, n, m, o) of ``pairs`` that link, with their overlap o: partial overlaps by fragment, summed."""
     own = segments.select(F.col("node").alias("a"), "fragment", F.col("part").alias("own"))
     other = segments.select(F.col("node").alias("b"), "fragment", F.col("part").alias("other"))
     partial = (
@@ -265,47 +268,7 @@ def near_duplicates(docs: DataFrame, size: int, low: int) -> DataFrame:
     further columns are ignored.
     """
     work = Workspace(docs.sparkSession, "ngram-join")
-    read = work.keep(_read(docs, size), "read")
-    often = (
-        read.where("shingle IS NOT NULL")
-        .groupBy("shingle")
-        .agg(F.sum("times").alias("times"))
-        .orderBy(F.desc("times"), "shingle")
-        .limit(FREQUENT)
-        .toArrow()
-    )
-    names = often["shingle"].to_numpy().view(np.uint64)
-    # Ascending counts: the most frequent shingle comes last of all.
-    place = np.empty(len(names), np.int64)
-    by_name = np.argsort(names)
-    place[:] = np.arange(len(names), 0, -1)[by_name]
-    names = names[by_name]
-    rows = read.where("shingle IS NULL").select("doc_id", "n", "node", "check", "sketch")
-    clash = rows.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("check").alias("low"), F.max("check").alias("high")
-    )
-    if not clash.where("low <> high").isEmpty():
-        raise ValueError("two sets have one number; use another seed")
-
-    # Alone in a bucket, or among texts of other sizes, a text meets nobody there.
-    bucket = Window.partitionBy("shingle")
-    sized = bucket.orderBy("n")
-    met = _postings(docs, size, low, names, place)
-    met = met.repartition("shingle").dropDuplicates(["shingle", "node"]).select(
-        "*",
-        F.count("*").over(bucket).alias("size"),
-        F.lag("n").over(sized).alias("less"),
-        F.lead("n").over(sized).alias("more"),
-    )
-    met = met.where((F.col("less") * 100 >= F.col("n") * low) | (F.col("n") * 100 >= F.col("more") * low))
-    met = work.keep(met.drop("less", "more"), "met")
-    sketches = (
-        rows.where("node IS NOT NULL")
-        .join(met.select("node").distinct(), "node", "left_semi")
-        .groupBy("node")
-        .agg(F.min("sketch").alias("sketch"))
-    )
-    met = work.keep(met.join(sketches, "node"), "sketched")
+    rows, met, names, place = _met(docs, size, low, work)
 
     # Small buckets: all pairs that may link. They are at most SMALL for each text.
     small = met.where(F.col("size") <= SMALL)
@@ -366,6 +329,52 @@ def near_duplicates(docs: DataFrame, size: int, low: int) -> DataFrame:
     return _named(rows, connected_components(links, work))
 
 
+def _met(docs: DataFrame, size: int, low: int, work: Workspace):
+    """Rows of all documents, and of the sets that meet others in buckets; the frequent shingles."""
+    read = work.keep(_read(docs, size), "read")
+    often = (
+        read.where("shingle IS NOT NULL")
+        .groupBy("shingle")
+        .agg(F.sum("times").alias("times"))
+        .orderBy(F.desc("times"), "shingle")
+        .limit(FREQUENT)
+        .toArrow()
+    )
+    names = often["shingle"].to_numpy().view(np.uint64)
+    # Ascending counts: the most frequent shingle comes last of all.
+    place = np.empty(len(names), np.int64)
+    by_name = np.argsort(names)
+    place[:] = np.arange(len(names), 0, -1)[by_name]
+    names = names[by_name]
+    rows = read.where("shingle IS NULL").select("doc_id", "n", "node", "check", "sketch")
+    clash = rows.where("node IS NOT NULL").groupBy("node").agg(
+        F.min("check").alias("low"), F.max("check").alias("high")
+    )
+    if not clash.where("low <> high").isEmpty():
+        raise ValueError("two sets have one number; use another seed")
+
+    # Alone in a bucket, or among texts of other sizes, a text meets nobody there.
+    bucket = Window.partitionBy("shingle")
+    sized = bucket.orderBy("n")
+    met = _postings(docs, size, low, names, place)
+    met = met.repartition("shingle").dropDuplicates(["shingle", "node"]).select(
+        "*",
+        F.count("*").over(bucket).alias("size"),
+        F.lag("n").over(sized).alias("less"),
+        F.lead("n").over(sized).alias("more"),
+    )
+    met = met.where((F.col("less") * 100 >= F.col("n") * low) | (F.col("n") * 100 >= F.col("more") * low))
+    met = work.keep(met.drop("less", "more"), "met")
+    sketches = (
+        rows.where("node IS NOT NULL")
+        .join(met.select("node").distinct(), "node", "left_semi")
+        .groupBy("node")
+        .agg(F.min("sketch").alias("sketch"))
+    )
+    met = work.keep(met.join(sketches, "node"), "sketched")
+    return rows, met, names, place
+
+
 def _labelled(met: DataFrame, links: DataFrame, work: Workspace) -> DataFrame:
     component = connected_components(links, work)
     return met.join(component, "node", "left").withColumn(
@@ -373,8 +382,60 @@ def _labelled(met: DataFrame, links: DataFrame, work: Workspace) -> DataFrame:
     )
 
 
-def _named(rows: DataFrame, component: DataFrame) -> DataFrame:
-    """Every row with the smallest doc_id of its component."""
+def _links(docs: DataFrame, met: DataFrame, size: int, low: int, names, place, work: Workspace) -> DataFrame:
+    """(a, b, overlap) of all pairs of different sets that link.
+
+    A set of a large bucket is in one block of about ``SMALL`` sets, and each
+    block meets the whole bucket, so that no task has to pair a whole bucket.
+    """
+    blocks = F.ceil(F.col("size") / SMALL)
+    own = met.withColumn("block", F.pmod(F.xxhash64("node", "shingle"), blocks))
+    other = met.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    close = own.alias("x").join(
+        other.alias("y"),
+        (F.col("x.shingle") == F.col("y.shingle"))
+        & (F.col("x.block") == F.col("y.block"))
+        & (F.col("x.node") < F.col("y.node"))
+        & _possible("x", "y", low),
+    )
+    pairs = work.keep(_pairs(close), "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    segments = work.keep(_segments(docs, work.keep(nodes, "nodes"), size, names, place), "segments")
+    found = _linked(pairs, segments, low).select("a", "b", F.col("o").alias("overlap"))
+    return work.keep(found, "links")
+
+
+def links(docs: DataFrame, size: int, low: int) -> DataFrame:
+    """(a, b, overlap) of all pairs of different shingle sets of ``docs`` that link.
+
+    a and b are the sets' numbers, the smaller one first; equal texts are one set.
+    """
+    work = Workspace(docs.sparkSession, "ngram-links")
+    _, met, names, place = _met(docs, size, low, work)
+    return _links(docs, met, size, low, names, place, work)
+
+
+def linked_documents(docs: DataFrame, size: int, low: int) -> DataFrame:
+    """``near_duplicates`` by all links, and n_links: to how many documents each is linked.
+
+    Documents of equal texts that are not blank count among them.
+    """
+    work = Workspace(docs.sparkSession, "ngram-links")
+    rows, met, names, place = _met(docs, size, low, work)
+    made = _links(docs, met, size, low, names, place, work)
+    times = rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("times"))
+    ends = made.select(F.col("a").alias("node"), F.col("b").alias("other"))
+    ends = ends.union(ends.select("other", "node"))
+    others = ends.join(times.withColumnRenamed("node", "other"), "other")
+    others = others.groupBy("node").agg(F.sum("times").alias("others"))
+    n_links = F.col("times") - 1 + F.coalesce("others", F.lit(0))
+    counted = times.join(others, "node", "left").select("node", n_links.alias("n_links"))
+    rows = rows.join(counted, "node", "left").fillna(0, ["n_links"])
+    return _named(rows, connected_components(made.select("a", "b"), work), "n_links")
+
+
+def _named(rows: DataFrame, component: DataFrame, *more: str) -> DataFrame:
+    """Every row with the smallest doc_id of its component, and columns ``more``."""
     sets = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     sets = sets.join(component, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
@@ -385,6 +446,7 @@ def _named(rows: DataFrame, component: DataFrame) -> DataFrame:
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
+        *more,
     )
 
 

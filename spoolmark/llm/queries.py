@@ -42,7 +42,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"), size=3, low=90)
+    return ngram_join.linked_documents(read(spark, sf_dir, "documents"), size=3, low=90)
 
 
 def op4_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

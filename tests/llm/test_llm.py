@@ -143,6 +143,33 @@ def test_ngram_join(spark, odd, none, monkeypatch):
     assert ngram_join.near_duplicates(none, 3, 90).count() == 0
 
 
+def test_ngram_links(spark, odd, none):
+    """All links of a family too large for one block, with copies, against brute force."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(96):
+        words = [f"w{x}" for x in range(60)]
+        for at in rng.integers(0, 60, k % 4):
+            words[at] = f"edit{rng.integers(0, 9)}"
+        rows.append((k, " ".join(words)))
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(58)} for _, t in rows]
+    linked = [[100 * len(a & b) >= 80 * len(a | b) for b in sets] for a in sets]
+    table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    made = [tuple(r) for r in ngram_join.linked_documents(table, 3, 80).collect()]
+    assert sorted(r[:3] for r in made) == sorted(_brute(rows, 3, 80))
+    assert {r[0]: r[3] for r in made} == {k: sum(linked[k]) - 1 for k in range(96)}
+    overlaps = sorted(r.overlap for r in ngram_join.links(table, 3, 80).collect())
+    different = [s for k, s in enumerate(sets) if s not in sets[:k]]
+    assert len(different) > ngram_join.SMALL
+    assert overlaps == sorted(
+        len(a & b) for i, a in enumerate(different) for b in different[:i]
+        if 100 * len(a & b) >= 80 * len(a | b)
+    )
+    made = {(r.doc_id, r.n_shingles): r.n_links for r in ngram_join.linked_documents(odd, 3, 90).collect()}
+    assert made[2, 5] == 2 and made[3, 0] == 0 and made[7, 1] == 1
+    assert ngram_join.linked_documents(none, 3, 90).count() == 0
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(20)] + [(30, 31), (32, 31), (40, 40), (None, 1)]
     made = components.connected_components(
