@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spoolmark.llm import (
     bpe_automaton,
     chat_tree,
+    divergence,
     exact_dedup,
     fingerprints,
     html_text,
@@ -110,6 +111,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(read(spark, sf_dir, "documents"), Workspace(spark, "divergence"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -122,4 +127,5 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
+        "op13_divergence": op13_divergence,
     }
