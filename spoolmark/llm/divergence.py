@@ -12,19 +12,23 @@ Terms are held with one character per UTF-8 byte, so that lengths are bytes.
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoolmark.llm.tables import Workspace, text_of
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 END = " "
 #: Bytes of the prefixes of the first level; each level doubles them.
-FIRST_BYTES = 2
+FIRST_BYTES = 4
 #: Sources that are compared with each other in one block.
 BLOCK = 64
 _TERMS = "lang STRING, source STRING, terms ARRAY<STRING>, counts ARRAY<BIGINT>"

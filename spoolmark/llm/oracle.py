@@ -76,10 +76,54 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
 FROM ranked WHERE part = 'pair' OR rank <= 50
 """
 
+# The checksum is taken bit by bit, as the engine has no function for it.
+_TRIE = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id
+                            ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS first,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT,
+             list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+           lambda crc, b: list_reduce(
+             list_prepend(xor(crc, b), range(8)::BIGINT[]),
+             lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))) % 9 AS h
+  FROM t),
+r AS (
+  SELECT ids.conv_id, 0 AS src, i, role, text FROM ids JOIN t ON t.conv_id = ids.first AND i <= h
+  UNION ALL
+  SELECT ids.conv_id, 1, i, role, text FROM ids JOIN t USING (conv_id) WHERE i > h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY src, i) AS depth FROM r),
+p AS (
+  SELECT conv_id, depth, text,
+         list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY depth) AS path
+  FROM n
+  UNION ALL SELECT conv_id, 0, '', [] FROM ids),
+e AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(text) AS text,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM e GROUP BY path, depth),
+kids AS (SELECT path[:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+f AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+up AS (
+  SELECT path[:k] AS path, sum((n_children = 0)::INT) AS n_leaves,
+         sum((n_convs - 1) * octet_length(encode(text))) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS k FROM f) GROUP BY 1)
+SELECT f.conv_id, f.depth::BIGINT AS depth, above.conv_id AS parent_conv_id, f.n_convs, f.n_children,
+       up.n_leaves::BIGINT AS n_leaves, up.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN up USING (path)
+LEFT JOIN nodes above ON f.depth > 0 AND above.path = f.path[:f.depth - 1]
+"""
+
 
 def all_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": _EXACT,
         "op9_url_filter": _RULES,
+        "op11_prefix_trie": _TRIE,
         "op13_divergence": _DIVERGENCE,
     }

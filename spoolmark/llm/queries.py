@@ -16,6 +16,7 @@ from spoolmark.llm import (
     html_text,
     ngram_join,
     packing,
+    prefix_trie,
     quality,
     toxicity,
     url_filter,
@@ -111,6 +112,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build_trie(read(spark, sf_dir, "conversations"), Workspace(spark, "prefix-trie"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(read(spark, sf_dir, "documents"), Workspace(spark, "divergence"))
 
@@ -127,5 +132,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
+        "op11_prefix_trie": op11_prefix_trie,
         "op13_divergence": op13_divergence,
     }
