@@ -20,6 +20,7 @@ from spoolmark.llm import (
     quality,
     toxicity,
     url_filter,
+    word_languages,
 )
 from spoolmark.llm.tables import Workspace, read
 
@@ -116,6 +117,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.build_trie(read(spark, sf_dir, "conversations"), Workspace(spark, "prefix-trie"))
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    made = word_languages.label_documents(docs, word_languages.learn(docs))
+    return made.withColumn("n_runs", F.size("runs")).drop("runs")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(read(spark, sf_dir, "documents"), Workspace(spark, "divergence"))
 
@@ -133,5 +140,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_language": op12_language,
         "op13_divergence": op13_divergence,
     }
