@@ -7,6 +7,9 @@ prefixes that passed, and so on. A closed term ends with a blank, which no term
 holds, so a term and a longer one that starts with it are different prefixes.
 The long tail of rare terms is dropped where it is read and never shuffled.
 
+Each batch of rows is counted in its task before anything is shuffled: a term or
+prefix of a batch becomes one row, whose counts by source lie in arrays.
+
 Terms are held with one character per UTF-8 byte, so that lengths are bytes.
 """
 
@@ -18,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +35,11 @@ END = " "
 FIRST_BYTES = 4
 #: Sources that are compared with each other in one block.
 BLOCK = 64
+SCALE = 1_000_000_000
+#: Rows whose terms a task holds as Python strings at once.
+_ROWS = 500
 _TERMS = "lang STRING, source STRING, terms ARRAY<STRING>, counts ARRAY<BIGINT>"
-_SUMS = "lang STRING, a INT, b INT, part BIGINT"
+_FOUND = "lang STRING, term STRING, block INT, at ARRAY<INT>, n ARRAY<BIGINT>"
 #: A to Z to lower case, letters and all bytes of other alphabets kept, the rest to blanks.
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -41,27 +48,72 @@ _FOLD = bytes(
 
 
 def _count_terms(batches) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64())]
-    names = ["lang", "source", "terms", "counts"]
-    for batch in batches:
-        terms, counts = [], []
-        for text in batch.column("text"):
-            # Only bytes are split at ASCII blanks alone.
-            found = Counter(text.as_buffer().to_pybytes().translate(_FOLD).split())
-            terms.append([t.decode("latin-1") + END for t in found])
-            counts.append(list(found.values()))
-        values = [batch.column("lang"), batch.column("source"), terms, counts]
-        yield pa.RecordBatch.from_arrays(
-            [v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(values, kinds)], names
-        )
+    for whole in batches:
+        for start in range(0, whole.num_rows, _ROWS):
+            batch = whole.slice(start, _ROWS)
+            terms, counts, ends = [], [], [0]
+            for text in batch.column("text"):
+                # Only bytes are split at ASCII blanks alone.
+                found = Counter(text.as_buffer().to_pybytes().translate(_FOLD).split())
+                if found:
+                    # In order, terms with a common prefix are neighbours.
+                    own = sorted(found)
+                    counts += map(found.__getitem__, own)
+                    terms += (b" \n".join(own) + b" ").decode("latin-1").split("\n")
+                ends.append(len(terms))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("lang"),
+                    batch.column("source"),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(terms, pa.string())),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(counts, pa.int64())),
+                ],
+                ["lang", "source", "terms", "counts"],
+            )
 
 
 def document_terms(docs: DataFrame) -> DataFrame:
-    """Different terms of each row with their counts; a null is as good as empty."""
+    """Different terms of each row, in order, with their counts; a null is as good as empty."""
     plain = docs.select(*[text_of(c).alias(c) for c in ("lang", "source", "text")])
     return plain.mapInArrow(_count_terms, _TERMS)
 
 
+def _rows_of(lists: pa.ListArray) -> np.ndarray:
+    """The row of each element of flattened lists."""
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a sorted run of equal rows begins."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def _prefix_counts(width: int, before: int):
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        """Rows of a batch with each prefix of ``width`` bytes, of terms over ``before`` bytes."""
+        for batch in batches:
+            langs = batch.column("lang").dictionary_encode()
+            row, terms = _rows_of(batch.column("terms")), batch.column("terms").flatten()
+            if before:
+                long = pc.greater(pc.utf8_length(terms), before)
+                row, terms = row[long.to_numpy(zero_copy_only=False)], terms.filter(long)
+            cut = pc.utf8_slice_codeunits(terms, 0, width).dictionary_encode()
+            code = cut.indices.to_numpy(zero_copy_only=False).astype("int64")
+            new = _changes(row, code) if len(row) else np.zeros(0, bool)
+            lang = langs.indices.to_numpy(zero_copy_only=False).astype("int64")[row[new]]
+            keys, rows = np.unique(lang * max(len(cut.dictionary), 1) + code[new], return_counts=True)
+            lang, code = np.divmod(keys, max(len(cut.dictionary), 1))
+            yield pa.RecordBatch.from_arrays(
+                [langs.dictionary.take(pa.array(lang)), cut.dictionary.take(pa.array(code)), pa.array(rows)],
+                ["lang", "prefix", "docs"],
+            )
+
+    return count
+
+
 def kept_terms(
     terms: DataFrame, work: Workspace, min_docs: int, first: int = FIRST_BYTES
 ) -> DataFrame:
@@ -69,16 +121,15 @@ def kept_terms(
     width, parents, kept = first, None, None
     while True:
         before = 0 if parents is None else width // 2
-        longer = F.filter("terms", lambda t: F.length(t) > before)
-        cut = F.array_distinct(F.transform(longer, lambda t: F.substring(t, 1, width)))
-        rows = terms.select("lang", F.explode(cut).alias("prefix"))
+        rows = terms.select("lang", "terms").mapInArrow(
+            _prefix_counts(width, before), "lang STRING, prefix STRING, docs BIGINT"
+        )
         if parents is not None:
             rows = rows.withColumn("parent", F.substring("prefix", 1, before)).join(
                 parents.select("lang", F.col("prefix").alias("parent")), ["lang", "parent"], "left_semi"
             )
-        # One row per document and prefix: the count is one of distinct documents.
         frequent = work.keep(
-            rows.groupBy("lang", "prefix").agg(F.count("*").alias("docs")).where(f"docs >= {min_docs}"),
+            rows.groupBy("lang", "prefix").agg(F.sum("docs").alias("docs")).where(f"docs >= {min_docs}"),
             f"prefixes-{width}",
         )
         closed = frequent.where(F.endswith("prefix", F.lit(END)))
@@ -90,16 +141,118 @@ def kept_terms(
         width *= 2
 
 
-def _rate(count, total, vocabulary):
-    """1 + floor(10^9 (count + 5) / (total + 5 vocabulary)), in whole numbers."""
-    over = F.lit(1_000_000_000).cast("decimal(10,0)") * (count + 5).cast("decimal(20,0)")
-    under = (total + 5 * vocabulary).cast("decimal(20,0)")
-    return F.call_function("div", over, under) + F.lit(1)
+def _lists(keys: list[np.ndarray], at: np.ndarray, n: np.ndarray):
+    """Equal (keys, at) summed, and one list per (keys, block): first places, blocks, lists."""
+    order = np.lexsort((at, *reversed(keys)))
+    keys, at, n = [k[order] for k in keys], at[order], n[order]
+    starts = np.flatnonzero(_changes(*keys, at))
+    n = np.add.reduceat(n, starts)
+    keys, at, order = [k[starts] for k in keys], at[starts], order[starts]
+    firsts = np.flatnonzero(_changes(*keys, at // BLOCK))
+    ends = pa.array(np.append(firsts, len(at)), pa.int32())
+    return (
+        order[firsts],
+        pa.array(at[firsts] // BLOCK, pa.int32()),
+        pa.ListArray.from_arrays(ends, pa.array(at, pa.int32())),
+        pa.ListArray.from_arrays(ends, pa.array(n, pa.int64())),
+    )
 
 
-def _term(column):
-    """The term itself: no closing blank, bytes as UTF-8."""
-    return F.decode(F.encode(F.rtrim(column), "ISO-8859-1"), "UTF-8")
+def _pack(batches) -> Iterator[pa.RecordBatch]:
+    """Occurrences of each term of a batch by source."""
+    for batch in batches:
+        row, terms = _rows_of(batch.column("terms")), batch.column("terms").flatten().dictionary_encode()
+        if not len(row):
+            continue
+        langs = batch.column("lang").dictionary_encode()
+        lang = langs.indices.to_numpy(zero_copy_only=False)[row]
+        code = terms.indices.to_numpy(zero_copy_only=False)
+        at = batch.column("at").to_numpy(zero_copy_only=False)[row]
+        first, block, ats, ns = _lists([lang, code], at, batch.column("counts").flatten().to_numpy())
+        yield pa.RecordBatch.from_arrays(
+            [langs.dictionary.take(pa.array(lang[first])), terms.dictionary.take(pa.array(code[first])), block, ats, ns],
+            ["lang", "term", "block", "at", "n"],
+        )
+
+
+def _merge(batches) -> Iterator[pa.RecordBatch]:
+    """Rows of one (lang, term) made one per block; they arrive in order.
+
+    The last term of a batch may go on in the next one, so it is held back, merged.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        ids = [batch.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in ("lang", "term")]
+        group = np.cumsum(_changes(*ids)) - 1
+        row = _rows_of(batch.column("at"))
+        first, block, ats, ns = _lists(
+            [group[row]], batch.column("at").flatten().to_numpy(), batch.column("n").flatten().to_numpy()
+        )
+        place = row[first]
+        made = pa.RecordBatch.from_arrays(
+            [batch.column("lang").take(pa.array(place)), batch.column("term").take(pa.array(place)), block, ats, ns],
+            schema=batch.schema,
+        )
+        done = int(np.searchsorted(group[place], group[-1]))
+        held = made.slice(done)
+        if done:
+            yield made.slice(0, done)
+    if held is not None:
+        yield held
+
+
+def term_counts(terms: DataFrame, groups: DataFrame, kept: DataFrame) -> DataFrame:
+    """(lang, term, block, at, n): occurrences of kept terms, by the numbers of their sources."""
+    numbered = terms.join(groups.select("lang", "source", "at"), ["lang", "source"])
+    packed = numbered.select("lang", "at", "terms", "counts").mapInArrow(_pack, _FOUND)
+    packed = packed.join(kept, ["lang", "term"], "left_semi")
+    dealt = packed.repartition("lang", "term").sortWithinPartitions("lang", "term")
+    return dealt.select("lang", "term", "block", "at", "n").mapInArrow(_merge, _FOUND)
+
+
+def _rates(count, total, vocabulary) -> np.ndarray:
+    """1 + floor(10^9 (count + 5) / (total + 5 vocabulary)), exact whatever the counts."""
+    count, under = np.asarray(count), np.asarray(total) + 5 * np.asarray(vocabulary)
+    if len(count) and count.max() > 9 * 10**8:
+        count, under = count.astype(object), under.astype(object)
+    return (1 + (SCALE * (count + 5)) // under).astype("int64")
+
+
+def _prominent(top: int):
+    def find(batches) -> Iterator[pa.RecordBatch]:
+        """Terms that a source uses more than its language: the best of each batch."""
+        for batch in batches:
+            row = _rows_of(batch.column("at"))
+            at, n = (batch.column(c).flatten().to_numpy() for c in ("at", "n"))
+            block, lang_n, lang_total, v = (
+                batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "lang_n", "lang_total", "v")
+            )
+            sizes = pc.list_value_length(batch.column("totals")).to_numpy(zero_copy_only=False)
+            own = (np.cumsum(sizes) - sizes)[row] + at - block[row] * BLOCK
+            total = batch.column("totals").flatten().to_numpy()[own]
+            value = _rates(n, total, v[row]) - _rates(lang_n, lang_total, v)[row]
+            more = value > 0
+            table = pa.table(
+                {
+                    "lang": batch.column("lang").take(pa.array(row[more])),
+                    "at": at[more],
+                    "value": value[more],
+                    "term": batch.column("term").take(pa.array(row[more])),
+                }
+            )
+            table = table.sort_by([("lang", "ascending"), ("at", "ascending"), ("value", "descending"), ("term", "ascending")])
+            if table.num_rows:
+                ids = table["lang"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                starts = np.flatnonzero(_changes(ids, table["at"].to_numpy()))
+                place = np.arange(table.num_rows) - np.repeat(starts, np.diff(np.append(starts, table.num_rows)))
+                table = table.take(pa.array(np.flatnonzero(place < top)))
+            yield from table.combine_chunks().to_batches()
+
+    return find
 
 
 def _pair_sums(batches) -> Iterator[pa.RecordBatch]:
@@ -108,7 +261,7 @@ def _pair_sums(batches) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("lang", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("part", pa.int64())])
 
     def flush():
-        for (lang, low, high), (left, right, total) in sums.items():
+        for (lang, low, high), total in sums.items():
             a, b = np.nonzero(total)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -122,83 +275,80 @@ def _pair_sums(batches) -> Iterator[pa.RecordBatch]:
         sums.clear()
 
     for batch in batches:
-        for row in batch.to_pylist():
-            key = (row["lang"], row["low"], row["high"])
-            if key not in sums:
-                if len(sums) == 256:
-                    yield from flush()
-                left = np.array(row["left_base"], "int64")
-                right = np.array(row["right_base"], "int64")
-                sums[key] = left, right, np.zeros((len(left), len(right)), "int64")
-            left, right, total = sums[key]
-            p, q = left.copy(), right.copy()
-            for at, rate in zip(row["at"], row["rate"]):
-                block, place = divmod(at, BLOCK)
-                if block == row["low"]:
-                    p[place] = rate
-                if block == row["high"]:
-                    q[place] = rate
-            # Where both lack the term nothing is added.
-            here, there = np.nonzero(p != left)[0], np.nonzero(q != right)[0]
-            total[here] += np.abs(p[here, None] - q) - np.abs(left[here, None] - right)
-            rest = np.setdiff1d(np.arange(len(p)), here, assume_unique=True)
-            old = np.abs(left[rest, None] - right[there])
-            total[np.ix_(rest, there)] += np.abs(p[rest, None] - q[there]) - old
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("lang", "low", "high"))))
+        places: dict = {}
+        for place, key in enumerate(keys):
+            places.setdefault(key, []).append(place)
+        for key, rows in places.items():
+            part = batch.take(pa.array(rows))
+            row = _rows_of(part.column("at"))
+            at, n = (part.column(c).flatten().to_numpy() for c in ("at", "n"))
+            v = part.column("v")[0].as_py()
+            sides = []
+            for block, name in ((key[1], "low_totals"), (key[2], "high_totals")):
+                totals = part.column(name)[0].values.to_numpy()
+                base = _rates(np.zeros(len(totals), "int64"), totals, v)
+                rate = np.repeat(base[None, :], len(rows), 0)
+                own = at // BLOCK == block
+                place = at[own] - block * BLOCK
+                rate[row[own], place] = _rates(n[own], totals[place], v)
+                sides.append((base, rate))
+            (left, p), (right, q) = sides
+            if len(sums) >= 256 and key not in sums:
+                yield from flush()
+            total = sums.setdefault(key, np.zeros((len(left), len(right)), "int64"))
+            total -= len(rows) * np.abs(left[:, None] - right)
+            for a in range(len(left)):
+                total[a] += np.abs(p[:, a : a + 1] - q).sum(0)
     yield from flush()
 
 
-def _pairs(groups: DataFrame, rates: DataFrame) -> DataFrame:
+def _pairs(groups: DataFrame, found: DataFrame, totals: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(lang, source, item, value) of all two sources of one language.
 
     Sources are numbered within their language and compared block by block: a
-    term's row holds the rates of two blocks at most, however many sources there
-    are. Rates that no document of a source gives are its base rate.
+    term's row holds the counts of two blocks at most, however many sources there are.
     """
-    block = F.floor(F.col("at") / BLOCK).cast("int")
-    bases = groups.groupBy("lang", block.alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("at", "base"))).alias("list")
-    )
-    bases = bases.select("lang", "block", F.col("list.base").alias("base"))
-    blocks = groups.groupBy("lang").agg(F.max(block).alias("last"))
+    blocks = totals.groupBy("lang").agg(F.max("block").alias("last"))
     dealt = (
-        rates.withColumn("block", block)
-        .join(blocks, "lang")
+        found.join(blocks, "lang")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
     )
-    term_rows = dealt.groupBy("lang", "low", "high", "term").agg(
-        F.collect_list(F.struct("at", "rate")).alias("list")
+    # At most the lists of two blocks meet.
+    both = dealt.groupBy("lang", "low", "high", "term").agg(
+        F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("n")).alias("n")
     )
     whole = (
-        term_rows.join(bases.toDF("lang", "low", "left_base"), ["lang", "low"])
-        .join(bases.toDF("lang", "high", "right_base"), ["lang", "high"])
-        .select(
-            "lang", "low", "high", "left_base", "right_base",
-            F.col("list.at").alias("at"), F.col("list.rate").alias("rate"),
-        )
+        both.join(totals.toDF("lang", "low", "low_totals"), ["lang", "low"])
+        .join(totals.toDF("lang", "high", "high_totals"), ["lang", "high"])
+        .join(vocabulary, "lang")
+        .select("lang", "low", "high", "at", "n", "low_totals", "high_totals", "v")
     )
-    sums = whole.mapInArrow(_pair_sums, _SUMS).groupBy("lang", "a", "b").agg(F.sum("part").alias("part"))
+    sums = whole.mapInArrow(_pair_sums, "lang STRING, a INT, b INT, part BIGINT")
+    sums = sums.groupBy("lang", "a", "b").agg(F.sum("part").alias("part"))
     # Blocks are compared one way only.
     turned = sums.where(F.floor(F.col("a") / BLOCK) != F.floor(F.col("b") / BLOCK))
     sums = sums.union(turned.select("lang", "b", "a", "part"))
     left = groups.select("lang", "source", F.col("at").alias("a"), F.col("base").alias("p"), "v")
     right = groups.select("lang", F.col("source").alias("item"), F.col("at").alias("b"), F.col("base").alias("q"))
+    absent = F.coalesce(F.col("v") * F.abs(F.col("p") - F.col("q")), F.lit(0))
     return (
         left.join(right, "lang")
         .where("a <> b")
         .join(sums, ["lang", "a", "b"], "left")
         .select(
-            "lang",
-            "source",
-            "item",
-            F.coalesce(F.col("v") * F.abs(F.col("p") - F.col("q")) + F.coalesce("part", F.lit(0)), F.lit(0))
-            .cast("bigint")
-            .alias("value"),
+            "lang", "source", "item", (absent + F.coalesce("part", F.lit(0))).cast("bigint").alias("value")
         )
     )
 
 
+def _term(column):
+    """The term itself: no closing blank, bytes as UTF-8."""
+    return F.decode(F.encode(F.rtrim(column), "ISO-8859-1"), "UTF-8")
+
+
 def audit_sources(
     docs: DataFrame, work: Workspace, min_docs: int = 30, top: int = 50, first: int = FIRST_BYTES
 ) -> DataFrame:
@@ -209,45 +359,49 @@ def audit_sources(
     its language. Every row of ``docs`` counts as a document, so repeated rows
     and ids count each time. Null text, lang or source is as good as empty; a
     group without terms is there too; an empty table gives an empty result.
-    Other columns are not read.
+    Other columns are not read. A task holds the terms of one text whole.
     """
     terms = work.keep(document_terms(docs), "terms")
     kept = kept_terms(terms, work, min_docs, first)
-    counted = terms.select("lang", "source", F.explode(F.arrays_zip("terms", "counts")).alias("e"))
-    found = work.keep(
-        counted.select("lang", "source", F.col("e.terms").alias("term"), F.col("e.counts").alias("n"))
-        .join(kept, ["lang", "term"])
-        .groupBy("lang", "source", "term")
-        .agg(F.sum("n").alias("n")),
-        "counts",
-    )
-    vocabulary = kept.groupBy("lang").agg(F.count("*").alias("v"))
-    sizes = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     number = Window.partitionBy("lang").orderBy("source")
+    groups = terms.select("lang", "source").distinct()
+    groups = work.keep(groups.withColumn("at", F.row_number().over(number) - 1), "groups")
+    found = work.keep(term_counts(terms, groups, kept), "counts")
+    vocabulary = kept.groupBy("lang").agg(F.count("*").alias("v"))
+    sizes = (
+        found.select("lang", F.explode(F.arrays_zip("at", "n")).alias("e"))
+        .groupBy("lang", "e.at")
+        .agg(F.sum("e.n").alias("total"))
+    )
+    over = F.lit(5 * SCALE).cast("decimal(20,0)")
+    under = (F.col("total") + 5 * F.col("v")).cast("decimal(20,0)")
     groups = (
-        terms.groupBy("lang", "source")
-        .agg(F.count("*").alias("docs"))
-        .join(vocabulary, "lang", "left")
-        .join(sizes, ["lang", "source"], "left")
+        groups.join(vocabulary, "lang", "left")
+        .join(sizes, ["lang", "at"], "left")
         .na.fill(0, ["v", "total"])
-        .withColumn("at", F.row_number().over(number) - 1)
-        .withColumn("base", F.when(F.col("v") > 0, _rate(F.lit(0), F.col("total"), F.col("v"))))
+        .withColumn("base", F.when(F.col("v") > 0, F.call_function("div", over, under) + 1))
+    )
+    groups = work.keep(groups, "sizes")
+    block = F.floor(F.col("at") / BLOCK).cast("int")
+    totals = groups.groupBy("lang", block.alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("at", "total"))).alias("list")
     )
-    groups = work.keep(groups, "groups")
-    rates = found.join(groups, ["lang", "source"]).withColumn(
-        "rate", _rate(F.col("n"), F.col("total"), F.col("v"))
+    totals = totals.select("lang", "block", F.col("list.total").alias("totals"))
+    langs = found.groupBy("lang", "term").agg(
+        F.sum(F.aggregate("n", F.lit(0).cast("bigint"), lambda a, b: a + b)).alias("lang_n")
     )
-    langs = found.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
-    lang_sizes = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
+    lang_sizes = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.max("v").alias("v"))
     marked = (
-        rates.join(langs, ["lang", "term"])
+        found.join(langs, ["lang", "term"])
         .join(lang_sizes, "lang")
-        .withColumn("value", F.col("rate") - _rate(F.col("lang_n"), F.col("lang_total"), F.col("v")))
-        .where("value > 0")
+        .join(totals, ["lang", "block"])
+        .select("lang", "term", "block", "at", "n", "lang_n", "lang_total", "v", "totals")
+        .mapInArrow(_prominent(top), "lang STRING, at INT, value BIGINT, term STRING")
+        .join(groups.select("lang", "at", "source"), ["lang", "at"])
         .select("lang", "source", F.lit("term").alias("part"), _term(F.col("term")).alias("item"), "value")
     )
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     marked = marked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    pairs = _pairs(groups, rates.select("lang", "term", "at", "rate"))
+    pairs = _pairs(groups, found, totals, vocabulary)
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value")
     return marked.union(pairs.withColumn("rank", F.row_number().over(order)))

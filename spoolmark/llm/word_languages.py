@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import itertools
 import sys
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +30,10 @@ from spoolmark.llm.tables import text_of
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A run of letters; longer ones, as in scripts without blanks, are several words.
-_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]{0,23}")
+_LONGEST = 24
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]{0,%d}" % (_LONGEST - 1))
+#: The letters among the first 256 characters; the rest become blanks.
+_LETTERS = bytes(c if unicodedata.category(chr(c))[0] == "L" else 32 for c in range(256))
 UNKNOWN = "und"
 BUCKETS = 1 << 17
 #: Sampled rows of a language, windows of a row and words of a window: the training set's bound.
@@ -59,7 +63,14 @@ class Model:
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters in lower case; texts of Latin letters alone are split as bytes."""
+    text = text.lower()
+    try:
+        plain = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WORD.findall(text)
+    words = plain.translate(_LETTERS).decode("latin-1").split()
+    return _WORD.findall(text) if max(map(len, words), default=0) > _LONGEST else words
 
 
 def _features(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
