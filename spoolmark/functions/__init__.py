@@ -35,12 +35,6 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(float(MICROS))
 
 
-def time_block(ts: Column, seconds: int) -> Column:
-    """Start, in microseconds, of the block of ``seconds`` that holds ``ts``."""
-    micros = F.unix_micros(ts)
-    return micros - F.pmod(micros, F.lit(seconds * MICROS))
-
-
 def number_block(value: Column, width: int, first: int = 0) -> Column:
     """Index of the block of ``width`` numbers that holds ``value``."""
     shifted = value.cast("bigint") - F.lit(first)

@@ -1,7 +1,9 @@
 """Lifecycle events of paths, in batch form.
 
-Events are ordered by (ts, seq). A busy path is cut into blocks of time of about
-``rows_per_block`` events, so the work on it spreads over tasks.
+Events are ordered by (ts, seq). A busy path is cut into blocks of about
+``rows_per_block`` events, also within one instant, so the work on it spreads over
+tasks. Events without a path or a time have no place in that order: ``unplaced_events``
+returns them with the reason, so that no row vanishes.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.running import ROWS_PER_BLOCK, with_running_over_time
+from ..plans.running import ROWS_PER_BLOCK, unplaced, with_running_in_order
 
 ORDER = ("ts", "seq")
 
@@ -19,13 +21,18 @@ def known_before(previous: Column, removed: str) -> Column:
     return previous.isNotNull() & (previous != removed)
 
 
+def unplaced_events(events: DataFrame) -> DataFrame:
+    """Rows of a feed that no operator here can order, with ``reject_reason``."""
+    return unplaced(events, ["path"], ORDER)
+
+
 def classify_changes(raw: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """CREATE, WRITE and DELETE events of a raw change feed.
 
     A raw row gives none, one or two events; ``step`` orders the two. Each event
     carries the generation of its path, counted in the same pass.
     """
-    seen = with_running_over_time(
+    seen = with_running_in_order(
         raw.select("seq", "ts", "path", "kind"),
         ["path"],
         ORDER,
@@ -56,7 +63,7 @@ def stream_generations(events: DataFrame, rows_per_block: int = ROWS_PER_BLOCK)
     A DELETE belongs to the generation it closes; repeated CREATEs do not count.
     """
     own = F.when(F.col("event") == "DELETE", 1).otherwise(0)
-    counted = with_running_over_time(
+    counted = with_running_in_order(
         events,
         ["path"],
         ORDER,
@@ -77,7 +84,7 @@ def route_events(
     a path is tracked when its previous event was not a DELETE.
     """
     if tracked is None:
-        placed = with_running_over_time(
+        placed = with_running_in_order(
             events,
             ["path"],
             ORDER,

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import seconds_between, time_block
-from ..plans.running import with_running
+from ..functions import seconds_between
+from ..plans.running import ROWS_PER_BLOCK, with_running_in_order
 from .state import with_failure_reason
 
 
@@ -63,26 +63,26 @@ def stream_outcomes(status_log: DataFrame) -> DataFrame:
 
 def active_gauge(
     routed: DataFrame,
-    block_seconds: int = 60,
+    rows_per_block: int = ROWS_PER_BLOCK,
     opening: Sequence[str] = ("open", "reopen", "resume"),
     closing: Sequence[str] = ("close", "finalize", "abort"),
 ) -> DataFrame:
     """Open streams after each action that opens or closes one.
 
     Takes the rows of ``route_events``, and any further actions in that shape.
-    Only one row per block of time is ordered globally, a number that grows with
-    the time covered and not with the rows; the rows are sorted block by block.
+    Rows are sorted block by block, and a busy moment is cut like any other. Only one
+    row per block is ordered globally, a number with a fixed bound.
     """
     action = F.col("action")
     delta = F.when(action.isin(*opening), 1).when(action.isin(*closing), -1)
     changes = routed.select("seq", "ts", "path", delta.alias("delta")).filter(
         F.col("delta").isNotNull()
     )
-    return with_running(
+    return with_running_in_order(
         changes,
         keys=[],
-        block=time_block(F.col("ts"), block_seconds),
         order=("ts", "seq"),
+        rows_per_block=rows_per_block,
         sums={"active_streams": F.col("delta")},
     )
 

@@ -15,13 +15,16 @@ def activity_sessions(
     """Sessions per path; events exactly one gap apart belong together.
 
     The same sessions as a session window with that gap. A session window sorts
-    every event of a path in one task; here a busy path is cut into blocks of
-    time and each block into bursts, and only one row per block is ordered per
-    path, to tell which bursts continue across a block's edge.
+    every event of a path in one task; here events of one instant are counted
+    together first, a busy path is cut into blocks and each block into bursts, and
+    only one row per block is ordered per path, to tell which bursts continue
+    across a block's edge. Events without a path or a time are in no session;
+    ``events.unplaced_events`` returns them.
     """
     gap = gap_seconds * MICROS
     in_block = Window.partitionBy("path", "_block").orderBy("ts")
-    spread = spread_over_time(events.select("path", "ts"), ["path"], "ts", rows_per_block)
+    instants = events.groupBy("path", "ts").agg(F.count("*").alias("_n"))
+    spread = spread_over_time(instants, ["path"], "ts", rows_per_block)
     stepped = spread.withColumnRenamed(SPREAD, "_block").withColumn(
         "_pause", F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(in_block))
     )
@@ -30,7 +33,7 @@ def activity_sessions(
     bursts = (
         stepped.withColumn("_burst", F.sum(starts).over(so_far))
         .groupBy("path", "_block", "_burst")
-        .agg(F.min("ts").alias("_from"), F.max("ts").alias("_to"), F.count("*").alias("_events"))
+        .agg(F.min("ts").alias("_from"), F.max("ts").alias("_to"), F.sum("_n").alias("_events"))
     )
     blocks = bursts.groupBy("path", "_block").agg(
         F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.max("_burst").alias("_inner")

@@ -4,7 +4,12 @@ A plain window partitioned by the key sends every row of that key to one task,
 and one key may hold a third of the table. Here the order is cut into blocks:
 each (key, block) is sorted on its own, a summary of one row per (key, block) is
 combined map-side, and only the summaries are ordered per key to carry values
-from block to block. Along time, only busy keys are cut: see ``spread_over_time``.
+from block to block.
+
+Cuts come from a sample of places in the whole order, ties included: see
+``spread_in_order``. So a burst within one instant is cut like any other stretch,
+and there are at most ``MAX_BLOCKS`` cuts in all, whatever the table. Work
+without a key (one run over everything) carries that many summaries at most.
 """
 
 from __future__ import annotations
@@ -18,8 +23,12 @@ from ..functions import all_present
 
 BLOCK = "_block"
 SPREAD = "_spread"
-MAX_BUSY_KEYS = 10_000
-# Rows of one key that a task sorts.
+# Places drawn from a whole table, in strata of their hash, and the fewest in a block.
+SAMPLED = 32_768
+_STRATA = 64
+_LEAST_SAMPLES = 4
+MAX_BLOCKS = SAMPLED // _LEAST_SAMPLES
+# Rows of one key that a task sorts, where the table is not larger than as many blocks.
 ROWS_PER_BLOCK = 1_000_000
 
 
@@ -91,46 +100,90 @@ def with_running(
     )
 
 
-def spread_over_time(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    rows_per_block: int,
-) -> DataFrame:
-    """Add ``_spread``: the block of each row, non-decreasing in ``ts`` per key.
+def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_block: int) -> DataFrame:
+    """(keys, _starts): the sorted places at which the rows of a busy key are cut.
 
-    A key has one block, 0, unless it holds more than
-    ``rows_per_block`` rows and more than its share of the whole, a hundredth of
-    a per cent; then its time span is cut evenly into blocks of about that many.
-    Fewer than ``MAX_BUSY_KEYS`` keys can hold that share, so the list of them
-    is small whatever the table, and is broadcast.
+    The places with the least hashes are drawn, so a retried task draws the same
+    ones, and the largest of those hashes tells how many rows there are: nothing
+    has to be counted first. Each task hands on ``SAMPLED`` places at most.
     """
-    micros = F.unix_micros(F.col(ts))
-    placed = df.filter(all_present(*keys, ts))
-    volume = placed.groupBy(*keys).agg(
-        F.count("*").alias("_rows"), F.min(micros).alias("_low"), F.max(micros).alias("_high")
+    spot = F.xxhash64(*keys, *order)
+    drawn = df.select(
+        *keys, F.struct(*order).alias("_place"), spot.alias("_spot"), F.pmod(spot, F.lit(_STRATA)).alias("_stratum")
+    )
+    least = Window.partitionBy("_stratum").orderBy("_spot")
+    drawn = drawn.withColumn("_rank", F.row_number().over(least)).filter(F.col("_rank") <= SAMPLED // _STRATA)
+    strata = drawn.groupBy("_stratum").agg(F.max("_rank").alias("_n"), F.max("_spot").alias("_top"))
+    full = (F.col("_top").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    share = F.when(F.col("_n") < SAMPLED // _STRATA, F.lit(1.0)).otherwise(full)
+    drawn_share = strata.agg(F.coalesce(F.avg(share), F.lit(1.0))).scalar()
+    step = F.when(drawn_share >= 1.0, F.lit(rows_per_block)).otherwise(
+        F.greatest(F.lit(_LEAST_SAMPLES), F.ceil(drawn_share * rows_per_block).cast("int"))
     )
-    share = F.coalesce(volume.agg(F.sum("_rows")).scalar(), F.lit(0)) / F.lit(MAX_BUSY_KEYS)
-    blocks = F.ceil(F.col("_rows") / F.lit(rows_per_block))
-    width = F.ceil((F.col("_high") - F.col("_low") + 1) / blocks)
-    busy = volume.filter(
-        (F.col("_rows") > F.lit(rows_per_block)) & (F.col("_rows") > share)
-    ).select(*keys, "_low", width.alias("_width"))
-    start = micros - F.pmod(micros - F.col("_low"), F.col("_width"))
+    places = drawn.groupBy(*keys).agg(F.array_sort(F.collect_list("_place")).alias("_places"))
+    starts = F.filter("_places", lambda p, i: (i > 0) & (i % F.col("_step") == 0))
     return (
-        placed.join(F.broadcast(busy), list(keys), "left")
-        .withColumn(SPREAD, F.when(F.col("_low").isNull(), F.lit(0)).otherwise(start))
-        .drop("_low", "_width")
+        places.withColumn("_step", step)
+        .select(*keys, starts.alias("_starts"))
+        .filter(F.size("_starts") > 0)
     )
 
 
-def with_running_over_time(
+def _block_of(place: Column, starts: Column) -> Column:
+    """How many of the sorted ``starts`` are not after ``place``, by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(SAMPLED.bit_length()))])
+    found = F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get(starts, at + step - 1) <= place, at + step).otherwise(at)
+    )
+    return F.when(starts.isNull(), F.lit(0)).otherwise(found)
+
+
+def spread_in_order(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    rows_per_block: int,
+    rows_per_block: int = ROWS_PER_BLOCK,
+) -> DataFrame:
+    """Add ``_spread``: the block of each row, non-decreasing along ``order`` per key.
+
+    A key has one block unless it holds more than ``rows_per_block`` rows, and more
+    than the share of one of ``MAX_BLOCKS`` blocks; then it is cut where a sample of
+    its rows lies, so that blocks hold about that many rows however these crowd.
+    The list of cuts is bounded by its definition, and is broadcast. A row
+    without a key or without a place in the order is left out.
+    """
+    placed = df.filter(all_present(*keys, order[0]))
+    busy = _cuts(placed, keys, order, rows_per_block)
+    if keys:
+        known = placed.join(F.broadcast(busy), list(keys), "left")
+    else:
+        known = placed.withColumn("_starts", busy.select("_starts").scalar())
+    return known.withColumn(SPREAD, _block_of(F.struct(*order), F.col("_starts"))).drop("_starts")
+
+
+def spread_over_time(
+    df: DataFrame, keys: Sequence[str], ts: str, rows_per_block: int
+) -> DataFrame:
+    """``spread_in_order`` by a time alone: rows of one instant share a block."""
+    return spread_in_order(df, keys, [ts], rows_per_block)
+
+
+def with_running_in_order(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    rows_per_block: int = ROWS_PER_BLOCK,
     **running: Mapping[str, Column],
 ) -> DataFrame:
-    """``with_running`` along time, busy keys cut into blocks of about that size."""
-    spread = spread_over_time(df, keys, order[0], rows_per_block)
+    """``with_running`` along any total order, busy keys cut into blocks of about that size."""
+    spread = spread_in_order(df, keys, order, rows_per_block)
     return with_running(spread, keys, F.col(SPREAD), order, **running).drop(SPREAD)
+
+
+def unplaced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows that running values leave out, with ``reject_reason``.
+
+    Together with the rows that are placed they are all rows of ``df``.
+    """
+    reasons = [F.when(F.col(k).isNull(), F.lit(f"no {k}")) for k in (*keys, order[0])]
+    return df.withColumn("reject_reason", F.coalesce(*reasons)).filter(F.col("reject_reason").isNotNull())

@@ -4,11 +4,12 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spoolmark import schemas
 from spoolmark.operators import events, filters, metrics, sessions
-from spoolmark.plans.running import spread_over_time
+from spoolmark.plans.running import spread_in_order, spread_over_time
 
 from helpers import at, rows
 
@@ -180,3 +181,39 @@ def test_only_busy_paths_are_cut(spark, rows_per_block):
         assert cut <= -(-n // rows_per_block)
     ordered = spread.orderBy("path", "ts").select("path", "_spread").collect()
     assert all(a[1] <= b[1] for a, b in zip(ordered, ordered[1:]) if a[0] == b[0])
+
+
+def test_an_instant_is_cut_like_any_stretch(spark):
+    """Two thirds of all rows are of one path and one instant; several tasks sort them."""
+    n = 120_000
+    log = spark.range(n).select(
+        F.col("id").alias("seq"),
+        F.when(F.col("id") % 3 > 0, F.lit(START)).otherwise(F.lit(START) + F.make_dt_interval(secs=F.col("id"))).alias("ts"),
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 5000)).alias("path"),
+        F.when(F.col("id") % 7 == 0, "deleted").otherwise("modified").alias("kind"),
+    )
+    spread = spread_in_order(log, ["path"], ["ts", "seq"], 5000)
+    blocks = {r[0]: r[1:] for r in spread.groupBy("path", "_spread").count().groupBy("path").agg(F.count("*"), F.max("count")).collect()}
+    assert 8 <= blocks["hot"][0] <= 32 and blocks["hot"][1] <= 15_000
+    assert all(cut == 1 for path, (cut, _) in blocks.items() if path != "hot")
+    made = events.classify_changes(log, 5000)
+    plain = F.sum(F.when(F.col("kind") == "deleted", 1).otherwise(0)).over(Window.partitionBy("path").orderBy("ts", "seq"))
+    wanted = log.withColumn("g", plain - F.when(F.col("kind") == "deleted", 1).otherwise(0))
+    assert made.join(wanted, ["seq", "path"]).filter("generation <> g").isEmpty()
+    assert made.select("seq").distinct().count() == n
+    gauge = metrics.active_gauge(events.route_events(events.classify_changes(log)), 5000)
+    assert gauge.count() > 0
+    plan = gauge._jdf.queryExecution().executedPlan().toString()
+    for below in plan.split("Exchange SinglePartition")[1:]:
+        assert "HashAggregate" in below.split("\n")[1]
+
+
+def test_rows_are_placed_or_quarantined(spark):
+    odd = [(100, None, "p", "added"), (101, START, None, "modified"), (102, None, None, "deleted"), (None, START, "q", "added")]
+    log = spark.createDataFrame(busy(schemas.CHANGE_KINDS) + odd, schemas.RAW_CHANGES)
+    rejected = events.unplaced_events(log)
+    assert rows(rejected, "seq", "reject_reason") == [(100, "no ts"), (101, "no path"), (102, "no path")]
+    placed = spread_in_order(log, ["path"], ["ts", "seq"], 7)
+    assert placed.count() + rejected.count() == log.count()
+    routed = events.route_events(log.withColumnRenamed("kind", "event"))
+    assert routed.count() + rejected.count() == log.count()

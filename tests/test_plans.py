@@ -15,7 +15,7 @@ WRITES = {
 READS_FILES = {"read_chunks", "file_inventory"}
 # One row per block of time, per label or in all reaches the single partition.
 SINGLE = {"active_gauge", "stream_outcomes", "processing_time_histogram"}
-# The total number of rows, summed from partial sums, to tell the busy keys.
+# The share that was sampled, from one row per stratum of the sample.
 TOTALS = {
     "classify_changes", "assign_stream_ids", "init_stream_meta", "stream_generations", "route_events", "dedupe_creates",
     "activity_sessions",
@@ -106,7 +106,7 @@ def test_nothing_is_broadcast_by_force():
 
     root = pathlib.Path(catalog.__file__).resolve().parents[1]
     text = "\n".join(p.read_text() for p in root.rglob("*.py") if "llm" not in p.parts)
-    # The one exception is the list of busy keys, bounded by its definition.
+    # The one exception is the list of cuts of busy keys, bounded by its definition.
     assert text.count("broadcast(") == text.count("F.broadcast(busy)") == 1
     assert "localCheckpoint" not in text
     assert ".collect()" not in text and ".toPandas()" not in text
