@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import chunks, decisions, documents, events, filters, ledger, metrics, sessions, state
-from ..schemas import DURATION_BUCKETS, PROCESSING_TIME_BUCKETS
-from ..session import new_folder
+from ..schemas import DURATION_BUCKETS, PROCESSING_TIME_BUCKETS, RAW_CHANGES
+from ..session import new_folder, stateful_session
 from ..sources import chunk_reader, inventory, sinks
 from ..streaming import lifecycle, uploads
 from . import standins as s
@@ -26,6 +26,8 @@ PROCESSED_AT = "2002-01-01 00:00:00"
 CHUNK = 1024
 SEGMENT = 16_384
 GAP = 6 * 3600
+# After the last change of any feed and its gap.
+FEED_END = "2100-01-01 00:00:00"
 FILE_CHUNK = 1024 * 1024
 TABLE_SUFFIX = ".parquet"
 
@@ -475,17 +477,28 @@ def _drained(stream: DataFrame, out: str, mark: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
+def _whole_feed(spark, sf_dir, operator, label: str) -> DataFrame:
+    """What an operator emits for the whole feed: run over it, close it, run on."""
+    out, mark, closing = (new_folder(spark, f"{label}-{n}") for n in ("out", "mark", "closing"))
+    spark.createDataFrame([], RAW_CHANGES).write.parquet(closing)
+    beside = stateful_session(spark)
+    _drained(operator(lifecycle.with_closing(_event_stream(beside, sf_dir), closing)), out, mark)
+    lifecycle.close_feed(spark, closing, FEED_END)
+    made = _drained(operator(lifecycle.with_closing(_event_stream(beside, sf_dir), closing)), out, mark)
+    return spark.read.schema(made.schema).parquet(out)
+
+
 @query
 def idle_events(spark, sf_dir):
-    """Sessions that had closed when the stream ended."""
-    idle = lifecycle.idle_events(_event_stream(spark, sf_dir), GAP, "1 minute")
-    return times_as_text(_drained(idle, new_folder(spark, "idle"), new_folder(spark, "mark")))
+    """Every session of the feed, which is closed when all of it was read."""
+    return times_as_text(
+        _whole_feed(spark, sf_dir, lambda raw: lifecycle.idle_events(raw, GAP, "1 minute"), "idle")
+    )
 
 
 @query
 def classify_stream(spark, sf_dir):
-    made = lifecycle.classify_stream(_event_stream(spark, sf_dir))
-    return times_as_text(_drained(made, new_folder(spark, "events"), new_folder(spark, "mark")))
+    return times_as_text(_whole_feed(spark, sf_dir, lifecycle.classify_stream, "events"))
 
 
 @query

@@ -687,8 +687,7 @@ def all_sql() -> dict[str, str]:
         "idle_events": _with(
             "burst_bounds",
             f"""SELECT path, 'IDLE' AS event, {_text('session_start')} AS session_start,
-                       {_text('session_end')} AS idle_at, events FROM burst_bounds
-                WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE""",
+                       {_text('session_end')} AS idle_at, events FROM burst_bounds""",
         ),
         "progress_stream": _with(
             "uploads",

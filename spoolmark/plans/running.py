@@ -14,6 +14,7 @@ without a key (one run over everything) carries that many summaries at most.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +25,7 @@ from ..functions import all_present
 BLOCK = "_block"
 SPREAD = "_spread"
 # Places drawn from a whole table, in strata of their hash, and the fewest in a block.
-SAMPLED = 32_768
+SAMPLED = 16_384
 _STRATA = 64
 _LEAST_SAMPLES = 4
 MAX_BLOCKS = SAMPLED // _LEAST_SAMPLES
@@ -40,13 +41,15 @@ def with_running(
     sums: Mapping[str, Column] | None = None,
     maxima: Mapping[str, Column] | None = None,
     previous: Mapping[str, Column] | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """Add running columns to ``df``.
 
     ``block`` must not decrease along ``order``, and ``order`` must be total
     within a key. ``sums`` and ``maxima`` include the current row; ``previous``
     is the value on the row before, null on the first. A row without a key or
-    without a place in the order belongs to no run and is left out.
+    without a place in the order belongs to no run and is left out. ``whole`` says
+    that each key has one block, so that nothing needs to be carried.
     """
     sums, maxima, previous = dict(sums or {}), dict(maxima or {}), dict(previous or {})
     # Stated for both branches below, so that they share their input's shuffles.
@@ -83,6 +86,11 @@ def with_running(
         *[F.lag(f"_in_{n}").over(in_block).alias(f"_here_{n}") for n in previous],
         *([F.row_number().over(in_block).alias("_nth")] if previous else []),
     )
+    if whole:
+        return local.select(
+            *[F.col(c) for c in df.columns],
+            *[F.col(f"_here_{n}").alias(n) for n in (*sums, *maxima, *previous)],
+        )
     joined = local.join(carried, [*keys, BLOCK], "left")
     return joined.select(
         *[F.col(c) for c in df.columns],
@@ -100,33 +108,36 @@ def with_running(
     )
 
 
-def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_block: int) -> DataFrame:
-    """(keys, _starts): the sorted places at which the rows of a busy key are cut.
-
-    The places with the least hashes are drawn, so a retried task draws the same
-    ones, and the largest of those hashes tells how many rows there are: nothing
-    has to be counted first. Each task hands on ``SAMPLED`` places at most.
-    """
+def _places(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows with the least hashes, ``SAMPLED`` at most: a retried task draws the same ones."""
     spot = F.xxhash64(*keys, *order)
-    drawn = df.select(
-        *keys, F.struct(*order).alias("_place"), spot.alias("_spot"), F.pmod(spot, F.lit(_STRATA)).alias("_stratum")
-    )
+    drawn = df.select(*keys, *order, spot.alias("_spot"), F.pmod(spot, F.lit(_STRATA)).alias("_stratum"))
     least = Window.partitionBy("_stratum").orderBy("_spot")
-    drawn = drawn.withColumn("_rank", F.row_number().over(least)).filter(F.col("_rank") <= SAMPLED // _STRATA)
-    strata = drawn.groupBy("_stratum").agg(F.max("_rank").alias("_n"), F.max("_spot").alias("_top"))
-    full = (F.col("_top").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    share = F.when(F.col("_n") < SAMPLED // _STRATA, F.lit(1.0)).otherwise(full)
-    drawn_share = strata.agg(F.coalesce(F.avg(share), F.lit(1.0))).scalar()
-    step = F.when(drawn_share >= 1.0, F.lit(rows_per_block)).otherwise(
-        F.greatest(F.lit(_LEAST_SAMPLES), F.ceil(drawn_share * rows_per_block).cast("int"))
-    )
-    places = drawn.groupBy(*keys).agg(F.array_sort(F.collect_list("_place")).alias("_places"))
-    starts = F.filter("_places", lambda p, i: (i > 0) & (i % F.col("_step") == 0))
-    return (
-        places.withColumn("_step", step)
-        .select(*keys, starts.alias("_starts"))
-        .filter(F.size("_starts") > 0)
-    )
+    return drawn.withColumn("_rank", F.row_number().over(least)).filter(F.col("_rank") <= SAMPLED // _STRATA)
+
+
+def _cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_block: int) -> dict[tuple, list]:
+    """The places, sorted, at which the rows of each busy key are cut.
+
+    The sample comes to the driver, which its size bounds. The largest hash in it
+    tells what share of the rows it is, so nothing has to be counted.
+    """
+    drawn = _places(df, keys, order).toArrow().to_pydict()
+    tops: dict[int, list[int]] = {}
+    places: dict[tuple, list[tuple]] = {}
+    for row in zip(*(drawn[c] for c in (*keys, *order)), drawn["_stratum"], drawn["_spot"]):
+        tops.setdefault(row[-2], []).append(row[-1])
+        places.setdefault(row[: len(keys)], []).append(row[len(keys) : -2])
+    full = [max(spots) for spots in tops.values() if len(spots) == SAMPLED // _STRATA]
+    step = rows_per_block
+    if full:
+        share = sum((top + 2**63) / 2**64 for top in full) / len(full)
+        step = max(_LEAST_SAMPLES, math.ceil(share * rows_per_block))
+    return {
+        key: sorted(found, key=lambda p: [(v is not None, v) for v in p])[step::step]
+        for key, found in places.items()
+        if len(found) > step
+    }
 
 
 def _block_of(place: Column, starts: Column) -> Column:
@@ -150,15 +161,31 @@ def spread_in_order(
     than the share of one of ``MAX_BLOCKS`` blocks; then it is cut where a sample of
     its rows lies, so that blocks hold about that many rows however these crowd.
     The list of cuts is bounded by its definition, and is broadcast. A row
-    without a key or without a place in the order is left out.
+    without a key or without a place in the order is left out. The sample is drawn
+    when this is called, so a stream has to come batch by batch.
     """
+    return _spread(df, keys, order, rows_per_block)[0]
+
+
+def _spread(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_block: int
+) -> tuple[DataFrame, bool]:
+    """``spread_in_order``, and whether any key was cut."""
     placed = df.filter(all_present(*keys, order[0]))
-    busy = _cuts(placed, keys, order, rows_per_block)
+    cuts = _cuts(placed, keys, order, rows_per_block)
+    if not cuts:
+        # Of one run over everything the planner must not see that there is one block,
+        # or it would order rows in place of summaries.
+        one = F.lit(0) if keys else F.pmod(F.hash(*order), F.lit(1))
+        return placed.withColumn(SPREAD, one), False
+    types = placed.select(*keys, F.array(F.struct(*order)).alias("_starts")).schema
+    busy = df.sparkSession.createDataFrame([(*key, starts) for key, starts in cuts.items()], types)
     if keys:
         known = placed.join(F.broadcast(busy), list(keys), "left")
     else:
         known = placed.withColumn("_starts", busy.select("_starts").scalar())
-    return known.withColumn(SPREAD, _block_of(F.struct(*order), F.col("_starts"))).drop("_starts")
+    spread = known.withColumn(SPREAD, _block_of(F.struct(*order), F.col("_starts")))
+    return spread.drop("_starts"), True
 
 
 def spread_over_time(
@@ -176,8 +203,9 @@ def with_running_in_order(
     **running: Mapping[str, Column],
 ) -> DataFrame:
     """``with_running`` along any total order, busy keys cut into blocks of about that size."""
-    spread = spread_in_order(df, keys, order, rows_per_block)
-    return with_running(spread, keys, F.col(SPREAD), order, **running).drop(SPREAD)
+    spread, cut = _spread(df, keys, order, rows_per_block)
+    whole = bool(keys) and not cut
+    return with_running(spread, keys, F.col(SPREAD), order, **running, whole=whole).drop(SPREAD)
 
 
 def unplaced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -19,17 +19,38 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# What stateful operators on streams need; a session takes them when a stream starts.
+STATEFUL = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Keeps small state stores small on disk.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
+
 
 def build_session(app: str = "spoolmark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the defaults above; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
+    for key, value in {**DEFAULTS, **STATEFUL, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` with the settings of stateful operators; the caller's stays as it is."""
+    beside = spark.newSession()
+    for key, value in {**DEFAULTS, **STATEFUL}.items():
+        beside.conf.set(key, value)
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        beside.conf.set(key, spark.conf.get(key))
+    return beside
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

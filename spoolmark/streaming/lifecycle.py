@@ -1,66 +1,133 @@
-"""Streaming forms of the event operators."""
+"""Streaming forms of the event operators.
+
+They go by event time: ``delay`` is how late a row may come, and what they emit
+follows from the rows alone, not from the batches they came in. The last ``delay``
+of a feed stays pending until the feed goes on or is closed (``close_feed``).
+"""
 
 from __future__ import annotations
 
+import datetime
 import sys
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..plans.running import unplaced
+from ..schemas import RAW_CHANGES
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_EVENTS = "seq BIGINT, ts TIMESTAMP, path STRING, generation BIGINT, step INT, event STRING"
-_STATE = "known BOOLEAN, generation BIGINT"
-
-
-def _classify_path(key, frames, state) -> Iterator[pd.DataFrame]:
-    """Events of one path in one micro-batch, given what is known of it."""
-    known, generation = state.get if state.exists else (False, 0)
-    rows = pd.concat(list(frames), ignore_index=True)
-    order = np.lexsort((rows["seq"].to_numpy(), rows["ts"].to_numpy()))
-    kind = rows["kind"].to_numpy()[order]
-    deleted, written = kind == "deleted", kind == "modified"
-    before = np.concatenate(([known], ~deleted[:-1]))
-    created = ~deleted & ~before
-    closed = np.cumsum(deleted)
-    # Each row twice, as a possible CREATE and as its WRITE or DELETE.
-    happens = np.column_stack((created, written | deleted)).ravel()
-    names = np.column_stack(
-        (np.full(len(kind), "CREATE"), np.where(deleted, "DELETE", "WRITE"))
-    ).ravel()
-    steps = np.column_stack((np.zeros(len(kind), "int32"), (created & written).astype("int32")))
-    source = np.repeat(order, 2)[happens]
-    state.update((bool(~deleted[-1]), int(generation + closed[-1])))
-    yield pd.DataFrame(
-        {
-            "seq": rows["seq"].to_numpy()[source],
-            "ts": rows["ts"].take(source).array,
-            "path": key[0],
-            "generation": np.repeat(generation + closed - deleted, 2)[happens],
-            "step": steps.ravel()[happens],
-            "event": names[happens],
-        }
-    )
+_EVENTS = "seq BIGINT, micros BIGINT, path STRING, generation BIGINT, step INT, event STRING"
+_PENDING = "micros BIGINT, seq BIGINT, kind STRING"
+_KNOWN = "known BOOLEAN, generation BIGINT"
+#: Kind of the row that closes a feed; it is of no path.
+END_OF_FEED = "end"
 
 
-def classify_stream(raw: DataFrame) -> DataFrame:
-    """``classify_changes`` over a stream, one small state row per path.
+def close_feed(spark: SparkSession, closing_dir: str, as_of: datetime.datetime | str) -> None:
+    """Say that a feed is complete up to ``as_of``: what is pending before then is released.
 
-    Rows are ordered within a micro-batch; across batches arrival decides. The
-    rows of one path in one batch are sorted in memory, so the source needs a
-    rate limit (``maxBytesPerTrigger`` or ``maxFilesPerTrigger``). State is
-    kept for good: forgetting a path would turn its next change into a CREATE,
-    and its next generation into a repeat of the first.
+    The row is read by ``with_closing``. It is to be written after the feed's own
+    rows were taken in, since rows that come later than it are late.
     """
-    return (
-        raw.select("seq", "ts", "path", "kind")
-        .groupBy("path")
-        .applyInPandasWithState(_classify_path, _EVENTS, _STATE, "append", "NoTimeout")
+    end = spark.range(1).select(
+        F.lit(-1).cast("bigint").alias("seq"),
+        F.lit(as_of).cast("timestamp").alias("ts"),
+        F.lit(None).cast("string").alias("path"),
+        F.lit(END_OF_FEED).alias("kind"),
     )
+    end.write.mode("append").parquet(closing_dir)
+
+
+def with_closing(raw: DataFrame, closing_dir: str) -> DataFrame:
+    """A feed and the rows of ``close_feed``; the folder may be empty as yet."""
+    closing = raw.sparkSession.readStream.schema(RAW_CHANGES).parquet(closing_dir)
+    return raw.select(*RAW_CHANGES.fieldNames()).unionByName(closing)
+
+
+def _placed(raw: DataFrame, delay: str) -> DataFrame:
+    """Rows with a place in the order, below a watermark that closing rows raise too."""
+    marked = raw.withWatermark("ts", delay)
+    # One test of both columns: a test of the path alone would move below the
+    # watermark and hide the closing rows from it.
+    both = F.array_compact(F.array("path", F.col("ts").cast("string")))
+    return marked.filter(F.size(both) == 2)
+
+
+class _InOrder(StatefulProcessor):
+    """Holds the rows of a path until the watermark has passed them, then walks them in order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", _PENDING)
+        self.known = handle.getValueState("known", _KNOWN)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            came = list(zip(*(frame[c].tolist() for c in ("micros", "seq", "kind"))))
+            self.pending.appendList(came)
+            self._wake(min(micros for micros, _, _ in came))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(tuple(r) for r in self.pending.get())
+        # Several timers may expire at once; the first leaves nothing to the others.
+        ready = [r for r in rows if r[0] <= passed]
+        if not ready:
+            return
+        waiting = rows[len(ready) :]
+        self.pending.clear()
+        if waiting:
+            self.pending.put(waiting)
+            self._wake(waiting[0][0])
+        known, generation = self.known.get() if self.known.exists() else (False, 0)
+        made = []
+        for micros, seq, kind in ready:
+            deleted = kind == "deleted"
+            steps = []
+            if not deleted and not known:
+                steps.append("CREATE")
+            if deleted or kind == "modified":
+                steps.append("DELETE" if deleted else "WRITE")
+            made += [(seq, micros, key[0], generation, n, event) for n, event in enumerate(steps)]
+            known, generation = not deleted, generation + deleted
+        self.known.update((bool(known), int(generation)))
+        if made:
+            yield pd.DataFrame(made, columns=["seq", "micros", "path", "generation", "step", "event"])
+
+    def _wake(self, micros: int) -> None:
+        self.handle.registerTimer(-(-micros // 1000))
+
+    def close(self) -> None:
+        pass
+
+
+def classify_stream(raw: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """``classify_changes`` over a stream, whatever the batches and the order of arrival.
+
+    Rows wait in a list per path and are walked in (ts, seq) order once the
+    watermark, ``delay`` behind the latest row, has passed them; a row that comes
+    later than that is dropped by the watermark, as in any windowed stream. A path
+    that is never deleted keeps one small row of state for good: forgetting it
+    would turn its next change into a CREATE. Rows without a path or a time are
+    returned by ``unplaced_stream``. Needs the settings ``session.STATEFUL``.
+    """
+    placed = _placed(raw, delay).select("ts", "path", F.unix_micros("ts").alias("micros"), "seq", "kind")
+    made = placed.groupBy("path").transformWithStateInPandas(
+        _InOrder(), outputStructType=_EVENTS, outputMode="append", timeMode="EventTime"
+    )
+    return made.select("seq", F.timestamp_micros("micros").alias("ts"), "path", "generation", "step", "event")
+
+
+def unplaced_stream(raw: DataFrame) -> DataFrame:
+    """Rows of a feed that no operator here can order, with ``reject_reason``; no state."""
+    return unplaced(raw, ["path"], ["ts"]).filter(~F.col("kind").eqNullSafe(END_OF_FEED))
 
 
 def dedupe_creates_stream(events: DataFrame, delay: str) -> DataFrame:
@@ -77,15 +144,13 @@ def idle_events(events: DataFrame, gap_seconds: int, delay: str) -> DataFrame:
     """An IDLE event per path once a burst of activity has closed.
 
     Emitted when the watermark, ``delay`` behind the latest event, passes the
-    end of the session; the last open session of a path stays pending. Events
-    of one partition are merged into sessions before the shuffle, so a busy path
-    sends its bursts rather than its events.
+    end of the session. The last session of a path stays pending until the feed
+    goes on or is closed ``delay`` and ``gap_seconds`` after it. With the settings
+    ``session.STATEFUL`` events of one partition are merged into sessions before
+    the shuffle, so a busy path sends its bursts rather than its events.
     """
-    events.sparkSession.conf.set(
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
-    )
     return (
-        events.withWatermark("ts", delay)
+        _placed(events, delay)
         .groupBy("path", F.session_window("ts", f"{gap_seconds} seconds").alias("session"))
         .agg(F.count("*").alias("events"))
         .select(

