@@ -7,6 +7,7 @@ of a feed stays pending until the feed goes on or is closed (``close_feed``).
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import sys
 from collections.abc import Iterator
@@ -15,7 +16,6 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..plans.running import unplaced
 from ..schemas import RAW_CHANGES
@@ -23,8 +23,7 @@ from ..schemas import RAW_CHANGES
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _EVENTS = "seq BIGINT, micros BIGINT, path STRING, generation BIGINT, step INT, event STRING"
-_PENDING = "micros BIGINT, seq BIGINT, kind STRING"
-_KNOWN = "known BOOLEAN, generation BIGINT"
+_STATE = "known BOOLEAN, generation BIGINT, micros ARRAY<BIGINT>, seqs ARRAY<BIGINT>, kinds ARRAY<STRING>"
 #: Kind of the row that closes a feed; it is of no path.
 END_OF_FEED = "end"
 
@@ -59,68 +58,53 @@ def _placed(raw: DataFrame, delay: str) -> DataFrame:
     return marked.filter(F.size(both) == 2)
 
 
-class _InOrder(StatefulProcessor):
-    """Holds the rows of a path until the watermark has passed them, then walks them in order."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getListState("pending", _PENDING)
-        self.known = handle.getValueState("known", _KNOWN)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            came = list(zip(*(frame[c].tolist() for c in ("micros", "seq", "kind"))))
-            self.pending.appendList(came)
-            self._wake(min(micros for micros, _, _ in came))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.pending.get())
-        # Several timers may expire at once; the first leaves nothing to the others.
-        ready = [r for r in rows if r[0] <= passed]
-        if not ready:
-            return
-        waiting = rows[len(ready) :]
-        self.pending.clear()
-        if waiting:
-            self.pending.put(waiting)
-            self._wake(waiting[0][0])
-        known, generation = self.known.get() if self.known.exists() else (False, 0)
-        made = []
-        for micros, seq, kind in ready:
-            deleted = kind == "deleted"
-            steps = []
-            if not deleted and not known:
-                steps.append("CREATE")
-            if deleted or kind == "modified":
-                steps.append("DELETE" if deleted else "WRITE")
-            made += [(seq, micros, key[0], generation, n, event) for n, event in enumerate(steps)]
-            known, generation = not deleted, generation + deleted
-        self.known.update((bool(known), int(generation)))
-        if made:
-            yield pd.DataFrame(made, columns=["seq", "micros", "path", "generation", "step", "event"])
-
-    def _wake(self, micros: int) -> None:
-        self.handle.registerTimer(-(-micros // 1000))
-
-    def close(self) -> None:
-        pass
+def _walk(rows: list, path: str, known: bool, generation: int) -> tuple[list, bool, int]:
+    """Events of ordered rows of one path, given what is known of it."""
+    made = []
+    for micros, seq, kind in rows:
+        deleted = kind == "deleted"
+        steps = ["CREATE"] if not deleted and not known else []
+        if deleted or kind == "modified":
+            steps.append("DELETE" if deleted else "WRITE")
+        made += [(seq, micros, path, generation, n, event) for n, event in enumerate(steps)]
+        known, generation = not deleted, generation + deleted
+    return made, known, generation
+
+
+def _classify_path(key, frames, state) -> Iterator[pd.DataFrame]:
+    """Hold the rows of a path until the watermark has passed them, then walk them in order."""
+    known, generation, *held = state.get if state.exists else (False, 0, [], [], [])
+    rows = list(zip(*held))
+    if not state.hasTimedOut:
+        for frame in frames:
+            rows += zip(*(frame[c].tolist() for c in ("micros", "seq", "kind")))
+    rows.sort(key=lambda r: (r[0], r[1] is not None, r[1]))
+    passed = state.getCurrentWatermarkMs()
+    ready = bisect.bisect_right(rows, passed * 1000, key=lambda r: r[0])
+    made, known, generation = _walk(rows[:ready], key[0], known, generation)
+    waiting = rows[ready:]
+    columns = [list(c) for c in zip(*waiting)] or [[], [], []]
+    state.update((bool(known), int(generation), *columns))
+    if waiting:
+        state.setTimeoutTimestamp(max(-(-waiting[0][0] // 1000), passed + 1))
+    if made:
+        yield pd.DataFrame(made, columns=["seq", "micros", "path", "generation", "step", "event"])
 
 
 def classify_stream(raw: DataFrame, delay: str = "1 minute") -> DataFrame:
     """``classify_changes`` over a stream, whatever the batches and the order of arrival.
 
-    Rows wait in a list per path and are walked in (ts, seq) order once the
+    Rows wait in the state of their path and are walked in (ts, seq) order once the
     watermark, ``delay`` behind the latest row, has passed them; a row that comes
-    later than that is dropped by the watermark, as in any windowed stream. A path
-    that is never deleted keeps one small row of state for good: forgetting it
-    would turn its next change into a CREATE. Rows without a path or a time are
-    returned by ``unplaced_stream``. Needs the settings ``session.STATEFUL``.
+    later than that is dropped by the watermark, as in any windowed stream. A task
+    holds what one path changed within ``delay`` and one batch. A path keeps one
+    small row of state for good: forgetting it would turn its next change into a
+    CREATE, and its next generation into a repeat of the first. Rows without a path
+    or a time are returned by ``unplaced_stream``.
     """
     placed = _placed(raw, delay).select("ts", "path", F.unix_micros("ts").alias("micros"), "seq", "kind")
-    made = placed.groupBy("path").transformWithStateInPandas(
-        _InOrder(), outputStructType=_EVENTS, outputMode="append", timeMode="EventTime"
+    made = placed.groupBy("path").applyInPandasWithState(
+        _classify_path, _EVENTS, _STATE, "append", "EventTimeTimeout"
     )
     return made.select("seq", F.timestamp_micros("micros").alias("ts"), "path", "generation", "step", "event")
 
