@@ -25,6 +25,10 @@ RAW_CHANGES = _schema("seq BIGINT, ts TIMESTAMP, path STRING, kind STRING")
 LIFECYCLE_EVENTS = _schema("seq BIGINT, ts TIMESTAMP, path STRING, event STRING")
 TRACKED = _schema("path STRING, stream_id STRING")
 FILES = _schema("path STRING, file_name STRING, size BIGINT, modified_at TIMESTAMP")
+# Listings of a folder, one after another; a path without a size had gone by then.
+INVENTORY_LOG = _schema(
+    "path STRING, file_name STRING, size BIGINT, modified_at TIMESTAMP, listing BIGINT"
+)
 STREAM_META = _schema(
     "stream_id STRING, original_path STRING, s3_upload_id STRING, s3_bucket STRING, "
     "s3_key_prefix STRING, status STRING, started_at TIMESTAMP, last_activity_at TIMESTAMP, "

@@ -77,6 +77,31 @@ def test_reading_tasks_do_not_shrink_with_the_plan(spark, media):
     assert made.rdd.getNumPartitions() == 5
 
 
+def test_short_and_vanished_files_end_quietly(spark, media):
+    folder, content = media
+    files = inventory.file_inventory(spark, str(folder)).select("path", "size").collect()
+    planned = chunks.plan_chunks(spark.createDataFrame(files), 100)
+    (folder / "a.mp4").write_bytes(b"x" * 130)
+    (folder / "text.mp4").unlink()
+    made = chunk_reader.fetch_chunks(planned.select("path", "part_number", "offset", "length"), str(folder))
+    got = rows(made, F.substring_index("path", "/", -1).alias("f"), "part_number", "length", "status")
+    assert got[:3] == [("a.mp4", 1, 100, "ok"), ("a.mp4", 10, 0, "short"), ("a.mp4", 11, 0, "short")]
+    assert ("a.mp4", 2, 30, "short") in got and ("text.mp4", 1, 0, "missing") in got
+    assert [r["data"] for r in made.filter("status = 'missing'").collect()] == [None]
+    assert len(got) == planned.count()
+
+
+def test_ranges_are_dealt_by_bytes(spark, tmp_path):
+    sizes = {"big": 10_000, "a": 0, "z": 500, **{f"s{n:02}": 37 for n in range(40)}}
+    for name, size in sizes.items():
+        (tmp_path / f"{name}.mp4").write_bytes(bytes(size))
+    made = chunk_reader.read_chunks(spark, str(tmp_path), 100, bytes_per_task=1000)
+    total = sum(sizes.values())
+    by_task = made.groupBy(F.spark_partition_id().alias("t")).agg(F.sum("length").alias("bytes"))
+    loads = [r["bytes"] for r in by_task.collect()]
+    assert sum(loads) == total and len(loads) == -(-total // 1000) and max(loads) <= 1100
+
+
 def test_snapshot_diff(spark):
     def listing(*records):
         return spark.createDataFrame([(p, p, s, t) for p, s, t in records], schemas.FILES)

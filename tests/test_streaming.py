@@ -210,8 +210,70 @@ def test_tail_chunks_reads_only_what_is_new(spark, tmp_path, growing):
     for r in made.orderBy("path", "part_number").collect():
         whole[r["path"]] = whole.get(r["path"], b"") + bytes(r["data"])
     assert whole == {str(a): a.read_bytes(), str(b): b.read_bytes()}
-    a.write_bytes(b"short")
-    assert ranges(follow()) == ranges(made)
+    assert {r["generation"] for r in made.filter(F.col("path") == str(a)).collect()} == {1}
+
+
+def test_tail_chunks_of_files_made_anew(spark, tmp_path, growing):
+    """Shorter files, deleted ones and both at once: nothing of what is there is lost."""
+    log, out, mark = (str(tmp_path / n) for n in ("log", "out", "mark"))
+
+    def listing():
+        uploads.log_inventory(spark, str(growing), log)
+
+    def follow():
+        tail = uploads.tail_chunks(uploads.inventory_stream(spark, log), str(growing), 10)
+        return _drained(tail, out, mark)
+
+    def whole(made):
+        found = {}
+        for r in made.orderBy("path", "generation", "part_number").collect():
+            key = (os.path.basename(r["path"]), r["generation"])
+            found[key] = found.get(key, b"") + (bytes(r["data"]) if r["data"] is not None else r["status"].encode())
+        return found
+
+    def put(name, data):
+        (growing / f"{name}.mp4").write_bytes(data)
+
+    put("shrunk", b"0123456789abcde")
+    put("gone", b"first life")
+    put("stays", b"abc")
+    listing()
+    follow()
+    put("shrunk", b"new")
+    (growing / "gone.mp4").unlink()
+    listing()
+    follow()
+    put("gone", b"second life, longer")
+    put("shrunk", b"new, grown")
+    listing()
+    made = follow()
+    assert whole(made) == {
+        ("shrunk.mp4", 1): b"0123456789abcde",
+        ("shrunk.mp4", 2): b"new, grown",
+        ("gone.mp4", 1): b"first life",
+        ("gone.mp4", 3): b"second life, longer",
+        ("stays.mp4", 1): b"abc",
+    }
+    # Two listings in one batch: a file grows, then is made anew before it was read.
+    put("stays", b"abcdefgh")
+    put("brief", b"x" * 25)
+    listing()
+    put("stays", b"z")
+    (growing / "brief.mp4").unlink()
+    listing()
+    made = follow()
+    assert whole(made)[("stays.mp4", 1)] == b"abc" + b"replaced"
+    assert whole(made)[("stays.mp4", 5)] == b"z"
+    assert whole(made)[("brief.mp4", 4)] == b"replaced" * 3
+    # A repeated listing changes nothing, and paths that have gone keep no state.
+    before = rows(made, "path", "generation", "part_number", "status")
+    for file in list(growing.iterdir()):
+        file.unlink()
+    listing()
+    listing()
+    assert rows(follow(), "path", "generation", "part_number", "status") == before
+    state = spark.read.format("statestore").load(mark)
+    assert state.count() == 0
 
 
 def test_tail_of_full_files_equals_batch(spark, tmp_path, growing):
