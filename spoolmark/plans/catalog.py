@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import chunks, decisions, documents, events, filters, ledger, metrics, sessions, state
+from ..functions import file_name
 from ..schemas import DURATION_BUCKETS, PROCESSING_TIME_BUCKETS, RAW_CHANGES
 from ..session import new_folder, stateful_session
 from ..sources import chunk_reader, inventory, sinks
@@ -28,8 +29,7 @@ SEGMENT = 16_384
 GAP = 6 * 3600
 # After the last change of any feed and its gap.
 FEED_END = "2100-01-01 00:00:00"
-FILE_CHUNK = 1024 * 1024
-TABLE_SUFFIX = ".parquet"
+FILE_CHUNK = 16 * 1024
 
 _QUERIES: dict[str, Query] = {}
 
@@ -64,26 +64,54 @@ def _joined(array: str, *fields: str) -> Column:
 # Scans, sources, sinks
 
 
+def _media(spark, sf_dir) -> str:
+    """A folder of files made of the documents."""
+    folder = new_folder(spark, "media")
+    sinks.write_files(s.media_files(spark, sf_dir), folder)
+    return folder
+
+
 @query
 def file_inventory(spark, sf_dir):
-    """The table files themselves; the row check needs no fixed folder."""
-    return inventory.file_inventory(spark, sf_dir, TABLE_SUFFIX).select("file_name", "size")
+    """Files made of the documents, as listed."""
+    return inventory.file_inventory(spark, _media(spark, sf_dir)).select("file_name", "size")
+
+
+def _tagged(read: DataFrame, *columns: str) -> DataFrame:
+    tagged = chunks.chunk_checksums(read).withColumn("file_name", file_name(F.col("path")))
+    return tagged.select("file_name", *columns, "part_number", "offset", "length", "status", "etag")
 
 
 @query
 def read_chunks(spark, sf_dir):
-    """Every byte of the table files, read in ranges and tagged."""
-    read = chunk_reader.read_chunks(spark, sf_dir, FILE_CHUNK, TABLE_SUFFIX)
-    return chunks.chunk_checksums(read)
+    """Every byte of files made of the documents, read in ranges and tagged."""
+    return _tagged(chunk_reader.read_chunks(spark, _media(spark, sf_dir), FILE_CHUNK))
 
 
 @query
 def tail_chunks(spark, sf_dir):
-    """The table files followed through an inventory log."""
-    log, out, mark = (new_folder(spark, n) for n in ("inventory", "chunks", "mark"))
-    uploads.log_inventory(spark, sf_dir, log, TABLE_SUFFIX)
-    tail = uploads.tail_chunks(uploads.inventory_stream(spark, log), sf_dir, FILE_CHUNK)
-    return _drained(chunks.chunk_checksums(tail), out, mark)
+    """The same files followed while they are half written, whole, and, where their size
+    is odd, made anew with the last quarter of their bytes."""
+    log, out, mark, folder = (new_folder(spark, n) for n in ("inventory", "chunks", "mark", "media"))
+    files = s.media_files(spark, sf_dir)
+    size = F.octet_length("data")
+    states = [
+        files.withColumn("data", F.substr("data", F.lit(1), F.call_function("div", size, F.lit(2)).cast("int"))),
+        files,
+        files.filter(size % 2 == 1).withColumn("data", _last(F.col("data"), size, 4)),
+    ]
+    for files in states:
+        sinks.write_files(files, folder)
+        uploads.log_inventory(spark, folder, log)
+        read = uploads.tail_chunks(uploads.inventory_stream(spark, log), folder, FILE_CHUNK)
+        made = _drained(_tagged(read, "generation"), out, mark)
+    return made
+
+
+def _last(data: Column, size: Column, part: int) -> Column:
+    """The last of ``part`` equal parts of the bytes."""
+    kept = F.call_function("div", size, F.lit(part)).cast("int")
+    return F.substr(data, size - kept + 1, kept)
 
 
 @query

@@ -301,6 +301,26 @@ _TOTALS = _with(
 )
 
 
+_FILE_CHUNK = 16 * 1024
+_MEDIA = """
+    WITH media AS (
+      SELECT coalesce(source, 'none') || '-' || (doc_id // 1000) || '-f.mp4' AS file_name,
+             hex(encode(string_agg(text, '' ORDER BY doc_id))) AS h
+      FROM documents WHERE text IS NOT NULL GROUP BY 1),
+    sized AS (SELECT *, CAST(length(h) // 2 AS BIGINT) AS n FROM media)"""
+
+
+def _file_parts(spans: str, columns: str) -> str:
+    """Tagged ranges of the bytes from ``start`` to ``stop`` in ``h``, numbered from ``first``."""
+    c = _FILE_CHUNK
+    return f"""{_MEDIA}, spans AS ({spans}),
+        parts AS (SELECT *, unnest(range((stop - start + {c} - 1) // {c})) AS k FROM spans),
+        cut AS (SELECT *, start + k * {c} AS "offset", least({c}, stop - start - k * {c}) AS length FROM parts)
+        SELECT file_name, {columns} CAST(first + k AS INTEGER) AS part_number, "offset", length,
+               'ok' AS status, md5(unhex(substr(h, "offset" * 2 + 1, length * 2))) AS etag
+        FROM cut"""
+
+
 def _classified() -> str:
     return _with(
         "classified",
@@ -430,6 +450,19 @@ def all_sql() -> dict[str, str]:
     feed_columns = f"seq, {_text('ts')} AS ts, path, event"
     doc_chunk = "substr(data_hex, CAST(\"offset\" * 2 + 1 AS BIGINT), length * 2)"
     return {
+        "file_inventory": f"{_MEDIA} SELECT file_name, n AS size FROM sized",
+        "read_chunks": _file_parts(
+            "SELECT file_name, h, CAST(0 AS BIGINT) AS start, n AS stop, 1 AS first FROM sized", ""
+        ),
+        "tail_chunks": _file_parts(
+            f"""SELECT file_name, CAST(1 AS BIGINT) AS generation, h, CAST(0 AS BIGINT) AS start,
+                       n // 2 AS stop, CAST(1 AS BIGINT) AS first FROM sized
+                UNION ALL SELECT file_name, 1, h, n // 2, n, 1 + (n // 2 + {_FILE_CHUNK} - 1) // {_FILE_CHUNK}
+                FROM sized
+                UNION ALL SELECT file_name, 3, right(h, CAST(n // 4 * 2 AS BIGINT)), 0, n // 4, 1
+                FROM sized WHERE n % 2 = 1""",
+            "generation,",
+        ),
         "change_feed": _with("raw", f"SELECT seq, {_text('ts')} AS ts, path, kind FROM raw"),
         "snapshot_diff": """
             WITH old AS (SELECT l_orderkey AS k, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS size,

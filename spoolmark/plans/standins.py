@@ -293,6 +293,18 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of up to a thousand ids of one source, in the order of ids."""
+    d = table(spark, sf_dir, "documents")
+    block = F.call_function("div", F.col("doc_id"), F.lit(1000)).cast("string")
+    return (
+        d.filter(F.col("text").isNotNull())
+        .groupBy(F.concat_ws("-", F.coalesce("source", F.lit("none")), block, F.lit("f")).alias("stem"))
+        .agg(F.expr("listagg(encode(text, 'utf-8')) WITHIN GROUP (ORDER BY doc_id)").alias("data"))
+        .select(F.concat("stem", F.lit(".mp4")).alias("file_name"), "data")
+    )
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two inventories of the same files: by an early date, and of open lines."""
     li = table(spark, sf_dir, "lineitem")

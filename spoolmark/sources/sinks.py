@@ -1,9 +1,12 @@
-"""Sinks: the append-only ledger and the metadata documents."""
+"""Sinks: the append-only ledger, the metadata documents and plain files."""
 
 from __future__ import annotations
 
+import sys
 import time
+from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,9 @@ from pyspark.sql import types as T
 from ..operators.documents import stored_form
 from ..operators.ledger import latest_parts
 from ..schemas import PART_LEDGER, STORED_DOCUMENT, STORED_TIME
+from .inventory import open_filesystem
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def write_ledger(batch: DataFrame, directory: str, batch_id: int, writer: str = "batch") -> None:
@@ -54,3 +60,35 @@ def read_metadata_json(spark: SparkSession, directory: str) -> DataFrame:
     last = Window.partitionBy("metadata_key").orderBy(F.desc("run"))
     ranked = lines.withColumn("_rank", F.rank().over(last))
     return ranked.filter("_rank = 1").select("metadata_key", "page", "document")
+
+
+def _write_each(directory: str):
+    def write(batches) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, root = open_filesystem(directory)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            paths, sizes = [], []
+            for name, data in zip(batch.column("file_name"), batch.column("data")):
+                path = f"{root}/{name.as_py()}"
+                data = data.as_py()
+                # A file appears whole; a retried task puts the same bytes in its place.
+                staged = f"{path}.{time.time_ns()}.part"
+                with system.open_output_stream(staged) as out:
+                    out.write(data)
+                if system.get_file_info(path).type != fs.FileType.NotFound:
+                    system.delete_file(path)
+                system.move(staged, path)
+                paths.append(path)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "size"])
+
+    return write
+
+
+def write_files(files: DataFrame, directory: str) -> int:
+    """One file below ``directory`` per (file_name, data); the bytes written."""
+    written = files.select("file_name", "data").mapInArrow(_write_each(directory), "path STRING, size BIGINT")
+    return written.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]

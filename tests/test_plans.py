@@ -13,8 +13,8 @@ WRITES = {
     "tail_chunks", "change_feed", "write_ledger", "write_metadata_json", "idle_events", "classify_stream", "progress_stream",
 }
 READS_FILES = {"read_chunks", "file_inventory"}
-# One row per block of time, per label or in all reaches the single partition.
-SINGLE = {"active_gauge", "stream_outcomes", "processing_time_histogram"}
+# One row per block, per label or in all reaches the single partition.
+SINGLE = {"active_gauge", "read_chunks", "stream_outcomes", "processing_time_histogram"}
 # Keys that a sample found to hold fewer rows than a block are not cut.
 SAMPLED = {
     "classify_changes", "assign_stream_ids", "init_stream_meta", "stream_generations", "route_events", "dedupe_creates",
