@@ -116,7 +116,7 @@ def _fetch_dealt(
     """Ranges dealt to tasks by their bytes: the files one after another, cut evenly.
 
     A running total of sizes gives each file its place among all bytes, so every
-    task reads about ``bytes_per_task`` of them, be they of one file or of thousands.
+    task reads as many, ``bytes_per_task`` at most, be they of one file or of thousands.
     """
     # One listing serves the totals and the plan, and a lost executor does not list again.
     listing = new_folder(spark, "listing")
@@ -127,9 +127,10 @@ def _fetch_dealt(
     planned = plan_chunks(ended, chunk_size)
     place = F.col("ended") - F.col("size") + F.col("offset")
     kept = ["path", "part_number", "offset", "length"]
-    tasks = max(1, -(-total // bytes_per_task))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // bytes_per_task))
+    share = max(1, -(-total // tasks))
     spread = (
-        planned.withColumn("task", F.call_function("div", place, F.lit(bytes_per_task)).cast("int"))
+        planned.withColumn("task", F.call_function("div", place, F.lit(share)).cast("int"))
         .repartitionById(tasks, "task")
         .sortWithinPartitions("path", "offset")
         .select(*kept)
