@@ -397,11 +397,18 @@ def audit_sources(
         .join(totals, ["lang", "block"])
         .select("lang", "term", "block", "at", "n", "lang_n", "lang_total", "v", "totals")
         .mapInArrow(_prominent(top), "lang STRING, at INT, value BIGINT, term STRING")
+    )
+    # Terms are in the order of their bytes as they are held; names join the best alone.
+    best = Window.partitionBy("lang", "at").orderBy(F.desc("value"), "term")
+    marked = (
+        marked.withColumn("rank", F.row_number().over(best))
+        .where(F.col("rank") <= top)
         .join(groups.select("lang", "at", "source"), ["lang", "at"])
-        .select("lang", "source", F.lit("term").alias("part"), _term(F.col("term")).alias("item"), "value")
+        .select(
+            "lang", "source", F.lit("term").alias("part"), _term(F.col("term")).alias("item"), "value", "rank"
+        )
     )
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    marked = marked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     pairs = _pairs(groups, found, totals, vocabulary)
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value")
     return marked.union(pairs.withColumn("rank", F.row_number().over(order)))
