@@ -36,8 +36,8 @@ FIRST_BYTES = 4
 #: Sources that are compared with each other in one block.
 BLOCK = 64
 SCALE = 1_000_000_000
-#: Rows whose terms a task holds as Python strings at once.
-_ROWS = 500
+#: Rows whose terms a task holds as Python strings at once, and rows that it counts together.
+_ROWS, _COUNTED_ROWS = 500, 4000
 _TERMS = "lang STRING, source STRING, terms ARRAY<STRING>, counts ARRAY<BIGINT>"
 _FOUND = "lang STRING, term STRING, block INT, at ARRAY<INT>, n ARRAY<BIGINT>"
 #: A to Z to lower case, letters and all bytes of other alphabets kept, the rest to blanks.
@@ -78,6 +78,12 @@ def document_terms(docs: DataFrame) -> DataFrame:
     return plain.mapInArrow(_count_terms, _TERMS)
 
 
+def _parts(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, _COUNTED_ROWS):
+            yield batch.slice(start, _COUNTED_ROWS)
+
+
 def _rows_of(lists: pa.ListArray) -> np.ndarray:
     """The row of each element of flattened lists."""
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
@@ -94,7 +100,7 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
 def _prefix_counts(width: int, before: int):
     def count(batches) -> Iterator[pa.RecordBatch]:
         """Rows of a batch with each prefix of ``width`` bytes, of terms over ``before`` bytes."""
-        for batch in batches:
+        for batch in _parts(batches):
             langs = batch.column("lang").dictionary_encode()
             row, terms = _rows_of(batch.column("terms")), batch.column("terms").flatten()
             if before:
@@ -160,7 +166,7 @@ def _lists(keys: list[np.ndarray], at: np.ndarray, n: np.ndarray):
 
 def _pack(batches) -> Iterator[pa.RecordBatch]:
     """Occurrences of each term of a batch by source."""
-    for batch in batches:
+    for batch in _parts(batches):
         row, terms = _rows_of(batch.column("terms")), batch.column("terms").flatten().dictionary_encode()
         if not len(row):
             continue
