@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spoolmark import schemas
-from spoolmark.operators import chunks, ledger
+from spoolmark.operators import chunks, documents, ledger
 from spoolmark.plans import catalog
 from spoolmark.sources import chunk_reader, inventory, sinks
 
@@ -135,12 +135,95 @@ def test_ledger_batches_replace_and_upsert(spark, tmp_path):
     def batch(*records):
         return spark.createDataFrame(list(records), schemas.PART_LEDGER)
 
-    sinks.write_ledger(batch(("s", 1, "a", 1, at("12:00"))), folder, 0)
-    sinks.write_ledger(batch(("s", 1, "b", 2, at("12:01")), ("s", 2, "c", 3, at("12:01"))), folder, 1)
+    sinks.write_ledger(batch(("s", 1, "a", 1, at("12:00"))), folder, 0, "w")
+    sinks.write_ledger(batch(("s", 1, "b", 2, at("12:01")), ("s", 2, "c", 3, at("12:01"))), folder, 1, "w")
     expected = [("s", 1, "b", 2), ("s", 2, "c", 3)]
     columns = ("stream_id", "part_number", "etag", "size_bytes")
     assert rows(sinks.read_ledger(spark, folder), *columns) == expected
-    sinks.write_ledger(batch(("s", 1, "b", 2, at("12:01")), ("s", 2, "c", 3, at("12:01"))), folder, 1)
+    sinks.write_ledger(batch(("s", 1, "b", 2, at("12:01")), ("s", 2, "c", 3, at("12:01"))), folder, 1, "w")
     assert spark.read.parquet(folder).count() == 3
     assert rows(sinks.read_ledger(spark, folder), *columns) == expected
     assert ledger.stream_totals(sinks.read_ledger(spark, folder)).first()["total_size_bytes"] == 5
+
+
+def test_ledger_writers_and_compaction(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "ledger")
+    columns = ("stream_id", "part_number", "etag")
+
+    def put(batch_id, writer, *records):
+        data = [(stream, part, tag, 1, at(when)) for stream, part, tag, when in records]
+        sinks.write_ledger(spark.createDataFrame(data, schemas.PART_LEDGER), folder, batch_id, writer)
+
+    def view():
+        return rows(sinks.read_ledger(spark, folder), *columns)
+
+    assert view() == []
+    with pytest.raises(TypeError):
+        sinks.write_ledger(spark.createDataFrame([], schemas.PART_LEDGER), folder, 0)
+    # Two batch jobs with the same number keep out of each other's way.
+    put(0, "one", ("s", 1, "a", "12:00"))
+    put(0, "two", ("s", 2, "b", "12:00"))
+    put(1, "one", ("s", 1, "a2", "12:05"))
+    expected = [("s", 1, "a2"), ("s", 2, "b")]
+    assert view() == expected
+    # A compaction that dies before its manifest, and one that is completed.
+    with monkeypatch.context() as patch:
+        patch.setattr(sinks, "_put", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            sinks.compact_ledger(spark, folder)
+    assert view() == expected
+    sinks.compact_ledger(spark, folder)
+    assert view() == expected
+    read = sinks.read_ledger(spark, folder).inputFiles()
+    assert read and all("/base/" in f for f in read)
+    # Late and repeated batches after it.
+    put(1, "one", ("s", 1, "a2", "12:05"))
+    put(2, "one", ("s", 2, "old", "11:00"), ("t", 1, "c", "12:10"))
+    expected.append(("t", 1, "c"))
+    assert view() == expected
+    sinks.vacuum_ledger(spark, folder)
+    assert view() == expected
+    sinks.compact_ledger(spark, folder)
+    sinks.vacuum_ledger(spark, folder)
+    sinks.compact_ledger(spark, folder)
+    assert view() == expected
+    assert len(list((tmp_path / "ledger" / "base").iterdir())) == 1
+    assert not list((tmp_path / "ledger" / "deltas").glob("*/*"))
+
+
+def test_documents_of_a_later_run_replace_all_pages(spark, tmp_path):
+    folder = str(tmp_path / "documents")
+    assert sinks.read_metadata_json(spark, folder).count() == 0
+
+    def put(parts, run=None, stream="s"):
+        state = spark.createDataFrame([(stream, "/p", "b", "k", at("12:00"))], "stream_id STRING, original_path STRING, s3_bucket STRING, s3_key_prefix STRING, started_at TIMESTAMP")
+        for field in schemas.STREAM_META.fields:
+            if field.name not in state.columns:
+                state = state.withColumn(field.name, F.lit(None).cast(field.dataType))
+        ledger_rows = [(stream, n, "e", 1, at("12:00")) for n in range(1, parts + 1)]
+        made = documents.metadata_documents(
+            state.select(*schemas.STREAM_META.fieldNames()),
+            spark.createDataFrame(ledger_rows, schemas.PART_LEDGER),
+            spark.createDataFrame([], schemas.DURATIONS),
+            "2024-01-01",
+            parts_per_page=1,
+        )
+        sinks.write_metadata_json(made, folder, run)
+
+    def view():
+        part = documents.flatten_chunks(sinks.read_metadata_json(spark, folder))
+        return rows(part, "stream_id", "part_number")
+
+    put(5)
+    put(1, stream="t")
+    put(2)
+    expected = [("s", 1), ("s", 2), ("t", 1)]
+    assert view() == expected
+    # A retried run changes nothing, and one without its manifest does not count.
+    put(4, run=3)
+    assert view() == expected
+    put(7)
+    (tmp_path / "documents" / "manifests" / "run=4").rename(tmp_path / "lost")
+    assert view() == expected
+    put(3, run=4)
+    assert view() == [("s", 1), ("s", 2), ("s", 3), ("t", 1)]
