@@ -121,7 +121,8 @@ def _put(path: str, data: bytes) -> None:
     system.move(staged, target)
 
 
-# Metadata documents: pages by run, and a manifest of the pages of each stream.
+# Metadata documents: pages by run, and a manifest of the pages of each stream in a
+# folder that plain reads of the documents pass over.
 
 _LINE = T.StructType(
     [
@@ -141,19 +142,19 @@ def write_metadata_json(documents: DataFrame, directory: str, run: int | None =
     run that counts is not written again, so a retry changes nothing. Without
     ``run`` it is the one after the last that counts.
     """
-    done = {int(f.split("/")[0].removeprefix("run=")) for f in _committed(f"{directory}/manifests", "run", "attempt")}
+    done = {int(f.split("/")[0].removeprefix("run=")) for f in _committed(f"{directory}/_manifests", "run", "attempt")}
     run = max(done, default=0) + 1 if run is None else run
     if run in done:
         return
     attempt = uuid.uuid4().hex
-    pages = f"{directory}/pages/run={run}/attempt={attempt}"
+    pages = f"{directory}/run={run}/attempt={attempt}"
     lines = stored_form(documents).write
     lines.option("ignoreNullFields", "false").option("timestampFormat", STORED_TIME).json(pages)
     written = _lines(documents.sparkSession, [pages])
     written.groupBy(F.col("document.stream_id").alias("stream_id")).agg(
         F.count("*").alias("pages")
     ).withColumn("run", F.lit(run).cast("bigint")).withColumn("attempt", F.lit(attempt)).write.parquet(
-        f"{directory}/manifests/run={run}/attempt={attempt}"
+        f"{directory}/_manifests/run={run}/attempt={attempt}"
     )
 
 
@@ -164,13 +165,13 @@ def _lines(spark: SparkSession, folders: list[str]) -> DataFrame:
 def read_metadata_json(spark: SparkSession, directory: str) -> DataFrame:
     """The lines of ``write_metadata_json`` in their stored form: all pages of the last
     run of each stream, and none of earlier runs."""
-    runs = _committed(f"{directory}/manifests", "run", "attempt")
+    runs = _committed(f"{directory}/_manifests", "run", "attempt")
     if not runs:
         return spark.createDataFrame([], _LINE)
-    named = spark.read.schema(_PAGES).parquet(*[f"{directory}/manifests/{r}" for r in runs])
+    named = spark.read.schema(_PAGES).parquet(*[f"{directory}/_manifests/{r}" for r in runs])
     last = named.groupBy("stream_id").agg(F.max(F.struct("run", "attempt")).alias("last"))
     from_file = F.regexp_extract(F.input_file_name(), "/run=([0-9]+)/attempt=([0-9a-f]+)/", 2)
-    lines = _lines(spark, [f"{directory}/pages/{r}" for r in runs]).withColumn("_attempt", from_file)
+    lines = _lines(spark, [f"{directory}/{r}" for r in runs]).withColumn("_attempt", from_file)
     current = last.select(F.col("stream_id").alias("_stream"), F.col("last.attempt").alias("_current"))
     same = F.col("document.stream_id").eqNullSafe(F.col("_stream")) & (F.col("_attempt") == F.col("_current"))
     return lines.join(current, same).select("metadata_key", "page", "document")

@@ -223,7 +223,7 @@ def test_documents_of_a_later_run_replace_all_pages(spark, tmp_path):
     put(4, run=3)
     assert view() == expected
     put(7)
-    (tmp_path / "documents" / "manifests" / "run=4").rename(tmp_path / "lost")
+    (tmp_path / "documents" / "_manifests" / "run=4").rename(tmp_path / "lost")
     assert view() == expected
     put(3, run=4)
     assert view() == [("s", 1), ("s", 2), ("s", 3), ("t", 1)]
