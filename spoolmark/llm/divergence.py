@@ -32,7 +32,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END = " "
 #: Bytes of the prefixes of the first level; each level doubles them.
-FIRST_BYTES = 4
+FIRST_BYTES = 8
 #: Sources that are compared with each other in one block.
 BLOCK = 64
 SCALE = 1_000_000_000
