@@ -17,7 +17,7 @@ SHINGLE_WORDS, SIMILARITY = 5, 80
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the recurrent network does not reject."""
     sample = toxicity.labelled_sample(docs, read(spark, sf_dir, "labels"))
-    return toxicity.clean_documents(docs, toxicity.train(sample))
+    return toxicity.clean_documents(docs, toxicity.fitted(sample))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

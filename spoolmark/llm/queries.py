@@ -102,7 +102,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = toxicity.train(toxicity.labelled_sample(docs, read(spark, sf_dir, "labels")))
+    model = toxicity.fitted(toxicity.labelled_sample(docs, read(spark, sf_dir, "labels")))
     return toxicity.score_documents(docs, model).select(
         "doc_id",
         (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),

@@ -3,13 +3,14 @@
 Words are runs outside white space. One of over ``LONG`` characters is cut, at
 what is no letter or digit, and into overlapping pieces where that leaves long
 ones; each piece enters as a word, so texts without spaces pass through windows
-whole. A word enters as two vectors: that of its hashed spelling, and the mean of
-those of its hashed character pieces. Two gated recurrent units read a window
+whole. A word enters as two vectors: that of its hashed spelling, and the sum of
+those of its hashed character pieces, by the root of their number. Two gated recurrent units read a window
 of words from either end; attention pools their states, and a linear layer
 scores the window. Windows overlap by a third, all are scored, and the text's score
 is that of its worst window, calibrated on the rows it was trained on.
 
-Training is plain numpy on the driver, on a bounded sample of labelled rows.
+Training is plain numpy in one task, on a sample of labelled rows that is bounded
+in rows and bytes; the driver gets the model only.
 Only whole-text labels exist, so each round trains on the window that the
 network so far finds worst in each text, and on one at random. The vectors
 start from the log-odds of spellings and pieces in the sample.
@@ -17,14 +18,16 @@ start from the log-odds of spellings and pieces in the sample.
 
 from __future__ import annotations
 
+import pickle
 import re
 import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoolmark.llm import tables
@@ -35,9 +38,13 @@ WINDOW, STRIDE = 24, 16
 WORD_SLOTS, PIECE_SLOTS = 1 << 15, 1 << 14
 WIDTH, HIDDEN = 8, 8
 TOXIC_ROWS, CLEAN_ROWS = 1000, 2000  # most labelled rows that training uses
+SAMPLE_BYTES = 1 << 24  # of the texts of either label, from which no further row is used
 LONG = 40  # most characters of a word that is not cut
 CUT, SHARED = 16, 4  # characters of a piece of a cut run, and of those the next one has too
 ROUNDS, BATCH = 3, 128
+STEPS = 60  # fewest steps of training, however few the rows are
+DOUBT = 3  # standard errors that are taken off a log-odds
+SLOW = 0.002  # of the rate for vectors of spellings and pieces, which else learn rows by heart
 
 SCORES = "doc_id BIGINT, score DOUBLE, windows BIGINT, worst_word BIGINT"
 
@@ -110,11 +117,15 @@ class Slots:
     """Slots of many words: one of the spelling, and a run of those of the pieces."""
 
     def __init__(self, words: list[str]) -> None:
-        found = [_slots(w) for w in words]
-        self.spelling = np.array([s for s, _ in found], np.int64)
-        self.sizes = np.array([len(p) for _, p in found], np.int64)
+        self.spelling = np.empty(len(words), np.int64)
+        self.sizes = np.empty(len(words), np.int64)
+        pieces = array("i")
+        for k, word in enumerate(words):
+            self.spelling[k], own = _slots(word)
+            self.sizes[k] = len(own)
+            pieces.extend(own)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))[:-1].astype(np.int64)
-        self.pieces = np.array([p for _, ps in found for p in ps], np.int64)
+        self.pieces = np.array(pieces, np.int32)
 
     def runs(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of some words, one after the other, and where each word's begin."""
@@ -125,13 +136,13 @@ class Slots:
 
 
 def _inputs(model: dict, slots: Slots, rows: np.ndarray) -> np.ndarray:
-    """Vectors of words: spelling and mean of pieces."""
+    """Vectors of words: spelling, and the sum of pieces by the root of their number."""
     out = np.zeros((len(rows), 2 * WIDTH), np.float32)
     if len(rows):
         pieces, starts = slots.runs(rows)
         out[:, :WIDTH] = model["word"][slots.spelling[rows]]
         total = np.add.reduceat(model["piece"][pieces], starts, axis=0)
-        out[:, WIDTH:] = total / slots.sizes[rows][:, None]
+        out[:, WIDTH:] = total / np.sqrt(slots.sizes[rows], dtype=np.float32)[:, None]
     return out
 
 
@@ -282,8 +293,10 @@ def _start(rng, slots: Slots, docs: list[np.ndarray], labels: np.ndarray) -> dic
             rows = np.unique(doc)
             seen[int(label), np.unique(pick(rows[rows > 0] - 1))] += 1
         share = (seen + 0.5) / (np.bincount(labels, minlength=2)[:, None] + 1)
-        odds = np.log(share[1] / share[0]) * (1 - np.exp(-seen.sum(axis=0) / 4))
-        model[name][:, 0] = np.clip(odds, -4, 4) / 2
+        odds = np.log(share[1] / share[0])
+        # What chance explains counts for nothing: ``DOUBT`` standard errors are taken off.
+        sure = np.maximum(np.abs(odds) - DOUBT * np.sqrt((1 / (seen + 0.5)).sum(axis=0)), 0)
+        model[name][:, 0] = np.clip(np.sign(odds) * sure, -4, 4)
     model["word"][0] = model["piece"][0] = 0
     return model
 
@@ -334,7 +347,11 @@ def _gradients(model: dict, x: np.ndarray, labels: np.ndarray):
 
 
 def train(rows: list[tuple[str, int]], seed: int = 7, rounds: int = ROUNDS) -> dict:
-    """A model from (text, label) rows. With one label only, a constant score."""
+    """A model from (text, label) rows. With one label only, a constant score.
+
+    Training takes ``rounds`` rounds over the rows and ``STEPS`` steps at least.
+    Windows of the rarer label are repeated until they are a third of all.
+    """
     labels = np.array([label for _, label in rows], int)
     if len(set(labels.tolist())) < 2:
         return {"constant": float(labels.mean()) if len(labels) else 0.0}
@@ -369,13 +386,20 @@ def train(rows: list[tuple[str, int]], seed: int = 7, rounds: int = ROUNDS) -> d
     logits = of_all(lambda part: odds[part].max(axis=1))
     moments: dict = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
     steps = 0
-    for _ in range(rounds):
+    turn = 0
+    while turn < rounds or steps < STEPS:
+        turn += 1
         worst = np.array(
             [first[k] + logits[first[k] : first[k + 1]].argmax() for k in range(len(rows))]
         )
         other = rng.integers(first[:-1], first[1:])
         other = other[labels == 0]
-        chosen = rng.permutation(np.concatenate((worst, other)))
+        chosen = np.concatenate((worst, other))
+        for label in (0, 1):
+            own = chosen[labels[owner[chosen]] == label]
+            more = (len(chosen) - len(own)) // (2 * len(own))
+            chosen = np.concatenate((chosen, np.repeat(own, max(more - 1, 0))))
+        chosen = rng.permutation(chosen)
         for k in range(0, len(chosen), BATCH):
             part = chosen[k : k + BATCH]
             read = windows(part).T
@@ -391,13 +415,14 @@ def train(rows: list[tuple[str, int]], seed: int = 7, rounds: int = ROUNDS) -> d
             pieces, _ = slots.runs(used)
             sizes = slots.sizes[used]
             np.add.at(d_word, slots.spelling[used], total[:, :WIDTH])
-            np.add.at(d_piece, pieces, np.repeat(total[:, WIDTH:] / sizes[:, None], sizes, axis=0))
+            np.add.at(d_piece, pieces, np.repeat(total[:, WIDTH:] / np.sqrt(sizes)[:, None], sizes, axis=0))
             grad |= {"word": d_word, "piece": d_piece}
             for name, g in grad.items():
                 m, v = moments[name]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                model[name] -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+                step = rate * SLOW if name in ("word", "piece") else rate
+                model[name] -= (step * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
             model["word"][0] = model["piece"][0] = 0
             vectors[used + 1] = _inputs(model, slots, used)
         vectors[1:] = _inputs(model, slots, every)
@@ -420,12 +445,19 @@ def _calibrated(top: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_ROWS, clean: int = CLEAN_ROWS
-) -> list[tuple[str, int]]:
-    """At most ``toxic`` and ``clean`` labelled rows, by the hash of their id.
-
-    Rows whose crc32(doc_id as text) mod 5 is 0 are held out. The bounds hold at
-    every size, so the sample fits the driver, and its ids can be broadcast.
+    docs: DataFrame,
+    labels: DataFrame,
+    toxic: int = TOXIC_ROWS,
+    clean: int = CLEAN_ROWS,
+    most_bytes: int = SAMPLE_BYTES,
+) -> DataFrame:
+    """doc_id, label and text of at most ``toxic`` and ``clean`` labelled rows, by the hash of their id.
+
+    Rows whose crc32(doc_id as text) mod 5 is 0 are held out. Of either label,
+    rows are taken until their texts have ``most_bytes``; the row that gets there
+    is the last one. The bounds hold at every size, so the sample fits one task,
+    and its ids can be broadcast. An id with two labels is toxic; of rows that
+    repeat an id the least text is taken.
     """
     learn = labels.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int")).where(
         (F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col("toxic").isin(0, 1)
@@ -438,8 +470,22 @@ def labelled_sample(
     chosen = F.broadcast(parts[0].union(parts[1]))
     texts = docs.select(F.col("doc_id").cast("bigint"), tables.text_of().alias("text"))
     rows = texts.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    found = rows.toArrow().sort_by("doc_id")
-    return list(zip(found["text"].to_pylist(), found["label"].to_pylist(), strict=True))
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    before = F.sum(F.octet_length("text")).over(order) - F.octet_length("text")
+    return rows.withColumn("before", before).where(F.col("before") < most_bytes).drop("before")
+
+
+def fitted(sample: DataFrame) -> dict:
+    """The model that ``train`` makes of a ``labelled_sample``, in one task."""
+
+    def run(batches):
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        rows.sort()
+        model = train([(text, label) for _, label, text in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    rows = sample.select("doc_id", "label", "text").repartition(1)
+    return pickle.loads(rows.mapInArrow(run, "model BINARY").collect()[0]["model"])
 
 
 def score_documents(docs: DataFrame, model: dict) -> DataFrame:
