@@ -10,23 +10,26 @@ label. A linear scorer over hashed spellings, ends and shapes of words learns th
 from __future__ import annotations
 
 import operator
+import pickle
 import sys
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoolmark.llm import tables
 from spoolmark.llm.shingles import encoded
 from spoolmark.llm.subwords import Remembered
+from spoolmark.llm.tables import Workspace
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LABELLERS = ("symbols", "capitals", "bars", "sentences", "marks", "word_length", "lines", "echoes")
 SAMPLE = 3000  # most rows of each weak label that the scorer learns from
+SAMPLE_BYTES = 1 << 24  # of the texts of either label, from which no further row is used
 SLOTS = 1 << 16
 SLICE = 1 << 20
 FALSE_ALARM = 5e-4  # a labeller votes bad on so few good texts at most
@@ -108,7 +111,10 @@ def estimate(counts: dict[str, int], rounds: int = 200) -> tuple[dict[str, float
     """Posterior of good by pattern, and what each labeller does on each class.
 
     The second is [labeller, class (bad, good), vote (b, -, g)]. Labellers count
-    as independent given the class, and as better than chance at the start. A bad
+    as independent given the class. At the start each is taken to know one kind of
+    bad text and to call most others good, so that one bad vote among good ones
+    counts for bad; from a start where it does not, the bad class of a small
+    table shrinks to the texts that several labellers agree on. A bad
     vote is taken as precise: ``FALSE_ALARM`` bounds its share on good texts.
     """
     patterns = sorted(counts)
@@ -116,7 +122,7 @@ def estimate(counts: dict[str, int], rounds: int = 200) -> tuple[dict[str, float
         return {}, np.empty((len(LABELLERS), 2, 3))
     code = np.array([["b-g".index(v) for v in p] for p in patterns])
     weight = np.array([counts[p] for p in patterns], float)
-    does = np.tile(np.array([[0.4, 0.4, 0.2], [0.1, 0.3, 0.6]]), (len(LABELLERS), 1, 1))
+    does = np.tile(np.array([[0.2, 0.1, 0.7], [0.01, 0.19, 0.8]]), (len(LABELLERS), 1, 1))
     prior = np.array([0.2, 0.8])
     each = np.arange(len(LABELLERS))
     for _ in range(rounds):
@@ -136,7 +142,7 @@ def estimate(counts: dict[str, int], rounds: int = 200) -> tuple[dict[str, float
 def _features(word: str) -> list[int]:
     """Slots of a word's spelling, its last characters, its first and its shape."""
     shape = "A" if word.isupper() and len(word) > 1 else "a" if word.isalpha() else "0"
-    named = (f"w{word[:40]}", f"e{word[-3:]}", f"b{word[0]}", f"s{shape}{word[-1]}")
+    named = (f"w{word}", f"e{word[-3:]}", f"b{word[0]}", f"s{shape}{word[-1]}")
     return [zlib.crc32(n.encode()) % (SLOTS - 1) for n in named]
 
 
@@ -170,14 +176,16 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 30) -> dict:
     return {"weight": weight, "bias": bias}
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict, np.ndarray]:
+def learn(docs: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[dict, np.ndarray]:
     """The scorer, and what the labellers do, from all ``docs``.
 
     Votes are counted over all documents; the patterns number 3 to the power of
-    the labellers at most. The scorer's rows, at most ``sample`` of each weak
-    label by the hash of their id, are all that the driver reads.
+    the labellers at most. The scorer learns, in one task, from at most ``sample``
+    rows of each weak label by the hash of their id, taken until their texts have
+    ``most_bytes``. The driver gets the counts and the model.
     """
-    voted = vote(docs)
+    work = Workspace(docs.sparkSession, "quality")
+    voted = work.keep(vote(docs), "votes")
     counts = {r["votes"]: r["count"] for r in voted.groupBy("votes").count().collect()}
     posterior, does = estimate(counts)
     good = [p for p, x in posterior.items() if x >= 0.5]
@@ -191,9 +199,20 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict, np.ndarray]:
     chosen = F.broadcast(parts[0].union(parts[1]).groupBy("doc_id").agg(F.min("votes").alias("votes")))
     texts = docs.select(F.col("doc_id").cast("bigint"), tables.text_of().alias("text"))
     rows = texts.join(chosen, "doc_id").groupBy("doc_id", "votes").agg(F.min("text").alias("text"))
-    found = rows.toArrow().sort_by("doc_id")
-    labels = np.array([posterior[v] for v in found["votes"].to_pylist()])
-    return fit(found["text"].to_pylist(), labels), does
+    order = Window.partitionBy(F.col("votes").isin(good)).orderBy(F.xxhash64("doc_id"), "doc_id")
+    before = F.sum(F.octet_length("text")).over(order) - F.octet_length("text")
+    rows = rows.withColumn("before", before).where(F.col("before") < most_bytes)
+
+    def run(batches):
+        found = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        found.sort()
+        model = fit([text for _, _, text in found], np.array([posterior[v] for _, v, _ in found]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = rows.select("doc_id", "votes", "text").repartition(1).mapInArrow(run, "model BINARY")
+    model = pickle.loads(made.collect()[0]["model"])
+    work.drop(voted)
+    return model, does
 
 
 class Scorer:
