@@ -210,7 +210,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     made = rows.select("doc_id", "votes", "text").repartition(1).mapInArrow(run, "model BINARY")
-    model = pickle.loads(made.collect()[0]["model"])
+    made = made.collect()
+    model = pickle.loads(made[0]["model"]) if made else fit([], np.empty(0))  # no rows, no task
     work.drop(voted)
     return model, does
 

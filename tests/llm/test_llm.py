@@ -329,3 +329,52 @@ def test_toxicity_reads_all_of_a_text():
     pieces = toxicity.words_of(f"{run} ab")[0]
     assert pieces[-1] == "ab" and all(run[k : k + 4] in " ".join(pieces) for k in range(497))
     assert toxicity.words_of("a" * 40)[0] == ["a" * 40]
+
+
+def _areas(spark, name, label, positive, sf):
+    """Rows, rows of the class and those caught, false alarms, and the area under the curve."""
+    sf_dir = f"/root/testdata/sf{sf}"
+    made = contract.queries()[name](spark, sf_dir).join(
+        spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id"
+    )
+    rows = [r for r in made.collect() if "held_out" not in made.columns or r.held_out]
+    of = np.array([r[label] == positive for r in rows])
+    got = np.array([r.predicted == positive for r in rows])
+    score = np.array([r.score if positive else -r.score for r in rows])
+    better = (score[of][:, None] > score[~of]) + 0.5 * (score[of][:, None] == score[~of])
+    return int(of.sum()), int((got & of).sum()), int((got & ~of).sum()), float(better.mean())
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_quality_finds_bad_texts_in_small_tables(spark, sf):
+    bad, caught, false, area = _areas(spark, "op8_quality", "quality", 0, sf)
+    assert caught >= 0.95 * bad and false <= 2 and area > 0.95
+
+
+def test_quality_one_kind_of_bad_text_each():
+    """Bad texts that one labeller finds each, beside a few that two agree on."""
+    n = len(quality.LABELLERS)
+    one = {"g" * k + "b" + "g" * (n - k - 1): 12 for k in (0, 2, 7)}
+    counts = {"g" * n: 900, "gbggb" + "g" * (n - 5): 20, **one}
+    posterior, _ = quality.estimate(counts)
+    assert posterior["g" * n] > 0.5 and all(posterior[p] < 0.5 for p in counts if p != "g" * n)
+
+
+def test_quality_reads_whole_words():
+    left, right = ("a" * 45 + middle + "xyz" for middle in "bc")
+    assert quality._features(left) != quality._features(right)
+
+
+def test_toxicity_in_a_small_table(spark):
+    toxic, caught, false, area = _areas(spark, "op10_toxicity", "toxic", 1, "0.01")
+    assert caught >= toxic / 2 and false <= 5 and area > 0.75
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(k, "x" * 100, 1) for k in range(200)], "doc_id BIGINT, text STRING, label INT")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    sizes = dict(
+        toxicity.labelled_sample(docs, labels, most_bytes=950).groupBy("label").count().collect()
+    )
+    assert sizes == {0: 10, 1: 10}
+    assert toxicity.fitted(toxicity.labelled_sample(docs, labels.limit(0))) == {"constant": 0.0}
