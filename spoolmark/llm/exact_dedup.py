@@ -211,24 +211,27 @@ def folder_of(docs: DataFrame, work: Workspace) -> str:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """One row of each group of equal texts, with all columns of ``docs``, which reads files."""
+    """One row of each group of equal texts, with all columns of ``docs``, which reads files.
+
+    The row with the most code points stays, then that of the smallest id; a null
+    id is the largest; of rows with equal ids and texts one stays. Null, empty and
+    blank texts are one group. Columns of ``docs`` may have any names; an empty
+    table stays empty.
+    """
     spark = docs.sparkSession
     found = deduplicate(spark, folder_of(docs, Workspace(spark, "distinct")))
-    kept = found.where("kept").select(
-        F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("digest"), "points"
-    )
+    kept = found.where("kept").select("doc_id", "text_sha256", "points")
     text = tables.text_of()
-    named = docs.withColumns(
-        {"__digest": sha256(normalised(text)), "__points": F.length(text).cast("bigint")}
+    named = docs.select(
+        F.struct("*").alias("row"),
+        F.col("doc_id").cast("bigint").alias("id"),
+        sha256(normalised(text)).alias("digest"),
+        F.length(text).cast("bigint").alias("length"),
     )
-    return (
-        named.join(
-            kept.hint("shuffle_hash"),
-            (F.col("__digest") == F.col("digest"))
-            & F.col("doc_id").cast("bigint").eqNullSafe(F.col("kept_id"))
-            & (F.col("__points") == F.col("points")),
-            "left_semi",
-        )
-        .dropDuplicates(["__digest"])
-        .select(*docs.columns)
+    same = (
+        (F.col("digest") == F.col("text_sha256"))
+        & F.col("id").eqNullSafe(F.col("doc_id"))
+        & (F.col("length") == F.col("points"))
     )
+    left = named.join(kept, same, "left_semi").dropDuplicates(["digest"])
+    return left.select("row.*")

@@ -5,22 +5,25 @@ ones. Texts with equal shingle sets count as one. Two sets that are similar
 enough share a shingle within a prefix of each, so only texts that meet in such
 a bucket are compared. The order is cut into fragments; each text's set is cut
 with it; a pair's overlap is counted in each fragment on its own and summed.
-
-Sizes, places in the order and sketches rule out most pairs of a bucket. What
-they leave is compared, in large buckets block by block (``links``); each
-document's number of links follows.
-
-``near_duplicates`` is a shortcut where components alone are wanted: small
-buckets as above, but in a large one not all pairs are compared: in each round it names one pivot, and its texts are compared with that alone; what links merges. When a
-round merges nothing more, the texts outside a bucket's largest component are
-compared with those of all other components, where a link is not ruled out. So every link between two components is found, and a group of copies
-costs as many comparisons as it has texts, about.
+Sizes, places in the order and sketches rule out most pairs of a bucket.
+
+``near_duplicates`` joins sets by representatives. In each round a bucket names
+one of its sets, and those not yet linked to it by any chain are compared with
+it alone; what links merges. The first round looks at the first places of each
+set only, where most copies meet already. At the end the sets outside a
+bucket's largest component are compared with those of all its other components,
+where a link is not ruled out. So no link between two components is lost, and a
+family of copies costs about as many comparisons as it has texts.
+
+``links`` compares all pairs that are not ruled out, block by block, for tables
+whose families are small: a family of n different texts costs n^2 / 2.
 """
 
 from __future__ import annotations
 
 import sys
 from hashlib import blake2b
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +43,23 @@ SEEN = 4  # times in one slice of a task from which a shingle is counted
 FRAGMENTS = 4
 FILTER_BITS = 1 << 23  # of the filter for texts that have met others
 SKETCH = 512
-SMALL = 64  # texts of a bucket whose pairs are all compared
-ROUNDS = 4  # of pivots at most; what is left is compared exhaustively
+SMALL = 64  # sets of a block in ``links``
+FIRST = 4  # places of a set that the first round looks at
+ROUNDS = 2  # of representatives; what is left is compared exhaustively
+REMEMBERED = 1 << 20  # sets that a task remembers to have seen
+
+_DOCS = (
+    "doc_id BIGINT, n BIGINT, node BIGINT, check BIGINT, sketch ARRAY<BIGINT>, "
+    "shingle BIGINT, times BIGINT, digest STRING"
+)
+
 
-_DOCS = "doc_id BIGINT, n BIGINT, node BIGINT, check BIGINT, sketch ARRAY<BIGINT>, shingle BIGINT, times BIGINT"
+class _Order(NamedTuple):
+    """What all tasks know of all sets: the frequent shingles, and numbers that clash."""
+
+    often: np.ndarray  # ascending
+    place: np.ndarray  # of each of them among the last
+    clashed: frozenset[int]  # first numbers that differing sets have in common
 
 
 def _nodes(sets: list[np.ndarray]) -> tuple[list, list]:
@@ -57,14 +73,28 @@ def _nodes(sets: list[np.ndarray]) -> tuple[list, list]:
     ]
 
 
+def _named_sets(sets: list[np.ndarray], order: _Order):
+    """The sets with their numbers: the first, or where that clashes the second."""
+    for node, check, hashes in zip(*_nodes(sets), sets, strict=True):
+        yield (check if node in order.clashed else node), hashes
+
+
+def _clashes(rows: DataFrame) -> list[int]:
+    """Numbers of differing sets: about n^2 / 2^65 of n sets, three of 10^10."""
+    checks = rows.where("node IS NOT NULL").groupBy("node").agg(
+        F.min("check").alias("low"), F.max("check").alias("high")
+    )
+    return checks.where("low <> high").select("node").toArrow()["node"].to_pylist()
+
+
 def _sketch(hashes: np.ndarray) -> np.ndarray:
     """The parity of the set's hashes in each of ``SKETCH`` cells."""
     cells = (hashes >> np.uint64(20)) % np.uint64(SKETCH)
     return np.packbits(np.bincount(cells.astype(np.int64), minlength=SKETCH) & 1).view(np.int64)
 
 
-def _read(docs: DataFrame, size: int) -> DataFrame:
-    """One row per document, and rows of shingles seen often in a slice."""
+def _read(docs: DataFrame, size: int, digest: Column) -> DataFrame:
+    """One row per document with ``digest``, and rows of shingles seen often in a slice."""
 
     def frequent(sets):
         found, times = np.unique(np.concatenate(sets), return_counts=True)
@@ -73,11 +103,12 @@ def _read(docs: DataFrame, size: int) -> DataFrame:
         none = pa.nulls(n, pa.int64())
         return pa.RecordBatch.from_arrays(
             [none, none, none, none, pa.nulls(n, pa.list_(pa.int64()))]
-            + [pa.array(found[often].view(np.int64)), pa.array(times[often].astype(np.int64))],
+            + [pa.array(found[often].view(np.int64)), pa.array(times[often].astype(np.int64))]
+            + [pa.nulls(n, pa.string())],
             names=names,
         )
 
-    names = "doc_id n node check sketch shingle times".split()
+    names = "doc_id n node check sketch shingle times digest".split()
 
     def run(batches):
         held, count = [], 0
@@ -96,6 +127,7 @@ def _read(docs: DataFrame, size: int) -> DataFrame:
                         pa.array([_sketch(s) for s in sets], pa.list_(pa.int64())),
                         none,
                         none,
+                        part.column(2),
                     ],
                     names=names,
                 )
@@ -107,11 +139,13 @@ def _read(docs: DataFrame, size: int) -> DataFrame:
         if held:
             yield frequent(held)
 
-    return docs.select(F.col("doc_id").cast("bigint"), tables.text_of()).mapInArrow(run, _DOCS)
+    columns = F.col("doc_id").cast("bigint"), tables.text_of(), digest.cast("string")
+    return docs.select(*columns).mapInArrow(run, _DOCS)
 
 
-def _order(hashes: np.ndarray, often: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts a set: hashes in the global order, and how many of them are frequent."""
+def _sorted(hashes: np.ndarray, order: _Order) -> tuple[np.ndarray, int]:
+    """A set in the global order, and how many of its hashes are frequent."""
+    often, place, _ = order
     at = np.searchsorted(often, hashes)
     at[at == len(often)] = 0
     known = often[at] == hashes if len(often) else np.zeros(len(hashes), bool)
@@ -119,7 +153,7 @@ def _order(hashes: np.ndarray, often: np.ndarray, place: np.ndarray) -> tuple[np
     return np.concatenate((hashes[~known], last)), len(last)
 
 
-def _postings(docs: DataFrame, size: int, low: int, often, place) -> DataFrame:
+def _postings(docs: DataFrame, size: int, low: int, order: _Order) -> DataFrame:
     """(shingle, node, n, at) for the prefix of every different set of a task."""
 
     def run(batches):
@@ -129,13 +163,15 @@ def _postings(docs: DataFrame, size: int, low: int, often, place) -> DataFrame:
                 part = batch.slice(k, 1000).column(0)
                 out: list = [[], [], [], []]
                 sets = [s for s in shingles_of_all(encoded(part), size) if len(s)]
-                for node, hashes in zip(_nodes(sets)[0], sets, strict=True):
+                for node, hashes in _named_sets(sets, order):
                     if node in seen:
                         continue
+                    if len(seen) == REMEMBERED:
+                        seen.clear()
                     seen.add(node)
                     n = len(hashes)
                     prefix = n - -(-low * n // 100) + 1
-                    out[0].append(_order(hashes, often, place)[0][:prefix])
+                    out[0].append(_sorted(hashes, order)[0][:prefix])
                     out[1].append(np.full(prefix, node))
                     out[2].append(np.full(prefix, n))
                     out[3].append(np.arange(prefix))
@@ -169,7 +205,7 @@ def _filter(nodes: DataFrame) -> np.ndarray:
     return bits
 
 
-def _segments(docs: DataFrame, nodes: DataFrame, size: int, often, place) -> DataFrame:
+def _segments(docs: DataFrame, nodes: DataFrame, size: int, order: _Order) -> DataFrame:
     """(node, fragment, part) of the sets of ``nodes``: a set cut along the global order."""
     members = nodes.select("node").distinct()
 
@@ -180,11 +216,13 @@ def _segments(docs: DataFrame, nodes: DataFrame, size: int, often, place) -> Dat
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000).column(0)
                 sets = [s for s in shingles_of_all(encoded(part), size) if len(s)]
-                for node, hashes in zip(_nodes(sets)[0], sets, strict=True):
+                for node, hashes in _named_sets(sets, order):
                     if node in seen or not wanted(node):
                         continue
+                    if len(seen) == REMEMBERED:
+                        seen.clear()
                     seen.add(node)
-                    hashes, last = _order(hashes, often, place)
+                    hashes, last = _sorted(hashes, order)
                     rare = hashes[: len(hashes) - last]
                     cuts = np.searchsorted(rare, bounds)
                     parts = [*np.split(rare, cuts), hashes[len(rare) :]]
@@ -268,70 +306,79 @@ def near_duplicates(docs: DataFrame, size: int, low: int) -> DataFrame:
     further columns are ignored.
     """
     work = Workspace(docs.sparkSession, "ngram-join")
-    rows, met, names, place = _met(docs, size, low, work)
-
-    # Small buckets: all pairs that may link. They are at most SMALL for each text.
-    small = met.where(F.col("size") <= SMALL)
-    close = small.alias("x").join(
-        small.alias("y"),
+    rows, met, order = _met(docs, size, low, work)
+    return _named(rows, _components(docs, met, size, low, order, work))
+
+
+def _components(docs: DataFrame, met: DataFrame, size: int, low: int, order: _Order, work: Workspace) -> DataFrame:
+    """(node, component) of all sets that have links, by links to representatives."""
+    segments = links = None
+    parts = met.withColumn("component", F.col("node"))
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            close = _with_pivots(parts.where(F.col("at") < FIRST) if turn == 0 else parts, turn, low)
+        else:
+            close = _with_others(parts, low)
+        pairs = work.keep(_pairs(close), "pairs")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if segments is not None:
+            nodes = nodes.join(segments.select("node"), "node", "left_anti")
+        nodes = work.keep(nodes, "nodes")
+        if not nodes.isEmpty():
+            more = work.keep(_segments(docs, nodes, size, order), "segments")
+            segments = more if segments is None else segments.union(more)
+        if segments is None:  # nor are there pairs
+            found = pairs.select("a", "b")
+        else:
+            found = work.keep(_linked(pairs, segments, low).select("a", "b"), "links")
+        links = found if links is None else links.union(found)
+        if turn < ROUNDS and not found.isEmpty():
+            parts = _labelled(met, links, work)
+    return connected_components(links, work)
+
+
+def _with_pivots(parts: DataFrame, turn: int, low: int) -> DataFrame:
+    """Sets x with the set y that their bucket names, where no chain of links joins them yet.
+
+    A bucket's choice is by hash, so the buckets of a family tend to name the same set.
+    """
+    pivot = parts.groupBy("shingle").agg(
+        F.min_by(
+            F.struct("node", "n", "at", "sketch", "component"),
+            F.struct(F.xxhash64("node", F.lit(turn)), "node"),
+        ).alias("pivot"),
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+    )
+    pivot = pivot.where("low <> high").select("shingle", "pivot.*")
+    return parts.alias("x").join(
+        pivot.alias("y"),
         (F.col("x.shingle") == F.col("y.shingle"))
-        & (F.col("x.node") < F.col("y.node"))
+        & (F.col("x.component") != F.col("y.component"))
         & _possible("x", "y", low),
     )
-    pairs = work.keep(_pairs(close), "pairs")
-    met = work.keep(met.where(F.col("size") > SMALL), "large")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(met.select("node"))
-    nodes = work.keep(nodes.distinct(), "nodes")
-    segments = work.keep(_segments(docs, nodes, size, names, place), "segments")
-    links = work.keep(_linked(pairs, segments, low).select("a", "b"), "links")
-    if met.isEmpty():
-        return _named(rows, connected_components(links, work))
-
-    # Large buckets: pivots first.
-    parts = work.keep(_labelled(met, links, work), "parts")
-    for turn in range(ROUNDS):
-        pivot = parts.groupBy("shingle").agg(
-            F.min_by(
-                F.struct("node", "n", "at", "sketch", "component"),
-                F.struct(F.xxhash64("node", F.lit(turn)), "node"),
-            ).alias("pivot"),
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-        )
-        pivot = pivot.where("low <> high").select("shingle", "pivot.*")
-        near = parts.alias("x").join(
-            pivot.alias("y"),
-            (F.col("x.shingle") == F.col("y.shingle"))
-            & (F.col("x.component") != F.col("y.component"))
-            & _possible("x", "y", low),
-        )
-        found = work.keep(_linked(_pairs(near), segments, low).select("a", "b"), "found")
-        if found.isEmpty():
-            break
-        links = work.keep(links.union(found), "links")
-        parts = work.keep(_labelled(met, links, work), "parts")
-    # Exhaustively, what is not in the largest component of its bucket, with all others.
+
+
+def _with_others(parts: DataFrame, low: int) -> DataFrame:
+    """Sets x outside the largest component of their bucket with the sets y of its others."""
     counts = parts.groupBy("shingle", "component").agg(F.count("*").alias("times"))
     main = counts.groupBy("shingle").agg(
         F.max_by("component", F.struct("times", "component")).alias("main"),
         F.count("*").alias("components"),
     )
     parts = parts.join(main.where("components > 1"), "shingle")
-    near = parts.where("component <> main").alias("x").join(
+    return parts.where("component <> main").alias("x").join(
         parts.alias("y"),
         (F.col("x.shingle") == F.col("y.shingle"))
         & (F.col("x.component") != F.col("y.component"))
         & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
         & _possible("x", "y", low),
     )
-    found = _linked(_pairs(near), segments, low).select("a", "b")
-    links = work.keep(links.union(found), "links")
-    return _named(rows, connected_components(links, work))
 
 
-def _met(docs: DataFrame, size: int, low: int, work: Workspace):
-    """Rows of all documents, and of the sets that meet others in buckets; the frequent shingles."""
-    read = work.keep(_read(docs, size), "read")
+def _met(docs: DataFrame, size: int, low: int, work: Workspace, digest: Column | None = None):
+    """Rows of all documents, and of the sets that meet others in buckets; the order."""
+    read = work.keep(_read(docs, size, F.lit(None) if digest is None else digest), "read")
     often = (
         read.where("shingle IS NOT NULL")
         .groupBy("shingle")
@@ -346,17 +393,19 @@ def _met(docs: DataFrame, size: int, low: int, work: Workspace):
     by_name = np.argsort(names)
     place[:] = np.arange(len(names), 0, -1)[by_name]
     names = names[by_name]
-    rows = read.where("shingle IS NULL").select("doc_id", "n", "node", "check", "sketch")
-    clash = rows.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("check").alias("low"), F.max("check").alias("high")
-    )
-    if not clash.where("low <> high").isEmpty():
-        raise ValueError("two sets have one number; use another seed")
+    rows = read.where("shingle IS NULL").select("doc_id", "n", "node", "check", "sketch", "digest")
+    clashed = _clashes(rows)
+    if clashed:
+        again = F.col("node").isin(clashed)
+        rows = rows.withColumn("node", F.when(again, F.col("check")).otherwise(F.col("node")))
+        if _clashes(rows):
+            raise ValueError("two sets have the same 128 bits, or a second number is another's first")
 
     # Alone in a bucket, or among texts of other sizes, a text meets nobody there.
     bucket = Window.partitionBy("shingle")
     sized = bucket.orderBy("n")
-    met = _postings(docs, size, low, names, place)
+    order = _Order(names, place, frozenset(clashed))
+    met = _postings(docs, size, low, order)
     met = met.repartition("shingle").dropDuplicates(["shingle", "node"]).select(
         "*",
         F.count("*").over(bucket).alias("size"),
@@ -372,7 +421,7 @@ def _met(docs: DataFrame, size: int, low: int, work: Workspace):
         .agg(F.min("sketch").alias("sketch"))
     )
     met = work.keep(met.join(sketches, "node"), "sketched")
-    return rows, met, names, place
+    return rows, met, order
 
 
 def _labelled(met: DataFrame, links: DataFrame, work: Workspace) -> DataFrame:
@@ -382,7 +431,7 @@ def _labelled(met: DataFrame, links: DataFrame, work: Workspace) -> DataFrame:
     )
 
 
-def _links(docs: DataFrame, met: DataFrame, size: int, low: int, names, place, work: Workspace) -> DataFrame:
+def _links(docs: DataFrame, met: DataFrame, size: int, low: int, order: _Order, work: Workspace) -> DataFrame:
     """(a, b, overlap) of all pairs of different sets that link.
 
     A set of a large bucket is in one block of about ``SMALL`` sets, and each
@@ -400,7 +449,7 @@ def _links(docs: DataFrame, met: DataFrame, size: int, low: int, names, place, w
     )
     pairs = work.keep(_pairs(close), "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    segments = work.keep(_segments(docs, work.keep(nodes, "nodes"), size, names, place), "segments")
+    segments = work.keep(_segments(docs, work.keep(nodes, "nodes"), size, order), "segments")
     found = _linked(pairs, segments, low).select("a", "b", F.col("o").alias("overlap"))
     return work.keep(found, "links")
 
@@ -411,8 +460,8 @@ def links(docs: DataFrame, size: int, low: int) -> DataFrame:
     a and b are the sets' numbers, the smaller one first; equal texts are one set.
     """
     work = Workspace(docs.sparkSession, "ngram-links")
-    _, met, names, place = _met(docs, size, low, work)
-    return _links(docs, met, size, low, names, place, work)
+    _, met, order = _met(docs, size, low, work)
+    return _links(docs, met, size, low, order, work)
 
 
 def linked_documents(docs: DataFrame, size: int, low: int) -> DataFrame:
@@ -421,8 +470,8 @@ def linked_documents(docs: DataFrame, size: int, low: int) -> DataFrame:
     Documents of equal texts that are not blank count among them.
     """
     work = Workspace(docs.sparkSession, "ngram-links")
-    rows, met, names, place = _met(docs, size, low, work)
-    made = _links(docs, met, size, low, names, place, work)
+    rows, met, order = _met(docs, size, low, work)
+    made = _links(docs, met, size, low, order, work)
     times = rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("times"))
     ends = made.select(F.col("a").alias("node"), F.col("b").alias("other"))
     ends = ends.union(ends.select("other", "node"))
@@ -451,9 +500,33 @@ def _named(rows: DataFrame, component: DataFrame, *more: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int, low: int) -> DataFrame:
-    """The document with the smallest id of every component, with all columns of ``docs``."""
-    found = near_duplicates(docs, size, low)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(
-        gone.distinct().hint("shuffle_hash"), docs["doc_id"].cast("bigint") == F.col("gone"), "left_anti"
+    """One document of every component, with all columns of ``docs``.
+
+    The one with the smallest id stays; where rows of a component share that id,
+    one of them does. Rows are told apart by id and shingle set, so two texts
+    that share an id are judged each on its own. Texts without words stay, and
+    so do rows without an id whose component has no other; of several such rows
+    one stays. Columns of ``docs`` may have any names.
+    """
+    work = Workspace(docs.sparkSession, "one-of-each")
+    digest = F.sha2(F.encode(tables.text_of(), "UTF-8"), 256)
+    rows, met, order = _met(docs, size, low, work, digest)
+    component = _components(docs, met, size, low, order, work)
+    sets = rows.where("node IS NOT NULL").join(component, "node", "left")
+    sets = sets.select("doc_id", "digest", F.coalesce("component", "node").alias("component"))
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("best")
+    sets = sets.join(sets.groupBy("component").agg(best), "component")
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
+    judged = sets.groupBy("doc_id", "digest").agg(
+        F.max(stays).alias("stays"), F.count("*").alias("times")
+    )
+    judged = work.keep(judged.where("NOT stays OR times > 1"), "judged")
+    named = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id"), digest.alias("name")
     )
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("name") == F.col("digest"))
+    left = named.join(judged, same, "left_anti")
+    if not judged.where("stays").isEmpty():
+        again = named.join(judged.where("stays"), same, "left_semi")
+        left = left.union(again.dropDuplicates(["id", "name"]))
+    return left.select("row.*")

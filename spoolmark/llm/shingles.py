@@ -30,40 +30,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _tables(size: int, seed: int):
-    """Byte values, and powers of the multiplier and of its inverse."""
-    known = _cache.get(seed)
-    if known is None or len(known[2]) < size + 1:
-        values = np.random.Generator(np.random.PCG64(seed)).integers(
-            0, 2**63, 256, dtype=np.uint64
-        )
-        values = values * _U(2) + _U(1)
+def _tables(seed: int):
+    """What each byte adds, and which bytes are blank."""
+    if seed not in _cache:
+        drawn = np.random.Generator(np.random.PCG64(seed))
+        values = drawn.integers(0, 2**64, 256, dtype=np.uint64)
         values[65:91] = values[97:123]
         blank = np.zeros(256, bool)
         blank[[9, 10, 11, 12, 13, 32]] = True
-        base = 0x9E3779B97F4A7C15
-        powers = np.full(size + 1, base, np.uint64)
-        inverse = np.full(size + 1, pow(base, -1, 2**64), np.uint64)
-        powers[0] = inverse[0] = 1
-        with np.errstate(over="ignore"):
-            powers = np.multiply.accumulate(powers)
-            inverse = np.multiply.accumulate(inverse)
-        known = _cache[seed] = (values, blank, powers, inverse)
-    return known
+        _cache[seed] = values, blank
+    return _cache[seed]
 
 
 def _words(data: bytes, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every word of a piece of bytes."""
+    """Start and hash of every word of a piece of bytes.
+
+    A byte and its place in the word are mixed to one number, and a word's
+    numbers summed: unlike a polynomial modulo 2^64, under which words of
+    a regular build collide whatever its base.
+    """
     raw = np.frombuffer(data, np.uint8)
-    values, blank, powers, inverse = _tables(max(len(raw), SLICE), seed)
+    values, blank = _tables(seed)
     inside = np.zeros(len(raw) + 2, np.int8)
     inside[1:-1] = ~blank[raw]
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    place = np.arange(len(raw), dtype=np.uint64)
+    if len(starts):
+        first = np.zeros(len(raw), np.int64)
+        first[starts[0]] = starts[0]
+        first[starts[1:]] = np.diff(starts)
+        place -= np.cumsum(first).astype(np.uint64)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(values[raw] * powers[: len(raw)], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * inverse[starts]
-    return starts, mix(hashes + (ends - starts).astype(np.uint64))
+    np.cumsum(mix(values[raw] + place * _U(0x9E3779B97F4A7C15)), out=sums[1:])
+    return starts, mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_hashes(text: bytes, seed: int = 1) -> np.ndarray:

@@ -19,6 +19,7 @@ from spoolmark.llm import (
     ngram_join,
     packing,
     quality,
+    shingles,
     toxicity,
     url_filter,
 )
@@ -378,3 +379,86 @@ def test_sample_is_bounded_in_bytes(spark):
     )
     assert sizes == {0: 10, 1: 10}
     assert toxicity.fitted(toxicity.labelled_sample(docs, labels.limit(0))) == {"constant": 0.0}
+
+
+def _row_names(docs):
+    """The frame with further columns that carry names used inside the stages."""
+    for name in ("digest", "points", "kept_id", "gone", "row", "id", "name", "node", "component"):
+        docs = docs.withColumn(name, F.lit(name))
+    return docs
+
+
+def test_words_of_regular_build_differ(spark):
+    """Two different words of 1,024 letters that polynomials modulo 2^64 hash alike."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    a, b = (shingles.word_hashes(t.encode())[0] for t in (one, two))
+    assert a != b
+    table = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id BIGINT, text STRING")
+    made = sorted(tuple(r) for r in ngram_join.near_duplicates(table, 3, 90).collect())
+    assert made == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+    words = ["Ab", "ab", "ba", "abab", "b" * 5000, "x"]
+    by_one = [int(shingles.word_hashes(w.encode())[0]) for w in words]
+    assert by_one[0] == by_one[1] and len(set(by_one)) == 5
+    at_once = [int(h) for h in shingles.word_hashes("  \t".join([""] + words).encode())]
+    assert at_once == by_one
+
+
+def test_ngram_chains_and_families(spark):
+    """Chains whose ends do not link, and families that share buckets, against brute force."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for chain in range(3):
+        words = [f"c{chain}w{k}" for k in range(90)]
+        for k in range(40):
+            words[(k * 2) % 90] = f"step{chain}x{k}"
+            rows.append((len(rows), " ".join(words)))
+    shared = [f"s{k}" for k in range(40)]
+    for k in range(80):
+        own = [f"f{k % 5}w{j}" for j in range(25)]
+        own[rng.integers(0, 25)] = f"e{rng.integers(0, 4)}"
+        rows.append((1000 + k, " ".join(shared + own)))
+    table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    made = sorted(tuple(r) for r in ngram_join.near_duplicates(table, 3, 80).collect())
+    assert made == sorted(_brute(rows, 3, 80))
+
+
+def test_ngram_numbers_that_clash(spark, monkeypatch):
+    """Differing sets with one first number go by their second."""
+    whole = ngram_join._nodes
+
+    def few(sets):
+        node, check = whole(sets)
+        return [None if n is None else n % 3 for n in node], check
+
+    monkeypatch.setattr(ngram_join, "_nodes", few)
+    rows = [(k, f"a b c d e f g h i j k l m n o p q r s t u v w x y {'z' * (k % 9)}") for k in range(30)]
+    rows += [(30 + k, f"t{k} u v w") for k in range(10)]
+    table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    made = sorted(tuple(r) for r in ngram_join.near_duplicates(table, 3, 80).collect())
+    assert made == sorted(_brute(rows, 3, 80))
+
+
+def test_one_of_each_row_by_row(spark, odd, none):
+    """Rows that share an id are judged on their own; names of columns may clash."""
+    text = "one two three four five six seven eight nine ten"
+    other = "eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [(1, text), (7, text), (7, other), (7, other), (8, " \t"), (8, None), (None, other), (None, "x y z")]
+    docs = _row_names(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    made = ngram_join.one_of_each(docs, 5, 80)
+    assert made.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in made.collect()), key=str)
+    assert left == sorted([(1, text), (7, other), (8, " \t"), (8, None), (None, "x y z")], key=str)
+    assert ngram_join.one_of_each(none, 5, 80).count() == 0
+
+
+def test_distinct_documents_row_by_row(spark, none, tmp_path):
+    rows = [(1, "A b"), (7, "A  b"), (7, "C"), (7, "C"), (2, "C"), (8, " "), (9, None), (None, "C"), (None, "d")]
+    docs = _row_names(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    made = exact_dedup.distinct_documents(spark.read.parquet(str(tmp_path / "docs")))
+    assert made.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in made.collect()), key=str)
+    assert left == sorted([(7, "A  b"), (2, "C"), (8, " "), (None, "d")], key=str)
+    none.write.parquet(str(tmp_path / "none"))
+    assert exact_dedup.distinct_documents(spark.read.parquet(str(tmp_path / "none"))).count() == 0
