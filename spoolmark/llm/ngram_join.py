@@ -43,6 +43,8 @@ SEEN = 4  # times in one slice of a task from which a shingle is counted
 FRAGMENTS = 4
 FILTER_BITS = 1 << 23  # of the filter for texts that have met others
 SKETCH = 512
+LONG = 512  # shingles above which a set has a wide sketch too, as the other one fills up
+WIDE = 16_384
 SMALL = 64  # sets of a block in ``links``
 FIRST = 4  # places of a set that the first round looks at
 ROUNDS = 2  # of representatives; what is left is compared exhaustively
@@ -50,7 +52,7 @@ REMEMBERED = 1 << 20  # sets that a task remembers to have seen
 
 _DOCS = (
     "doc_id BIGINT, n BIGINT, node BIGINT, check BIGINT, sketch ARRAY<BIGINT>, "
-    "shingle BIGINT, times BIGINT, digest STRING"
+    "shingle BIGINT, times BIGINT, digest STRING, wide ARRAY<BIGINT>"
 )
 
 
@@ -87,10 +89,10 @@ def _clashes(rows: DataFrame) -> list[int]:
     return checks.where("low <> high").select("node").toArrow()["node"].to_pylist()
 
 
-def _sketch(hashes: np.ndarray) -> np.ndarray:
-    """The parity of the set's hashes in each of ``SKETCH`` cells."""
-    cells = (hashes >> np.uint64(20)) % np.uint64(SKETCH)
-    return np.packbits(np.bincount(cells.astype(np.int64), minlength=SKETCH) & 1).view(np.int64)
+def _sketch(hashes: np.ndarray, size: int = SKETCH) -> np.ndarray:
+    """The parity of the set's hashes in each of ``size`` cells."""
+    cells = (hashes >> np.uint64(20)) % np.uint64(size)
+    return np.packbits(np.bincount(cells.astype(np.int64), minlength=size) & 1).view(np.int64)
 
 
 def _read(docs: DataFrame, size: int, digest: Column) -> DataFrame:
@@ -104,11 +106,11 @@ def _read(docs: DataFrame, size: int, digest: Column) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [none, none, none, none, pa.nulls(n, pa.list_(pa.int64()))]
             + [pa.array(found[often].view(np.int64)), pa.array(times[often].astype(np.int64))]
-            + [pa.nulls(n, pa.string())],
+            + [pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int64()))],
             names=names,
         )
 
-    names = "doc_id n node check sketch shingle times digest".split()
+    names = "doc_id n node check sketch shingle times digest wide".split()
 
     def run(batches):
         held, count = [], 0
@@ -128,6 +130,10 @@ def _read(docs: DataFrame, size: int, digest: Column) -> DataFrame:
                         none,
                         none,
                         part.column(2),
+                        pa.array(
+                            [_sketch(s, WIDE) if len(s) > LONG else None for s in sets],
+                            pa.list_(pa.int64()),
+                        ),
                     ],
                     names=names,
                 )
@@ -269,6 +275,20 @@ def _possible(a: str, b: str, low: int) -> Column:
     )
 
 
+def _closer(pairs: DataFrame, rows: DataFrame, low: int) -> DataFrame:
+    """The ``pairs`` that wide sketches do not rule out."""
+    wide = rows.where(F.col("n") > LONG).groupBy("node").agg(F.min("wide").alias("wide"))
+    both = pairs.join(wide.toDF("a", "own"), "a", "left").join(wide.toDF("b", "other"), "b", "left")
+    apart = F.aggregate(
+        F.zip_with("own", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.lit(0),
+        lambda total, x: total + x,
+    )
+    need = F.ceil((F.col("n") + F.col("m")) * low / F.lit(100.0 + low) - F.lit(1e-9))
+    near = apart <= F.col("n") + F.col("m") - 2 * need
+    return both.where(F.coalesce(near, F.lit(True))).select("a", "b", "n", "m")
+
+
 def _linked(pairs: DataFrame, segments: DataFrame, low: int) -> DataFrame:
     """The (a, b, n, m, o) of ``pairs`` that link, with their overlap o: partial overlaps by fragment, summed."""
     own = segments.select(F.col("node").alias("a"), "fragment", F.col("part").alias("own"))
@@ -307,10 +327,12 @@ def near_duplicates(docs: DataFrame, size: int, low: int) -> DataFrame:
     """
     work = Workspace(docs.sparkSession, "ngram-join")
     rows, met, order = _met(docs, size, low, work)
-    return _named(rows, _components(docs, met, size, low, order, work))
+    return _named(rows, _components(docs, rows, met, size, low, order, work))
 
 
-def _components(docs: DataFrame, met: DataFrame, size: int, low: int, order: _Order, work: Workspace) -> DataFrame:
+def _components(
+    docs: DataFrame, rows: DataFrame, met: DataFrame, size: int, low: int, order: _Order, work: Workspace
+) -> DataFrame:
     """(node, component) of all sets that have links, by links to representatives."""
     segments = links = None
     parts = met.withColumn("component", F.col("node"))
@@ -319,7 +341,7 @@ def _components(docs: DataFrame, met: DataFrame, size: int, low: int, order: _Or
             close = _with_pivots(parts.where(F.col("at") < FIRST) if turn == 0 else parts, turn, low)
         else:
             close = _with_others(parts, low)
-        pairs = work.keep(_pairs(close), "pairs")
+        pairs = work.keep(_closer(_pairs(close), rows, low), "pairs")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         if segments is not None:
             nodes = nodes.join(segments.select("node"), "node", "left_anti")
@@ -393,7 +415,7 @@ def _met(docs: DataFrame, size: int, low: int, work: Workspace, digest: Column |
     by_name = np.argsort(names)
     place[:] = np.arange(len(names), 0, -1)[by_name]
     names = names[by_name]
-    rows = read.where("shingle IS NULL").select("doc_id", "n", "node", "check", "sketch", "digest")
+    rows = read.where("shingle IS NULL").select("doc_id", "n", "node", "check", "sketch", "digest", "wide")
     clashed = _clashes(rows)
     if clashed:
         again = F.col("node").isin(clashed)
@@ -511,7 +533,7 @@ def one_of_each(docs: DataFrame, size: int, low: int) -> DataFrame:
     work = Workspace(docs.sparkSession, "one-of-each")
     digest = F.sha2(F.encode(tables.text_of(), "UTF-8"), 256)
     rows, met, order = _met(docs, size, low, work, digest)
-    component = _components(docs, met, size, low, order, work)
+    component = _components(docs, rows, met, size, low, order, work)
     sets = rows.where("node IS NOT NULL").join(component, "node", "left")
     sets = sets.select("doc_id", "digest", F.coalesce("component", "node").alias("component"))
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("best")

@@ -462,3 +462,23 @@ def test_distinct_documents_row_by_row(spark, none, tmp_path):
     assert left == sorted([(7, "A  b"), (2, "C"), (8, " "), (None, "d")], key=str)
     none.write.parquet(str(tmp_path / "none"))
     assert exact_dedup.distinct_documents(spark.read.parquet(str(tmp_path / "none"))).count() == 0
+
+
+def test_ngram_long_texts(spark):
+    """Long texts that share much and do not link, and such that do, against brute force."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for family in range(3):
+        words = [f"f{family}w{k}" for k in range(1500)]
+        for k in range(10):
+            own = list(words)
+            for at in rng.integers(0, 1500, (k % 5) * 20):
+                own[at] = f"e{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    shared = [f"s{k}" for k in range(1200)]
+    for k in range(10):
+        rows.append((len(rows), " ".join(shared + [f"o{k}x{j}" for j in range(400)])))
+    table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    made = sorted(tuple(r) for r in ngram_join.near_duplicates(table, 3, 80).collect())
+    assert made == sorted(_brute(rows, 3, 80))
+    assert 4 < len({r[2] for r in made}) < 40
