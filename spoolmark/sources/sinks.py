@@ -140,7 +140,7 @@ def write_metadata_json(documents: DataFrame, directory: str, run: int | None =
     Each run adds a folder of its own, and earlier documents stay. A run counts
     once its manifest, the number of pages of each of its streams, is written; a
     run that counts is not written again, so a retry changes nothing. Without
-    ``run`` it is the one after the last that counts.
+    ``run`` it is the one after the last that counts. The pages are gzipped.
     """
     done = {int(f.split("/")[0].removeprefix("run=")) for f in _committed(f"{directory}/_manifests", "run", "attempt")}
     run = max(done, default=0) + 1 if run is None else run
@@ -148,7 +148,7 @@ def write_metadata_json(documents: DataFrame, directory: str, run: int | None =
         return
     attempt = uuid.uuid4().hex
     pages = f"{directory}/run={run}/attempt={attempt}"
-    lines = stored_form(documents).write
+    lines = stored_form(documents).write.option("compression", "gzip")
     lines.option("ignoreNullFields", "false").option("timestampFormat", STORED_TIME).json(pages)
     written = _lines(documents.sparkSession, [pages])
     written.groupBy(F.col("document.stream_id").alias("stream_id")).agg(
@@ -164,17 +164,31 @@ def _lines(spark: SparkSession, folders: list[str]) -> DataFrame:
 
 def read_metadata_json(spark: SparkSession, directory: str) -> DataFrame:
     """The lines of ``write_metadata_json`` in their stored form: all pages of the last
-    run of each stream, and none of earlier runs."""
+    run of each stream, and none of earlier runs.
+
+    Nothing replaces the newest run, so its lines are read as they are; only those of
+    the runs before it are joined with the manifests.
+    """
     runs = _committed(f"{directory}/_manifests", "run", "attempt")
     if not runs:
         return spark.createDataFrame([], _LINE)
+    newest = max(runs, key=_run_and_attempt)
+    lines = _lines(spark, [f"{directory}/{newest}"])
+    earlier = [r for r in runs if r != newest]
+    if not earlier:
+        return lines
     named = spark.read.schema(_PAGES).parquet(*[f"{directory}/_manifests/{r}" for r in runs])
     last = named.groupBy("stream_id").agg(F.max(F.struct("run", "attempt")).alias("last"))
     from_file = F.regexp_extract(F.input_file_name(), "/run=([0-9]+)/attempt=([0-9a-f]+)/", 2)
-    lines = _lines(spark, [f"{directory}/{r}" for r in runs]).withColumn("_attempt", from_file)
+    older = _lines(spark, [f"{directory}/{r}" for r in earlier]).withColumn("_attempt", from_file)
     current = last.select(F.col("stream_id").alias("_stream"), F.col("last.attempt").alias("_current"))
     same = F.col("document.stream_id").eqNullSafe(F.col("_stream")) & (F.col("_attempt") == F.col("_current"))
-    return lines.join(current, same).select("metadata_key", "page", "document")
+    return lines.unionByName(older.join(current, same).select(*lines.columns))
+
+
+def _run_and_attempt(folder: str) -> tuple[int, str]:
+    run, attempt = folder.split("/")
+    return int(run.removeprefix("run=")), attempt
 
 
 def _write_each(directory: str):

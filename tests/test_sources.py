@@ -4,6 +4,7 @@ import hashlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spoolmark import schemas
 from spoolmark.operators import chunks, documents, ledger
@@ -227,3 +228,27 @@ def test_documents_of_a_later_run_replace_all_pages(spark, tmp_path):
     assert view() == expected
     put(3, run=4)
     assert view() == [("s", 1), ("s", 2), ("s", 3), ("t", 1)]
+
+
+def test_documents_of_one_run_are_read_without_a_shuffle(spark, tmp_path):
+    """One run replaces nothing: its lines, a stream without an id too, are read as written."""
+    folder = str(tmp_path / "documents")
+    names = [*schemas.METADATA_DOCUMENT.fieldNames(), "page"]
+    row = ("/p", "b", "k", 1, 1.0, at("12:00"), at("12:00"), at("12:00"), [(1, 1, "e", at("12:00"))], 0)
+    table = T.StructType([*schemas.METADATA_DOCUMENT.fields, T.StructField("page", T.LongType())])
+
+    def put(*streams):
+        made = spark.createDataFrame([(s, *row) for s in streams], table)
+        sinks.write_metadata_json(made.select(*names), folder)
+
+    def view():
+        return rows(documents.flatten_chunks(sinks.read_metadata_json(spark, folder)), "stream_id", "part_number")
+
+    put("s", "s", None, "t")
+    plan = sinks.read_metadata_json(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert view() == [(None, 1), ("s", 1), ("s", 1), ("t", 1)]
+    written = list((tmp_path / "documents").glob("run=*/*/part-*"))
+    assert written and all(f.name.endswith(".json.gz") for f in written)
+    put(None, "s")
+    assert view() == [(None, 1), ("s", 1), ("t", 1)]
