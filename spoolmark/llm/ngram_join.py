@@ -7,6 +7,11 @@ a bucket are compared. The order is cut into fragments; each text's set is cut
 with it; a pair's overlap is counted in each fragment on its own and summed.
 Sizes, places in the order and sketches rule out most pairs of a bucket.
 
+Long sets have prefixes of hundreds of shingles, of which many are common in any
+large table, and sketches that are full. They are cut by hash into more parts than
+two similar sets can differ in, so that some part is equal in both, and meet where
+a whole part is equal: see ``_parts``.
+
 ``near_duplicates`` joins sets by representatives. In each round a bucket names
 one of its sets, and those not yet linked to it by any chain are compared with
 it alone; what links merges. The first round looks at the first places of each
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 
 from spoolmark.llm import tables
 from spoolmark.llm.components import connected_components
-from spoolmark.llm.shingles import encoded, shingles_of_all
+from spoolmark.llm.shingles import encoded, mix, shingles_of_all
 from spoolmark.llm.tables import Workspace
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -43,13 +48,16 @@ SEEN = 4  # times in one slice of a task from which a shingle is counted
 FRAGMENTS = 4
 FILTER_BITS = 1 << 23  # of the filter for texts that have met others
 SKETCH = 512
-LONG = 512  # shingles above which a set has a wide sketch too, as the other one fills up
+LONG = 512  # shingles above which a set has a wide sketch, as the other one fills up, and meets by parts
 WIDE = 16_384
 SMALL = 64  # sets of a block in ``links``
-FIRST = 4  # places of a set that the first round looks at
+FIRST = 4  # places or parts of a set that the first round looks at
 ROUNDS = 2  # of representatives; what is left is compared exhaustively
 REMEMBERED = 1 << 20  # sets that a task remembers to have seen
 
+#: The largest size of each class of sizes; each is about 1.3 times the one before.
+_CLASSES = np.cumprod(np.full(120, 1.3)).astype(np.int64)
+
 _DOCS = (
     "doc_id BIGINT, n BIGINT, node BIGINT, check BIGINT, sketch ARRAY<BIGINT>, "
     "shingle BIGINT, times BIGINT, digest STRING, wide ARRAY<BIGINT>"
@@ -99,13 +107,16 @@ def _read(docs: DataFrame, size: int, digest: Column) -> DataFrame:
     """One row per document with ``digest``, and rows of shingles seen often in a slice."""
 
     def frequent(sets):
-        found, times = np.unique(np.concatenate(sets), return_counts=True)
-        often = times >= SEEN
-        n = int(often.sum())
+        whole = np.concatenate(sets)
+        whole.sort()
+        # Few are seen often; no counts of all the others are made.
+        found = np.unique(whole[: 1 - SEEN][whole[SEEN - 1 :] == whole[: 1 - SEEN]])
+        times = np.searchsorted(whole, found, "right") - np.searchsorted(whole, found)
+        n = len(found)
         none = pa.nulls(n, pa.int64())
         return pa.RecordBatch.from_arrays(
             [none, none, none, none, pa.nulls(n, pa.list_(pa.int64()))]
-            + [pa.array(found[often].view(np.int64)), pa.array(times[often].astype(np.int64))]
+            + [pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))]
             + [pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int64()))],
             names=names,
         )
@@ -159,15 +170,43 @@ def _sorted(hashes: np.ndarray, order: _Order) -> tuple[np.ndarray, int]:
     return np.concatenate((hashes[~known], last)), len(last)
 
 
+def _parts(hashes: np.ndarray, last: int, low: int):
+    """Numbers and places of the parts at which a long set meets those it may link with.
+
+    ``hashes`` ends with ``last`` frequent ones. Sizes have classes; a set is cut for
+    each class in which the larger set of a linked pair may be. Linked sets of a class
+    differ in ``most`` hashes at most, so of 1 + ``most`` + ``spare`` parts more than
+    ``spare`` are equal. So ``spare`` parts of each set may be left out: those with the
+    fewest rare hashes, by which unlike sets could meet. The order is by content, so the
+    last of the equal parts is among those that stay in both sets.
+    """
+    mixed = mix(hashes)
+    rare = len(hashes) - last
+    smallest, largest = np.searchsorted(_CLASSES, [len(hashes), 100 * len(hashes) // low])
+    for k in range(smallest, largest + 1):
+        most = 2 * int(_CLASSES[k]) * (100 - low) // (100 + low)
+        spare = 3 * (1 + most) // 10
+        count = 1 + most + spare
+        place = (mixed % np.uint64(count)).astype(np.int64)
+        sums = np.zeros(count, np.uint64)
+        np.add.at(sums, place, mixed)
+        names = mix(sums + mix(np.arange(count, dtype=np.uint64) + np.uint64(int(k) << 48)))
+        stay = np.lexsort((names, np.bincount(place[:rare], minlength=count)))[spare:]
+        yield names[stay], stay
+
+
 def _postings(docs: DataFrame, size: int, low: int, order: _Order) -> DataFrame:
-    """(shingle, node, n, at) for the prefix of every different set of a task."""
+    """(shingle, node, n, at, first) for the prefix, or parts, of every different set of a task.
+
+    Two sets of at most ``LONG`` shingles meet by prefixes; of a pair with a longer one, both have parts.
+    """
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000).column(0)
-                out: list = [[], [], [], []]
+                out: list = [[], [], [], [], []]
                 sets = [s for s in shingles_of_all(encoded(part), size) if len(s)]
                 for node, hashes in _named_sets(sets, order):
                     if node in seen:
@@ -176,23 +215,34 @@ def _postings(docs: DataFrame, size: int, low: int, order: _Order) -> DataFrame:
                         seen.clear()
                     seen.add(node)
                     n = len(hashes)
-                    prefix = n - -(-low * n // 100) + 1
-                    out[0].append(_sorted(hashes, order)[0][:prefix])
-                    out[1].append(np.full(prefix, node))
-                    out[2].append(np.full(prefix, n))
-                    out[3].append(np.arange(prefix))
+                    hashes, last = _sorted(hashes, order)
+                    met = []
+                    if n <= LONG:
+                        prefix = n - -(-low * n // 100) + 1
+                        places = np.arange(prefix)
+                        met.append((hashes[:prefix], places, places < FIRST))
+                    if 100 * n > low * LONG:
+                        for names, places in _parts(hashes, last, low):
+                            met.append((names, np.zeros(len(names), np.int64), places < FIRST))
+                    for names, places, first in met:
+                        out[0].append(names)
+                        out[1].append(np.full(len(names), node))
+                        out[2].append(np.full(len(names), n))
+                        out[3].append(places)
+                        out[4].append(first)
                 if out[0]:
                     columns = [np.concatenate(c) for c in out]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(columns[0].view(np.int64)),
-                            *[pa.array(c.astype(np.int64)) for c in columns[1:]],
+                            *[pa.array(c.astype(np.int64)) for c in columns[1:4]],
+                            pa.array(columns[4]),
                         ],
-                        names=["shingle", "node", "n", "at"],
+                        names=["shingle", "node", "n", "at", "first"],
                     )
 
     return docs.select(tables.text_of()).mapInArrow(
-        run, "shingle BIGINT, node BIGINT, n BIGINT, at BIGINT"
+        run, "shingle BIGINT, node BIGINT, n BIGINT, at BIGINT, first BOOLEAN"
     )
 
 
@@ -338,7 +388,7 @@ def _components(
     parts = met.withColumn("component", F.col("node"))
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
-            close = _with_pivots(parts.where(F.col("at") < FIRST) if turn == 0 else parts, turn, low)
+            close = _with_pivots(parts.where("first") if turn == 0 else parts, turn, low)
         else:
             close = _with_others(parts, low)
         pairs = work.keep(_closer(_pairs(close), rows, low), "pairs")

@@ -482,3 +482,54 @@ def test_ngram_long_texts(spark):
     made = sorted(tuple(r) for r in ngram_join.near_duplicates(table, 3, 80).collect())
     assert made == sorted(_brute(rows, 3, 80))
     assert 4 < len({r[2] for r in made}) < 40
+
+
+@pytest.mark.parametrize("low", [80, 90, 97])
+def test_ngram_parts_of_linked_sets_meet(low):
+    """Sets at the least similarity that links share a part, whatever their sizes and frequent hashes."""
+    rng = np.random.default_rng(low)
+    for n in [*range(1, 40), *rng.integers(40, 6000, 60)]:
+        n = int(n)
+        for m in {n, int(100 * n // low), int(rng.integers(n, 100 * n // low + 1))}:
+            both = -(-low * (n + m) // (100 + low))
+            assert both <= n and 100 * both >= low * (n + m - both)
+            all_of = np.unique(rng.integers(0, 2**64, n + m - both, dtype=np.uint64))
+            rng.shuffle(all_of)
+            one, other = all_of[:n], np.concatenate((all_of[:both], all_of[n:]))
+            names = []
+            for side in (one, other):
+                often = side % np.uint64(3) == 0
+                hashes = np.concatenate((side[~often], side[often]))
+                names.append({int(x) for found, _ in ngram_join._parts(hashes, int(often.sum()), low) for x in found})
+            assert names[0] & names[1]
+
+
+def test_ngram_by_parts(spark, monkeypatch):
+    """Families on both sides of the size from which sets meet by parts, against brute force."""
+    monkeypatch.setattr(ngram_join, "LONG", 40)
+    rng = np.random.default_rng(12)
+    rows = []
+    for family in range(6):
+        words = [f"f{family % 3}w{k}" for k in range(36 + 4 * family)]
+        for k in range(12):
+            own = words + [f"more{k % 4}x{j}" for j in range(k % 5)]
+            for at in rng.integers(0, len(words), k % 3):
+                own[at] = f"e{rng.integers(0, 3)}"
+            rows.append((len(rows), " ".join(own)))
+    table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    made = sorted(tuple(r) for r in ngram_join.near_duplicates(table, 3, 80).collect())
+    assert made == sorted(_brute(rows, 3, 80))
+    overlaps = ngram_join.links(table, 3, 80).count()
+    sets = {frozenset(zip(w, w[1:], w[2:])) for w in (t.split() for _, t in rows)}
+    assert 2 * overlaps == sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for a in sets for b in sets)
+
+
+def test_ngram_long_texts_of_common_passages(spark):
+    """Long texts dealt from one store of sentences share many shingles; the join pairs hardly any."""
+    rng = np.random.default_rng(13)
+    store = [" ".join(f"w{x}" for x in rng.integers(0, 400, 12)) for _ in range(1500)]
+    rows = [(k, " ".join(store[x] for x in rng.permutation(1500)[:250])) for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    _, met, _ = ngram_join._met(table, 3, 90, Workspace(spark, "long-texts"))
+    assert ngram_join._with_others(met.withColumn("component", F.col("node")), 90).count() < 60
+    assert [r.component_id for r in ngram_join.near_duplicates(table, 3, 90).orderBy("doc_id").collect()] == list(range(60))
