@@ -224,7 +224,7 @@ class Scorer:
         if self.constant is None:
             weight = model["weight"]
             self.bias, self.echo = model["bias"], float(weight[ECHO])
-            self.known = Remembered(lambda word: float(weight[_features(word)].sum()), 500_000)
+            self.known = Remembered(lambda word: float(weight[_features(word)].sum()), 200_000)
 
     def score(self, text: str) -> tuple[float, int]:
         """Score and number of words."""

@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-REMEMBERED = 800_000
+REMEMBERED = 200_000  # about 30 MB of a Python worker; most runs are seen once
 
 #: How the byte-level pre-tokenizer splits (a fixed value of the file format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

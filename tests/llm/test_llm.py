@@ -533,3 +533,25 @@ def test_ngram_long_texts_of_common_passages(spark):
     _, met, _ = ngram_join._met(table, 3, 90, Workspace(spark, "long-texts"))
     assert ngram_join._with_others(met.withColumn("component", F.col("node")), 90).count() < 60
     assert [r.component_id for r in ngram_join.near_duplicates(table, 3, 90).orderBy("doc_id").collect()] == list(range(60))
+
+
+def test_memory_of_a_worker():
+    """Slices of long texts and remembered words take a bounded, small part of an executor."""
+    import sys
+    import tracemalloc
+
+    text = b" ".join(b"w%d" % k for k in range(150_000))
+    tracemalloc.start()
+    hashes = shingles.word_hashes(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(hashes.tolist())) == 150_000 and peak < 32 << 20
+    tokens = ByteLevelTokens(str(tokenizers.path("byte_bpe_50k.json")))
+    most = 0
+    for start in range(0, 400_000, 50_000):
+        words = [f"w{k}x" for k in range(start, start + 50_000)]
+        assert len(tokens.ids(" ".join(words))) >= 4 * len(words)
+        held = [*tokens.known.items()]
+        most = max(most, sys.getsizeof(tokens.known) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in held))
+    assert 0 < most < 40 << 20
+    assert tokens.ids("w1x and w1x") == tokens._whole("w1x and w1x")
