@@ -5,6 +5,9 @@ Each stage reads what the one before wrote, and its decisions take effect.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from spoolmark.llm import exact_dedup, ngram_join, quality, queries, toxicity
@@ -12,6 +15,8 @@ from spoolmark.llm.tables import Workspace, read
 
 #: Words of a shingle and least similarity, in per cent, of near duplicates.
 SHINGLE_WORDS, SIMILARITY = 5, 80
+#: Rows that Spark and its Python workers exchange at once: whole texts are long.
+BATCH_ROWS = 1000
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +46,23 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.packed(docs)
 
 
+def in_small_batches(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The stage in a session that exchanges ``BATCH_ROWS`` rows at once, which bounds its memory."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", without_toxic),
-    ("quality", good_quality),
-    ("exact dedup", without_copies),
-    ("n-gram join", without_near_copies),
-    ("packing", packed),
+    ("toxicity", in_small_batches(without_toxic)),
+    ("quality", in_small_batches(good_quality)),
+    ("exact dedup", in_small_batches(without_copies)),
+    ("n-gram join", in_small_batches(without_near_copies)),
+    ("packing", in_small_batches(packed)),
 ]
 
 #: Trained models decide two stages, which SQL cannot express.

@@ -555,3 +555,27 @@ def test_memory_of_a_worker():
         most = max(most, sys.getsizeof(tokens.known) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in held))
     assert 0 < most < 40 << 20
     assert tokens.ids("w1x and w1x") == tokens._whole("w1x and w1x")
+
+
+def test_stages_exchange_small_batches(spark):
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def seen(spark, docs, _):
+        def sizes(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"id": [batch.num_rows]})
+
+        return docs.mapInArrow(sizes, "id BIGINT")
+
+    try:
+        stage = corpus_pipeline.in_small_batches(seen)
+        sizes = [r.id for r in stage(spark, spark.range(0, 2500, 1, 1), "").collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sum(sizes) == 2500 and max(sizes) == corpus_pipeline.BATCH_ROWS
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
